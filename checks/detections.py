@@ -86,9 +86,10 @@ def _(spark, d):
 
 
 @check("f1_in_study_area", "inside:i n:i", DET,
-       f"result as (select ({STUDY})::int as inside, count(*) as n from detections group by 1)")
+       """result as (select (longitude between -73.0 and -71.5 and latitude between -38.5 and -37.0)::int as inside,
+  count(*) as n from detections group by 1)""")
 def _(spark, d):
-    return (loaded(spark, d).groupBy(geo.in_bbox("longitude", "latitude", (-73.7, -39.3, -71.0, -36.5)).cast("int")
+    return (loaded(spark, d).groupBy(geo.in_bbox("longitude", "latitude", (-73.0, -38.5, -71.5, -37.0)).cast("int")
                                      .alias("inside")).agg(F.count("*").alias("n")))
 
 

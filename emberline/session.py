@@ -18,6 +18,7 @@ def session(master: str | None = None, partitions: int | None = None, app: str =
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.sources.partitionOverwriteMode", "dynamic"))
     if master:
         b = b.master(master).config("spark.ui.enabled", "false")
