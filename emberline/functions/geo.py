@@ -30,7 +30,13 @@ def chord_m(arc_m: float) -> float:
 
 
 class Utm:
-    """Transverse Mercator of one UTM zone on WGS84 by the Kruger series to third order."""
+    """Transverse Mercator of one UTM zone on WGS84 by the Kruger series to third order.
+
+    A projection is a chain of short steps, each reading what the step before has made. On a frame
+    every step is a projection of its own (the optimiser keeps them apart because a step reads its
+    input several times); on an array of points every step is a `transform`. Written as one
+    expression the series would repeat its inputs dozens of times and outgrow code generation.
+    """
 
     def __init__(self, zone: int = 19, south: bool = True):
         f = 1 / 298.257223563
@@ -43,32 +49,72 @@ class Utm:
         self.beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
         self.delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
 
-    def forward(self, lon, lat) -> tuple[Column, Column]:
-        """(easting, northing) of WGS84 degrees."""
+    def _forward(self):
         c = 2 * math.sqrt(self.n) / (1 + self.n)
-        s = F.sin(F.radians(lat))
-        t = F.sinh(F.atanh(s) - c * F.atanh(c * s))
-        dl = F.radians(lon) - self.lon0
-        xi, eta = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
-        east, north = eta, xi
-        for j, a in enumerate(self.alpha, 1):
-            east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-            north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        return self.e0 + self.scale * east, self.n0 + self.scale * north
-
-    def inverse(self, x, y) -> tuple[Column, Column]:
-        """(longitude, latitude) in degrees of UTM metres."""
-        x0, y0 = _col(x), _col(y)
-        xi0, eta0 = (y0 - self.n0) / self.scale, (x0 - self.e0) / self.scale
-        xi, eta = xi0, eta0
-        for j, b in enumerate(self.beta, 1):
-            xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-            eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
-        chi = F.asin(F.sin(xi) / F.cosh(eta))
-        lat = chi
-        for j, d in enumerate(self.delta, 1):
-            lat = lat + d * F.sin(2 * j * chi)
-        return F.degrees(self.lon0 + F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(lat)
+        yield lambda v: {"sn": F.sin(F.radians(v("lat"))), "dl": F.radians(v("lon")) - self.lon0}
+        yield lambda v: {"tt": F.sinh(F.atanh(v("sn")) - c * F.atanh(c * v("sn"))), "dl": v("dl")}
+        yield lambda v: {"xi": F.atan2(v("tt"), F.cos(v("dl"))),
+                         "eta": F.atanh(F.sin(v("dl")) / F.sqrt(1 + v("tt") * v("tt")))}
+
+        def last(v):
+            east, north = v("eta"), v("xi")
+            for j, a in enumerate(self.alpha, 1):
+                east = east + a * F.cos(2 * j * v("xi")) * F.sinh(2 * j * v("eta"))
+                north = north + a * F.sin(2 * j * v("xi")) * F.cosh(2 * j * v("eta"))
+            return {"x": self.e0 + self.scale * east, "y": self.n0 + self.scale * north}
+        yield last
+
+    def _inverse(self):
+        yield lambda v: {"xi": (v("y") - self.n0) / self.scale, "eta": (v("x") - self.e0) / self.scale}
+
+        def back(v):
+            xi, eta = v("xi"), v("eta")
+            for j, b in enumerate(self.beta, 1):
+                xi = xi - b * F.sin(2 * j * v("xi")) * F.cosh(2 * j * v("eta"))
+                eta = eta - b * F.cos(2 * j * v("xi")) * F.sinh(2 * j * v("eta"))
+            return {"xi1": xi, "eta1": eta}
+        yield back
+        yield lambda v: {"chi": F.asin(F.sin(v("xi1")) / F.cosh(v("eta1"))), "xi1": v("xi1"), "eta1": v("eta1")}
+
+        def last(v):
+            lat = v("chi")
+            for j, d in enumerate(self.delta, 1):
+                lat = lat + d * F.sin(2 * j * v("chi"))
+            return {"lon": F.degrees(self.lon0 + F.atan2(F.sinh(v("eta1")), F.cos(v("xi1")))), "lat": F.degrees(lat)}
+        yield last
+
+    @staticmethod
+    def _on_frame(df, steps, inputs: dict, outputs: dict):
+        held = df.columns
+        df = df.withColumns({f"_u_{k}": _col(c) for k, c in inputs.items()})
+        for step in steps:
+            df = df.withColumns({f"_u_{k}": c for k, c in step(lambda n: F.col(f"_u_{n}")).items()})
+        kept = [c for c in held if c not in outputs.values()]
+        return df.select(*kept, *[F.col(f"_u_{k}").alias(name) for k, name in outputs.items()])
+
+    @staticmethod
+    def _on_array(points: Column, steps) -> Column:
+        def struct_of(step):
+            return lambda p: F.struct(*[c.alias(k) for k, c in step(lambda n: p[n]).items()])
+        for step in steps:
+            points = F.transform(points, struct_of(step))
+        return points
+
+    def with_xy(self, df, lon="longitude", lat="latitude", x: str = "x", y: str = "y"):
+        """`df` with easting and northing of WGS84 degrees."""
+        return self._on_frame(df, self._forward(), {"lon": lon, "lat": lat}, {"x": x, "y": y})
+
+    def with_lonlat(self, df, x="x", y="y", lon: str = "lon", lat: str = "lat"):
+        """`df` with longitude and latitude of UTM metres."""
+        return self._on_frame(df, self._inverse(), {"x": x, "y": y}, {"lon": lon, "lat": lat})
+
+    def points_xy(self, points: Column) -> Column:
+        """Array of (lon, lat) structs -> array of (x, y)."""
+        return self._on_array(points, self._forward())
+
+    def points_lonlat(self, points: Column) -> Column:
+        """Array of (x, y) structs -> array of (lon, lat)."""
+        return self._on_array(points, self._inverse())
 
 
 UTM19S = Utm(19, True)
@@ -152,7 +198,7 @@ def footprint_gap_days(a: str, b: str) -> Column:
 
 def cell_ring(row, col, x0, y0, res, utm: Utm = UTM19S, decimals: int = 6) -> Column:
     """Closed WGS84 ring (array of [lon, lat]) of a grid cell."""
-    def vertex(dr, dc):
-        lon, lat = utm.inverse(_col(x0) + _col(res) * (_col(col) + dc), _col(y0) - _col(res) * (_col(row) + dr))
-        return F.array(F.round(lon, decimals), F.round(lat, decimals))
-    return F.array(*[vertex(r, c) for r, c in ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0))])
+    corners = F.array(*[F.struct((_col(x0) + _col(res) * (_col(col) + c)).alias("x"),
+                                 (_col(y0) - _col(res) * (_col(row) + r)).alias("y"))
+                        for r, c in ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0))])
+    return F.transform(utm.points_lonlat(corners), lambda p: F.array(F.round(p["lon"], decimals), F.round(p["lat"], decimals)))

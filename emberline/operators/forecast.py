@@ -14,10 +14,8 @@ EXTRA_CELLS = 4
 
 def snap_to_cell(requests: DataFrame, res: float = 250.0, utm: Utm = UTM19S) -> DataFrame:
     """Add the centre (snap_lon, snap_lat) of the cell that holds (lon, lat)."""
-    x, y = utm.forward("lon", "lat")
-    at = requests.withColumns({"_x": cell_centre(x, res), "_y": cell_centre(y, res)})
-    lon, lat = utm.inverse("_x", "_y")
-    return at.withColumns({"snap_lon": lon, "snap_lat": lat}).drop("_x", "_y")
+    at = utm.with_xy(requests, "lon", "lat", "_x", "_y")
+    return utm.with_lonlat(at, cell_centre("_x", res), cell_centre("_y", res), "snap_lon", "snap_lat").drop("_x", "_y")
 
 
 def point_ignition_inputs(requests: DataFrame, res: float = 250.0, utm: Utm = UTM19S) -> tuple[DataFrame, DataFrame, DataFrame]:

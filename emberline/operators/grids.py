@@ -35,41 +35,37 @@ def build_grid(boxes: DataFrame, res: float = 250.0, utm: Utm = UTM19S, densify:
     """
     steps = F.sequence(F.lit(0), F.lit(densify + 1))
     between = lambda a, b: (lambda i: F.col(a) + (F.col(b) - F.col(a)) * i / (densify + 1))
-    def edge(lon, lat):
-        def at(i):
-            x, y = utm.forward(lon(i), lat(i))
-            return F.struct(x.alias("x"), y.alias("y"))
-        return F.transform(steps, at)
     still = lambda c: (lambda i: F.col(c) + i * 0.0)
+    edge = lambda lon, lat: F.transform(steps, lambda i: F.struct(lon(i).alias("lon"), lat(i).alias("lat")))
     ring = F.concat(edge(between("west", "east"), still("south")), edge(between("west", "east"), still("north")),
                     edge(still("west"), between("south", "north")), edge(still("east"), between("south", "north")))
-    out = boxes.withColumn("_ring", ring)
+    out = boxes.withColumn("_ring", utm.points_xy(ring))
     lo = lambda c: snap_down(F.array_min(F.transform("_ring", lambda p: p[c])), res)
     hi = lambda c: snap_up(F.array_max(F.transform("_ring", lambda p: p[c])), res)
+    out = out.withColumns({"_x0": lo("x"), "_x1": hi("x"), "_y0": lo("y"), "_y1": hi("y")})
     return out.withColumn("grid", F.struct(
-        lo("x").alias("x0"), hi("y").alias("y0"), F.lit(float(res)).alias("res"),
-        F.round((hi("x") - lo("x")) / res).cast("int").alias("width"),
-        F.round((hi("y") - lo("y")) / res).cast("int").alias("height"))).drop("_ring")
+        F.col("_x0").alias("x0"), F.col("_y1").alias("y0"), F.lit(float(res)).alias("res"),
+        F.round((F.col("_x1") - F.col("_x0")) / res).cast("int").alias("width"),
+        F.round((F.col("_y1") - F.col("_y0")) / res).cast("int").alias("height"))).drop("_ring", "_x0", "_x1", "_y0", "_y1")
 
 
 def grid_cells(grids: DataFrame) -> DataFrame:
     """One row per cell of every `grid`: row, col and centre x, y."""
     g = lambda n: F.col(f"grid.{n}")
-    return (grids.withColumn("row", F.explode(F.sequence(F.lit(0), g("height") - 1)))
-            .withColumn("col", F.explode(F.sequence(F.lit(0), g("width") - 1)))
+    return (grids.withColumn("row", F.explode_outer(F.sequence(F.lit(0), g("height") - 1)))
+            .withColumn("col", F.explode_outer(F.sequence(F.lit(0), g("width") - 1)))
             .withColumn("x", g("x0") + g("res") * (F.col("col") + 0.5))
             .withColumn("y", g("y0") - g("res") * (F.col("row") + 0.5)))
 
 
 def event_bbox(detections: DataFrame, buffer_m=CONTEXT_BUFFER_M, utm: Utm = UTM19S, keys=("event_id",)) -> DataFrame:
     """(event_id, west, south, east, north): projected bounds grown by the buffer, corners back in degrees."""
-    x, y = utm.forward("longitude", "latitude")
     b = buffer_m if isinstance(buffer_m, Column) else F.lit(float(buffer_m))
-    box = detections.select(*keys, x.alias("x"), y.alias("y"), b.alias("b")).groupBy(*keys).agg(
+    box = utm.with_xy(detections.select(*keys, "longitude", "latitude", b.alias("b"))).groupBy(*keys).agg(
         F.min(F.col("x") - F.col("b")).alias("x0"), F.min(F.col("y") - F.col("b")).alias("y0"),
         F.max(F.col("x") + F.col("b")).alias("x1"), F.max(F.col("y") + F.col("b")).alias("y1"))
-    (west, south), (east, north) = utm.inverse("x0", "y0"), utm.inverse("x1", "y1")
-    return box.select(*keys, west.alias("west"), south.alias("south"), east.alias("east"), north.alias("north"))
+    box = utm.with_lonlat(utm.with_lonlat(box, "x0", "y0", "west", "south"), "x1", "y1", "east", "north")
+    return box.select(*keys, "west", "south", "east", "north")
 
 
 # ---------------------------------------------------------------- fire days
@@ -80,17 +76,17 @@ def rasterize_detections(detections: DataFrame, res: float = 250.0, radius_m: fl
     A detection visits the few cells around it, so no join is needed; repeats collapse map-side.
     A detection that marks no cell at all fails the job.
     """
-    x, y = utm.forward("longitude", "latitude")
-    at = detections.select("event_id", F.to_date("detected_at").alias("day"), x.alias("x"), y.alias("y"))
-    span = lambda c: F.sequence(F.floor((F.col(c) - radius_m) / res), F.floor((F.col(c) + radius_m) / res))
-    near = lambda gx, gy: F.hypot((gx + 0.5) * res - F.col("x"), (gy + 0.5) * res - F.col("y")) <= radius_m
-    marks = F.flatten(F.transform(span("x"), lambda gx: F.filter(
-        F.transform(span("y"), lambda gy: F.struct(gx.alias("gx"), gy.alias("gy"))), lambda c: near(c["gx"], c["gy"]))))
-    hit = at.select("event_id", "day", marks.alias("m"))
-    if radius_m < res * 0.7072:  # a smaller disc may fall between centres
-        days = hit.groupBy("event_id", "day").agg(F.max(F.size("m")).alias("n"))
-        require_none(days.filter("n = 0"), "day with detections but no burning cell")
-    return hit.select("event_id", "day", F.explode("m").alias("c")).select("event_id", "day", "c.gx", "c.gy").distinct()
+    at = utm.with_xy(detections.select("event_id", F.to_date("detected_at").alias("day"), "longitude", "latitude"))
+    # explode_outer: a plain explode adds a non-empty test that would repeat the projection below it
+    span = lambda c: F.explode_outer(F.sequence(F.floor((F.col(c) - radius_m) / res), F.floor((F.col(c) + radius_m) / res)))
+    near = F.hypot((F.col("gx") + 0.5) * res - F.col("x"), (F.col("gy") + 0.5) * res - F.col("y")) <= radius_m
+    fire = (at.withColumn("gx", span("x")).withColumn("gy", span("y")).filter(near)
+            .select("event_id", "day", "gx", "gy").distinct())
+    if radius_m < res * 0.7072:  # only a disc this small can fall between centres
+        days = at.select("event_id", "day").distinct()
+        require_none(days.join(fire.select("event_id", "day").distinct(), ["event_id", "day"], "left_anti"),
+                     "day with detections but no burning cell")
+    return fire
 
 
 def anchor_neighbors(fire: DataFrame) -> DataFrame:
@@ -122,8 +118,11 @@ def to_local(cells: DataFrame, grids: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- resampling
 def source_position(targets: DataFrame, ref: Georef, utm: Utm = UTM19S) -> DataFrame:
     """Add `sx`, `sy`: position of the target centre (x, y in UTM metres) in cells of the source."""
-    x, y = utm.inverse("x", "y") if ref.lonlat else (F.col("x"), F.col("y"))
-    return targets.withColumns({"sx": (x - ref.x0) / ref.dx, "sy": (F.lit(ref.y0) - y) / ref.dy})
+    if ref.lonlat:
+        targets = utm.with_lonlat(targets, "x", "y", "sx", "sy")
+    else:
+        targets = targets.withColumns({"sx": F.col("x"), "sy": F.col("y")})
+    return targets.withColumns({"sx": (F.col("sx") - ref.x0) / ref.dx, "sy": (F.lit(ref.y0) - F.col("sy")) / ref.dy})
 
 
 def resample_nearest(targets: DataFrame, source: DataFrame, ref: Georef, utm: Utm = UTM19S,

@@ -20,12 +20,11 @@ def footprint_from_cells(state: DataFrame, grid: dict, utm=UTM19S) -> DataFrame:
     """FOOTPRINT of burning cell centres; an event that never burns is an error."""
     x = grid["x0"] + grid["res"] * (F.col("col") + 0.5)
     y = grid["y0"] - grid["res"] * (F.col("row") + 0.5)
-    lon, lat = utm.inverse(x, y)
     fire = state.filter(F.col("fire_mask") >= 0.5)
     require_none(state.select("event_id").distinct().join(fire.select("event_id").distinct(), "event_id", "left_anti"),
                  "event without a burning cell")
     cells = fire.groupBy("event_id", "row", "col").agg(F.min("day").alias("d0"), F.max("day").alias("d1"))
-    return cells.withColumns({"lon": lon, "lat": lat}).groupBy("event_id").agg(
+    return utm.with_lonlat(cells, x, y).groupBy("event_id").agg(
         F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"),
         F.min("d0").alias("first_day"), F.max("d1").alias("last_day"))
 
