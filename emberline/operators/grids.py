@@ -77,9 +77,10 @@ def rasterize_detections(detections: DataFrame, res: float = 250.0, radius_m: fl
     A detection that marks no cell at all fails the job.
     """
     at = utm.with_xy(detections.select("event_id", F.to_date("detected_at").alias("day"), "longitude", "latitude"))
-    # explode_outer: a plain explode adds a non-empty test that would repeat the projection below it
+    # explode_outer and coalesce: the null tests inferred without them would repeat the projection below
     span = lambda c: F.explode_outer(F.sequence(F.floor((F.col(c) - radius_m) / res), F.floor((F.col(c) + radius_m) / res)))
-    near = F.hypot((F.col("gx") + 0.5) * res - F.col("x"), (F.col("gy") + 0.5) * res - F.col("y")) <= radius_m
+    near = F.coalesce(F.hypot((F.col("gx") + 0.5) * res - F.col("x"), (F.col("gy") + 0.5) * res - F.col("y")) <= radius_m,
+                      F.lit(False))
     fire = (at.withColumn("gx", span("x")).withColumn("gy", span("y")).filter(near)
             .select("event_id", "day", "gx", "gy").distinct())
     if radius_m < res * 0.7072:  # only a disc this small can fall between centres
