@@ -201,4 +201,4 @@ def cell_ring(row, col, x0, y0, res, utm: Utm = UTM19S, decimals: int = 6) -> Co
     corners = F.array(*[F.struct((_col(x0) + _col(res) * (_col(col) + c)).alias("x"),
                                  (_col(y0) - _col(res) * (_col(row) + r)).alias("y"))
                         for r, c in ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0))])
-    return F.transform(utm.points_lonlat(corners), lambda p: F.array(F.round(p["lon"], decimals), F.round(p["lat"], decimals)))
+    return F.transform(utm.points_lonlat(corners), lambda p: F.array(F.bround(p["lon"], decimals), F.bround(p["lat"], decimals)))

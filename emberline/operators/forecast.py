@@ -39,7 +39,7 @@ def point_ignition_inputs(requests: DataFrame, res: float = 250.0, utm: Utm = UT
 def forecast_features(pred: DataFrame, grids: DataFrame, utm: Utm = UTM19S) -> DataFrame:
     """GeoJSON polygon per cell with `probability_by_day` (4 decimals, days in order; day 0 left out)."""
     series = pred.filter(F.col("day_idx") > 0).groupBy("event_id", "row", "col").agg(
-        F.array_sort(F.collect_list(F.struct("day_idx", F.round("p", 4).alias("p")))).alias("s"))
+        F.array_sort(F.collect_list(F.struct("day_idx", F.bround("p", 4).alias("p")))).alias("s"))
     g = lambda n: F.col(f"grid.{n}")
     ring = cell_ring("row", "col", g("x0"), g("y0"), g("res"), utm)
     daily = F.transform("s", lambda v: v["p"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,11 @@ def session(master: str | None = None, partitions: int | None = None, app: str =
     return b.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a checkpoint that outlives any executor.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local master,
-    where driver and executors share one disk, may fall back to a scratch folder.
+    Only a local master, where driver and executors share one disk, may fall back to a scratch folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
@@ -42,6 +41,17 @@ def durable(df: DataFrame) -> DataFrame:
                 raise DataError("spark.checkpoint.dir must name a shared folder on a cluster")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run, next to the checkpoints."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a checkpoint that outlives any executor."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

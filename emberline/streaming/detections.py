@@ -31,3 +31,12 @@ def daily_density(detections: DataFrame, lateness: str = "2 days", cell_deg: flo
             .groupBy(F.window("detected_at", "1 day").alias("w"), at("latitude").alias("south"), at("longitude").alias("west"))
             .agg(F.count("*").alias("n"), F.sum("frp").alias("frp"))
             .select(F.col("w.start").cast("date").alias("day"), "south", "west", "n", "frp"))
+
+
+def run_available(stream: DataFrame, path: str) -> None:
+    """Process everything that has landed, append it to Parquet under `path`, and stop.
+
+    The progress lies next to the output, so the next call takes up where this one ended.
+    """
+    (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/progress")
+     .trigger(availableNow=True).start(f"{path}/data").awaitTermination())
