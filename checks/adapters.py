@@ -55,7 +55,7 @@ ADAPTERS = {
         from (select p_partkey as k, p_size from part) p cross join range(5) t(d)""",
     "predictions": """
         select model, k // 500 as event_id, d as day_idx, k // 50 as row, k % 50 as col,
-               cast(case when model = 'a' then (k * 37 + d * 7) % 97 else 96 - (k * 37 + d * 11 + 5) % 97 end as double) / 96 as p
+               cast(case when model = 'a' then (k * 37 + d * 7) % 97 else 96 - (k * 37 + d * 11 + 5) % 97 end as double) / 97 as p
         from (select p_partkey as k from part) p cross join range(5) t(d) cross join (values ('a'), ('b')) m(model)""",
     "footprints": f"""
         select k as event_id, cast(-7350 + (k * 37) % 50 * 4 as double) / 100 as west,

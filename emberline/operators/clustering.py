@@ -6,9 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberline.functions.geo import chord_m, haversine_m, sphere_xyz
+from emberline.functions.geo import EARTH_RADIUS_M, chord_m, haversine_m, sphere_xyz
 from emberline.operators.components import connected_components
-from emberline.operators.proximity import near_groups
+from emberline.operators.proximity import near_groups, prefixed
 from emberline.session import durable
 
 NEAR_M = 750.0
@@ -43,22 +43,29 @@ def brick_items(bricked: DataFrame) -> DataFrame:
             .withColumns({"x": x, "y": y, "z": z}))
 
 
-def _candidates(bricks: DataFrame) -> DataFrame:
-    """Pairs of bricks that can hold a near pair: touching blocks of 2x2x2 cubes, same or next time slot."""
-    block = lambda d: F.floor(F.col(f"g.{d}") / 2)
-    home = bricks.select(F.col("g").alias("b"), block("i").alias("I"), block("j").alias("J"),
-                         block("k").alias("K"), F.col("g.s").alias("S"))
-    around = lambda c: F.sequence(c - 1, c + 1)
-    probe = bricks.select(F.col("g").alias("a"), block("i").alias("I"), block("j").alias("J"), block("k").alias("K"),
-                          F.col("g.s").alias("S"))
-    for c in "IJK":
-        probe = probe.withColumn(c, F.explode(around(F.col(c))))
-    probe = probe.withColumn("S", F.explode(F.sequence(F.col("S"), F.col("S") + 1)))
-    close = F.lit(True)
+def _candidates(parts: DataFrame, side: float) -> DataFrame:
+    """Pairs of bricks that can hold a near pair: touching blocks of 2x2x2 cubes, same or next time slot.
+
+    Within a slot only the forward half of the neighbourhood is visited, and only blocks that the
+    Earth's surface crosses, so a brick sends about twenty rows. They carry the brick's bounds.
+    """
+    half = lambda c: F.shiftright(F.col(c), 1)
+    home = prefixed(parts, "b_").select("*", *[half(f"b_g.{d}").alias(d.upper()) for d in "ijk"], F.col("b_g.s").alias("S"))
+    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    ways = [(*w, 0) for w in around if w >= (0, 0, 0)] + [(*w, 1) for w in around]
+    way = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(w, "ijks")]) for w in ways]))
+    probe = prefixed(parts, "a_").withColumn("w", way)
+    probe = probe.select("*", *[(half(f"a_g.{d}") + F.col(f"w.{d}")).alias(d.upper()) for d in "ijk"],
+                         (F.col("a_g.s") + F.col("w.s")).alias("S")).drop("w")
+    centre = lambda c: (F.col(c) + 0.5) * (2 * side)
+    radius = F.sqrt(centre("I") * centre("I") + centre("J") * centre("J") + centre("K") * centre("K"))
+    probe = probe.filter(F.abs(radius - EARTH_RADIUS_M) <= side * math.sqrt(3) + 1)
+    twice = F.col("a_g.s") == F.col("b_g.s")  # bricks of one block and slot meet in both directions
     for d in "ijk":
-        close = close & (F.abs(F.col(f"a.{d}") - F.col(f"b.{d}")) <= 2)
-    return (probe.join(home, ["I", "J", "K", "S"])
-            .filter(close & ((F.col("b.s") > F.col("a.s")) | (F.col("a") < F.col("b")))).select("a", "b"))
+        twice = twice & (half(f"a_g.{d}") == half(f"b_g.{d}"))
+    # the planner sees the bricks, not the rows they send, and would broadcast them
+    return (probe.hint("merge").join(home, ["I", "J", "K", "S"]).filter(~twice | (F.col("a_g") < F.col("b_g")))
+            .withColumns({"a": F.col("a_g"), "b": F.col("b_g")}))
 
 
 def detection_links(bricked: DataFrame, near_m: float = NEAR_M, near_days: float = NEAR_DAYS) -> DataFrame:
@@ -85,10 +92,13 @@ def detection_links(bricked: DataFrame, near_m: float = NEAR_M, near_days: float
         f = 4 ** level
         return F.array(*[F.floor(F.col(d) * (f / side)).cast("bigint") for d in "xyz"],
                        F.floor(F.col("t") * (f / span)).cast("bigint"))
-    return near_groups(
-        items, _candidates(items.select("g").distinct()), ["x", "y", "z", "t"],
+    links = near_groups(
+        items, lambda parts: _candidates(parts, side), ["x", "y", "z", "t"],
         surely=(F.sqrt(high) <= limit - _MARGIN_M) & (t_high <= span),
         never=(F.sqrt(low) > limit + _MARGIN_M) | (t_low > span), near=near, part=part)
+    same = F.col("a.s") == F.col("b.s")
+    return links.select(F.when(same, F.least("a", "b")).otherwise(F.col("a")).alias("a"),
+                        F.when(same, F.greatest("a", "b")).otherwise(F.col("b")).alias("b"))
 
 
 def brick_components(bricked: DataFrame, near_m: float = NEAR_M, near_days: float = NEAR_DAYS) -> DataFrame:

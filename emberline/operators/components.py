@@ -15,29 +15,35 @@ def _chosen(edges: DataFrame) -> DataFrame:
             .select(F.col("a").alias("v"), F.least(rank("a"), F.col("m"))["v"].alias("r")))
 
 
+def _moves(edges: DataFrame) -> DataFrame:
+    """(v, r): where a vertex goes in one round, the choice of its choice."""
+    m = _chosen(edges)
+    onward = m.select(F.col("v").alias("r"), F.col("r").alias("rr"))
+    return m.join(onward, "r").select("v", F.col("rr").alias("r"))
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of `vertices` (column v); edges (a, b) are undirected.
 
-    Each round every vertex moves to its lowest-ranked neighbour and the edge table is rewritten
-    onto the survivors, without loops and copies; the rank is a hash, so a chain of any length
-    shrinks by a constant factor a round. The rounds run to a fixed point. Labels are then handed
-    back from the last round to the first: each hand-back joins on a survivor, which stands for no
-    more vertices than it had neighbours in that round, so the label of a component that holds a
-    third of all vertices is never a join key of a third of all rows.
+    Each round every vertex moves two steps towards lower-ranked neighbours and the edge table is
+    rewritten onto the survivors, without loops and copies; the rank is a hash, so a chain of any
+    length shrinks by a constant factor a round. The rounds run to a fixed point. Labels are then
+    handed back from the last round to the first: each hand-back joins on a survivor, which stands
+    for no more vertices than lay two steps around it in that round, so the label of a component
+    that holds a third of all vertices is never a join key of a third of all rows.
     """
     rounds = []
     live = durable(edges.filter(F.col("a") != F.col("b"))
                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while not live.isEmpty():
-        rounds.append(live)
-        m = _chosen(live)
+        m = durable(_moves(live))
+        rounds.append(m)
         moved = (live.join(m.select(F.col("v").alias("a"), F.col("r").alias("ra")), "a")
                  .join(m.select(F.col("v").alias("b"), F.col("r").alias("rb")), "b")
                  .filter(F.col("ra") != F.col("rb")))
         live = durable(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     labels = None
-    for e in reversed(rounds):
-        m = _chosen(e)
+    for m in reversed(rounds):
         if labels is None:
             labels = m.select("v", F.col("r").alias("root"))
         else:

@@ -23,56 +23,56 @@ def bounds_of(items: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
         F.count("*").alias("n"))
 
 
-def _prefixed(df: DataFrame, p: str) -> DataFrame:
+def prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select([F.col(c).alias(p + c) for c in df.columns])
 
 
 def near_groups(
-    items: DataFrame, pairs: DataFrame, dims: list[str], surely: Column, never: Column, near: Column,
+    items: DataFrame, candidates: Callable[[DataFrame], DataFrame], dims: list[str], surely: Column, never: Column, near: Column,
     part: Callable[[int], Column], budget: int = 4096, levels: int = 16,
 ) -> DataFrame:
     """Pairs (a, b) of groups with at least one near pair of items.
 
     items    distinct items: group `g`, the columns of `dims`, and whatever `near` reads
-    pairs    candidate pairs (a, b) of groups
+    candidates   group bounds -> pairs (a, b) that may be near, each once, with both bounds as `a_...`, `b_...`
     surely   true when all items of two parts are near, from bounds `a_<dim>_lo`, `b_<dim>_hi`, ...
     never    true when no item of two parts can be near, from the same bounds
     near     the exact test of two items, columns prefixed `a_` and `b_`
     part     level -> key that cuts a group into parts, finer with the level
     """
-    items = items.withColumn("part", F.array().cast("array<bigint>"))
-    empty = F.array().cast("array<bigint>")
-    asked = pairs.select("a", "b", empty.alias("pa"), empty.alias("pb"))
+    def meet(asked, a, b):
+        on = lambda p: reduce(Column.__and__, [F.col(p) == F.col(f"{p}_g")] + [
+            F.col(f"p{p}") == F.col(f"{p}_part") for _ in keys[1:]])
+        return asked.join(a, on("a")).join(b, on("b"))
+
+    keys = ["g"]  # whole groups first, then parts of groups
+    ids = ["a", "b"]
+    met = candidates(bounds_of(items, keys, dims))
     found: list[DataFrame] = []
     for level in range(1, levels + 1):
-        parts = bounds_of(items, ["g", "part"], dims)
-        a, b = _prefixed(parts, "a_"), _prefixed(parts, "b_")
         judged = durable(
-            asked.join(a, (F.col("a") == F.col("a_g")) & (F.col("pa") == F.col("a_part")))
-            .join(b, (F.col("b") == F.col("b_g")) & (F.col("pb") == F.col("b_part")))
-            .filter(~never)
-            .select("a", "b", "pa", "pb", surely.alias("sure"), (F.col("a_n") * F.col("b_n")).alias("work")))
+            met.filter(~never).select(*ids, surely.alias("sure"), (F.col("a_n") * F.col("b_n")).alias("work")))
         found.append(judged.filter("sure").select("a", "b"))
-        undecided = judged.filter("not sure").join(
-            reduce(DataFrame.unionByName, found).distinct(), ["a", "b"], "left_anti")
+        undecided = judged.filter("not sure")
+        if level > 1:  # a pair of parts is moot once other parts have linked their groups
+            undecided = undecided.join(reduce(DataFrame.unionByName, found).distinct(), ["a", "b"], "left_anti")
         few = undecided.filter(F.col("work") <= budget)
-        ia, ib = _prefixed(items, "a_"), _prefixed(items, "b_")
-        found.append(
-            few.join(ia, (F.col("a") == F.col("a_g")) & (F.col("pa") == F.col("a_part")))
-            .join(ib, (F.col("b") == F.col("b_g")) & (F.col("pb") == F.col("b_part")))
-            .filter(near).select("a", "b").distinct())
+        found.append(meet(few, prefixed(items, "a_"), prefixed(items, "b_")).filter(near).select("a", "b").distinct())
         if judged.filter(~F.col("sure") & (F.col("work") > budget)).isEmpty():
             break
         if level == levels:
             raise RuntimeError("items could not be separated; check the part function")
-        many = durable(undecided.filter(F.col("work") > budget))
+        many = durable(undecided.filter(F.col("work") > budget).select(*ids))
         involved = many.select(F.col("a").alias("g")).union(many.select(F.col("b").alias("g"))).distinct()
-        children = durable(items.join(involved, "g", "left_semi")
-                           .withColumn("parent", F.col("part")).withColumn("part", part(level)))
-        kids = children.select("g", "parent", "part").distinct()
-        ka = kids.select(F.col("g").alias("a"), F.col("parent").alias("pa"), F.col("part").alias("ca"))
-        kb = kids.select(F.col("g").alias("b"), F.col("parent").alias("pb"), F.col("part").alias("cb"))
-        asked = (many.select("a", "b", "pa", "pb").join(ka, ["a", "pa"]).join(kb, ["b", "pb"])
+        children = durable(items.join(involved, "g", "left_semi").withColumn("cut", part(level)))
+        kids = children.select(*keys, "cut").distinct()
+        side = lambda p: kids.select(F.col("g").alias(p), *[F.col("part").alias(f"p{p}") for _ in keys[1:]],
+                                     F.col("cut").alias(f"c{p}"))
+        over = lambda p: [p] + [f"p{p}" for _ in keys[1:]]
+        asked = (many.join(side("a"), over("a")).join(side("b"), over("b"))
                  .select("a", "b", F.col("ca").alias("pa"), F.col("cb").alias("pb")))
-        items = children.drop("parent")
+        items = children.drop("part").withColumnRenamed("cut", "part")
+        keys, ids = ["g", "part"], asked.columns
+        parts = bounds_of(items, keys, dims)
+        met = meet(asked, prefixed(parts, "a_"), prefixed(parts, "b_"))
     return reduce(DataFrame.unionByName, found).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LON, UTM19S, footprint_gap_days, footprint_gap_km
 from emberline.operators.components import connected_components
-from emberline.operators.proximity import bounds_of, near_groups
+from emberline.operators.proximity import near_groups, prefixed
 from emberline.operators.ranking import hash_buckets, running_total
 from emberline.session import DataError, durable, require_none
 
@@ -96,10 +96,11 @@ def _cover(parts: DataFrame, km: float, days: int, grow: bool) -> DataFrame:
 
 
 def _links(items: DataFrame, pair_filter: Column, km: float, days: int) -> DataFrame:
-    parts = bounds_of(items, ["g"], BOX)
-    a = _cover(parts, km, days, True).select(F.col("g").alias("a"), "I", "J", "S")
-    b = _cover(parts, km, days, False).select(F.col("g").alias("b"), "I", "J", "S")
-    pairs = a.join(b, ["I", "J", "S"]).filter(pair_filter).select("a", "b").distinct()
+    def candidates(parts):
+        a, b = prefixed(_cover(parts, km, days, True), "a_"), prefixed(_cover(parts, km, days, False), "b_")
+        on = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in "IJS"]
+        return (a.hint("merge").join(b, on).withColumns({"a": F.col("a_g"), "b": F.col("b_g")})
+                .filter(pair_filter).dropDuplicates(["a", "b"]))
     bounds = _gap_bounds()
 
     def part(level):
@@ -107,7 +108,7 @@ def _links(items: DataFrame, pair_filter: Column, km: float, days: int) -> DataF
         quant = lambda c, unit: F.floor(F.col(c) * (f / unit)).cast("bigint")
         return F.array(quant("west", 0.1), quant("south", 0.1), quant("east", 0.1), quant("north", 0.1),
                        quant("first_day", 8.0), quant("last_day", 8.0))
-    return near_groups(items, pairs, BOX, surely=(bounds["hi_km"] <= km - 1e-6) & (bounds["hi_days"] <= days),
+    return near_groups(items, candidates, BOX, surely=(bounds["hi_km"] <= km - 1e-6) & (bounds["hi_days"] <= days),
                        never=(bounds["lo_km"] > km + 1e-6) | (bounds["lo_days"] > days), near=_near(km, days), part=part)
 
 
@@ -161,7 +162,7 @@ def leaking_pairs(footprints: DataFrame, split: DataFrame, km: float = MAX_GAP_K
     b = cover(involved.dropDuplicates(["event_id"]), False).select(
         [F.col(c).alias("b_" + c) for c in cols] + [F.col("split").alias("split_b"), "I", "J", "S"])
     gap_km, gap_days = footprint_gap_km("a_", "b_"), footprint_gap_days("a_", "b_")
-    return (a.join(b, ["I", "J", "S", "split_b"]).filter(F.col("a_event_id") < F.col("b_event_id"))
+    return (a.hint("merge").join(b, ["I", "J", "S", "split_b"]).filter(F.col("a_event_id") < F.col("b_event_id"))
             .filter((gap_km <= km) & (gap_days <= days))
             .select("a_event_id", "split_a", "b_event_id", "split_b", gap_km.alias("gap_km"), gap_days.alias("gap_days"))
             .distinct())
@@ -197,7 +198,7 @@ def nearest_cross_split(footprints: DataFrame, split: DataFrame, start_km: float
             "I", "J", F.col("split").alias("for_split"), F.col("id").alias("a_id"),
             *[F.col(f"{d}_{e}").alias(f"a_{d}_{e}") for d in BOX for e in ("lo", "hi")])
         g = _gap_bounds()
-        met = (a.join(b, ["I", "J", "for_split"]).drop("I", "J").dropDuplicates(["a_id", "for_split", "part"])
+        met = (a.hint("merge").join(b, ["I", "J", "for_split"]).drop("I", "J").dropDuplicates(["a_id", "for_split", "part"])
                .withColumns({"lo": F.struct(g["lo_km"].alias("km"), g["lo_days"].alias("days")),
                              "hi": F.struct((g["hi_km"] + 1e-9).alias("km"), g["hi_days"].alias("days"))}))
         best = met.groupBy("a_id").agg(F.min("hi").alias("bound"))

@@ -95,7 +95,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (p.withColumn("day_idx", _times(5)).withColumn("model", F.explode(F.array(F.lit("a"), F.lit("b"))))
             .select("model", F.floor(k / 500).alias("event_id"), "day_idx",
                     F.floor(k / 50).cast("int").alias("row"), (k % 50).cast("int").alias("col"),
-                    (F.when(F.col("model") == "a", a).otherwise(b).cast("double") / 96).alias("p")))
+                    (F.when(F.col("model") == "a", a).otherwise(b).cast("double") / 97).alias("p")))
 
 
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
