@@ -1,4 +1,4 @@
 """Queries over the driver's tables, each with the SQL that must give the same rows."""
 
 from checks.registry import ORACLES, QUERIES
-from checks import dataset, detections, evaluation, grids, reporting, splits, weather  # noqa: F401
+from checks import dataset, detections, evaluation, grids, plans, reporting, splits, weather  # noqa: F401

@@ -136,26 +136,29 @@ def resample_nearest(targets: DataFrame, source: DataFrame, ref: Georef, utm: Ut
 
 
 def resample_bilinear(targets: DataFrame, source: DataFrame, ref: Georef, utm: Utm = UTM19S,
-                      by: tuple[str, ...] = ()) -> DataFrame:
-    """Add `value`, bilinear between the four source centres around the target centre.
+                      by: tuple[str, ...] = (), values: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Add `values`, bilinear between the four source centres around the target centre.
 
     A corner of positive weight that is missing makes the result missing. The source is first
-    folded into 2x2 neighbourhoods, so a target joins once, whichever grid is the finer.
+    folded into 2x2 neighbourhoods, so a target joins once for all values, whichever grid is the finer.
     """
-    offset = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (0, 1) for c in (0, 1)]))
-    pick = lambda r, c: F.max(F.when((F.col("o.r") == r) & (F.col("o.c") == c), F.col("value"))).alias(f"v{r}{c}")
+    corners = [(r, c) for r in (0, 1) for c in (0, 1)]
+    offset = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in corners]))
+    pick = lambda v, r, c: F.max(F.when((F.col("o.r") == r) & (F.col("o.c") == c), F.col(v))).alias(f"_{v}{r}{c}")
     quads = (source.withColumn("o", offset)
              .withColumns({"_r": F.col("row") - F.col("o.r"), "_c": F.col("col") - F.col("o.c")})
-             .groupBy(*by, "_r", "_c").agg(*[pick(r, c) for r in (0, 1) for c in (0, 1)]))
+             .groupBy(*by, "_r", "_c").agg(*[pick(v, r, c) for v in values for r, c in corners]))
     at = source_position(targets, ref, utm).withColumns({"sx": F.col("sx") - 0.5, "sy": F.col("sy") - 0.5})
     at = at.withColumns({"_r": F.floor("sy").cast("int"), "_c": F.floor("sx").cast("int"),
                          "fy": F.col("sy") - F.floor("sy"), "fx": F.col("sx") - F.floor("sx")})
-    total = F.lit(0.0)
-    for r, c in ((0, 0), (0, 1), (1, 0), (1, 1)):
-        w = (F.col("fy") if r else 1 - F.col("fy")) * (F.col("fx") if c else 1 - F.col("fx"))
-        total = total + F.when(w > 0, w * F.col(f"v{r}{c}")).otherwise(0.0)
-    return (at.join(quads, [*by, "_r", "_c"], "left").withColumn("value", total)
-            .drop("_r", "_c", "fx", "fy", "sx", "sy", "v00", "v01", "v10", "v11"))
+    at = at.withColumns({f"_w{r}{c}": (F.col("fy") if r else 1 - F.col("fy")) * (F.col("fx") if c else 1 - F.col("fx"))
+                         for r, c in corners})
+    def mix(v):
+        terms = [F.when(F.col(f"_w{r}{c}") > 0, F.col(f"_w{r}{c}") * F.col(f"_{v}{r}{c}")).otherwise(0.0) for r, c in corners]
+        return terms[0] + terms[1] + terms[2] + terms[3]
+    made = [f"_w{r}{c}" for r, c in corners] + [f"_{v}{r}{c}" for v in values for r, c in corners]
+    return (at.join(quads, [*by, "_r", "_c"], "left").withColumns({v: mix(v) for v in values})
+            .drop("_r", "_c", "fx", "fy", "sx", "sy", *made))
 
 
 def block_average(cells: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -24,7 +24,7 @@ class Sources(NamedTuple):
     aspect_deg: Layer
     fuel_type: Layer
     ndvi: Layer                 # year, month, row, col, value
-    weather: dict[str, Layer]   # field -> day, row, col, value
+    weather: Layer              # day, row, col and one column per weather field
 
 
 def static_channels(targets: DataFrame, src: Sources) -> DataFrame:
@@ -37,18 +37,12 @@ def static_channels(targets: DataFrame, src: Sources) -> DataFrame:
     return out
 
 
-def weather_channels(targets: DataFrame, days: DataFrame, layers: dict[str, Layer]) -> DataFrame:
-    """(event_id, day, row, col, fields): bilinear, gaps filled with the field's mean over its source that day.
-
-    The fields of one source grid are carried together, so each grid costs one join.
-    """
+def weather_channels(targets: DataFrame, days: DataFrame, layer: Layer) -> DataFrame:
+    """(event_id, day, row, col, fields): bilinear, gaps filled with the field's mean over its source that day."""
     at = targets.join(days, "event_id").withColumn("day", F.explode("days")).drop("days")
-    out, sources = at, None
-    for f, layer in layers.items():
-        out = g.resample_bilinear(out, layer.cells, layer.ref, by=("day",)).withColumnRenamed("value", f)
-        mean = layer.cells.select("day", F.col("value").alias(f))
-        sources = mean if sources is None else sources.unionByName(mean, allowMissingColumns=True)
-    return weather.fill_from_source_mean(out, sources, tuple(layers))
+    fields = weather.FIELDS
+    out = g.resample_bilinear(at, layer.cells, layer.ref, by=("day",), values=fields)
+    return weather.fill_from_source_mean(out, layer.cells, fields)
 
 
 def ndvi_channel(targets: DataFrame, days: DataFrame, layer: Layer) -> DataFrame:

@@ -16,10 +16,8 @@ def forecast_requests(requests: DataFrame, src: Sources, res: float = 250.0, par
     """
     boxes, days, ignition = forecast.point_ignition_inputs(requests, res)
     boxes = durable(boxes)
-    have = None
-    for f, layer in src.weather.items():
-        one = layer.cells.select("day").distinct().withColumn("field", F.lit(f))
-        have = one if have is None else have.unionByName(one)
+    present = src.weather.cells.groupBy("day").agg(*[F.count(f).alias(f) for f in weather.FIELDS])
+    have = present.unpivot("day", list(weather.FIELDS), "field", "n").filter("n > 0")
     wanted = days.select(F.explode("days").alias("day"))
     require_none(weather.missing_weather_days(wanted, have), "no weather")
     cells = durable(from_parts(boxes, days, g.to_local(ignition, boxes), src))
