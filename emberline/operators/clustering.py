@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from emberline.functions.geo import EARTH_RADIUS_M, chord_m, haversine_m, sphere_xyz
 from emberline.operators.components import connected_components
 from emberline.operators.proximity import near_groups, prefixed
+from emberline.operators.skew import join_counted
 from emberline.session import durable
 
 NEAR_M = 750.0
@@ -43,11 +44,12 @@ def brick_items(bricked: DataFrame) -> DataFrame:
             .withColumns({"x": x, "y": y, "z": z}))
 
 
-def _candidates(parts: DataFrame, side: float) -> DataFrame:
+def _candidates(parts: DataFrame, side: float, reach: float) -> DataFrame:
     """Pairs of bricks that can hold a near pair: touching blocks of 2x2x2 cubes, same or next time slot.
 
-    Within a slot only the forward half of the neighbourhood is visited, and only blocks that the
-    Earth's surface crosses, so a brick sends about twenty rows. They carry the brick's bounds.
+    Within a slot only the forward half of the neighbourhood is visited, and only blocks within
+    reach that the Earth's surface crosses, so a brick sends about fifteen rows. They carry the
+    brick's bounds.
     """
     half = lambda c: F.shiftright(F.col(c), 1)
     home = prefixed(parts, "b_").select("*", *[half(f"b_g.{d}").alias(d.upper()) for d in "ijk"], F.col("b_g.s").alias("S"))
@@ -60,6 +62,11 @@ def _candidates(parts: DataFrame, side: float) -> DataFrame:
     centre = lambda c: (F.col(c) + 0.5) * (2 * side)
     radius = F.sqrt(centre("I") * centre("I") + centre("J") * centre("J") + centre("K") * centre("K"))
     probe = probe.filter(F.abs(radius - EARTH_RADIUS_M) <= side * math.sqrt(3) + 1)
+    away = F.lit(0.0)
+    for block, d in (("I", "x"), ("J", "y"), ("K", "z")):
+        low = F.col(block) * (2 * side)
+        away = away + F.pow(F.greatest(F.lit(0.0), low - F.col(f"a_{d}_hi"), F.col(f"a_{d}_lo") - low - 2 * side), 2)
+    probe = probe.filter(F.sqrt(away) <= reach + 1)
     twice = F.col("a_g.s") == F.col("b_g.s")  # bricks of one block and slot meet in both directions
     for d in "ijk":
         twice = twice & (half(f"a_g.{d}") == half(f"b_g.{d}"))
@@ -93,7 +100,7 @@ def detection_links(bricked: DataFrame, near_m: float = NEAR_M, near_days: float
         return F.array(*[F.floor(F.col(d) * (f / side)).cast("bigint") for d in "xyz"],
                        F.floor(F.col("t") * (f / span)).cast("bigint"))
     links = near_groups(
-        items, lambda parts: _candidates(parts, side), ["x", "y", "z", "t"],
+        items, lambda parts: _candidates(parts, side, limit), ["x", "y", "z", "t"],
         surely=(F.sqrt(high) <= limit - _MARGIN_M) & (t_high <= span),
         never=(F.sqrt(low) > limit + _MARGIN_M) | (t_low > span), near=near, part=part)
     same = F.col("a.s") == F.col("b.s")
@@ -102,9 +109,10 @@ def detection_links(bricked: DataFrame, near_m: float = NEAR_M, near_days: float
 
 
 def brick_components(bricked: DataFrame, near_m: float = NEAR_M, near_days: float = NEAR_DAYS) -> DataFrame:
-    """(brick, root): bricks of one fire share the root; chaining over any length is intended."""
-    vertices = bricked.select(F.col("brick").alias("v")).distinct()
-    return connected_components(vertices, detection_links(bricked, near_m, near_days)).withColumnRenamed("v", "brick")
+    """(brick, root, n): bricks of one fire share the root; chaining over any length is intended. n counts detections."""
+    vertices = durable(bricked.groupBy(F.col("brick").alias("v")).agg(F.count("*").alias("n")))
+    roots = connected_components(vertices, detection_links(bricked, near_m, near_days))
+    return roots.join(vertices, "v").withColumnRenamed("v", "brick")
 
 
 # ---------------------------------------------------------------- stable event ids
@@ -114,18 +122,20 @@ def detection_key() -> Column:
                        F.format_string("%.6f", "latitude"), F.format_string("%.6f", "longitude"))
 
 
-def stable_ids(detections: DataFrame, group: str, leaf: int = 500_000) -> DataFrame:
+def stable_ids(detections: DataFrame, group: str, sizes: DataFrame | None = None, leaf: int = 500_000) -> DataFrame:
     """(group, event_id): first 32 bits of the SHA-256 of an event's sorted detection keys.
 
     Up to `leaf` detections this is the digest of the keys joined by two pipes. A larger event is
     cut by key hash into leaves of about that size and the digest is taken over the sorted leaf
     digests, so no task ever holds a whole mega-event; the id stays independent of input order.
+    `sizes` is a durable (group, n), counted here if not given.
     """
     keyed = detections.select(group, detection_key().alias("key"))
-    sizes = keyed.groupBy(group).agg(F.count("*").alias("n"))
+    if sizes is None:
+        sizes = durable(keyed.groupBy(group).agg(F.count("*").alias("n")))
     leaves = F.ceil(F.col("n") / leaf)
     digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "||"), 256)
-    per_leaf = (keyed.join(sizes, group)
+    per_leaf = (join_counted(keyed, sizes, group)
                 .withColumn("leaf", F.pmod(F.xxhash64("key"), leaves))
                 .groupBy(group, "leaf").agg(digest("key").alias("d")))
     top = per_leaf.groupBy(group).agg(F.count("*").alias("k"), F.min("d").alias("only"), digest("d").alias("tree"))
@@ -136,8 +146,11 @@ def stable_ids(detections: DataFrame, group: str, leaf: int = 500_000) -> DataFr
 def cluster_detections(detections: DataFrame, near_m: float = NEAR_M, near_days: float = NEAR_DAYS) -> DataFrame:
     """Detections with their `event_id`; a detection near no other is an event of its own."""
     bricked = durable(with_bricks(detections, near_m, near_days))
-    rooted = durable(bricked.join(brick_components(bricked, near_m, near_days), "brick").drop("brick"))
-    return rooted.join(stable_ids(rooted, "root"), "root").drop("root")
+    parts = durable(brick_components(bricked, near_m, near_days))
+    rooted = durable(join_counted(bricked, parts, "brick").drop("brick", "n"))
+    sizes = durable(parts.groupBy("root").agg(F.sum("n").alias("n")))
+    named = durable(stable_ids(rooted, "root", sizes).join(sizes, "root"))
+    return join_counted(rooted, named, "root").drop("root", "n")
 
 
 def event_summary(clustered: DataFrame) -> DataFrame:

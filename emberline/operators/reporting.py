@@ -40,8 +40,8 @@ def event_descriptors(cells: DataFrame) -> DataFrame:
         F.avg(F.hypot("u", "v")).alias("mean_wind_speed"),
         F.when(steady, F.lit(0.0)).otherwise(spread).alias("wind_dir_circ_std_deg"),
         only("elevation_std_m"), only("mean_slope_deg"), only("nonflammable_fraction"),
-        (F.sum("t_sum") / F.sum("t_n")).alias("mean_temperature"),
-        (F.sum("h_sum") / F.sum("h_n")).alias("mean_relative_humidity"))
+        F.try_divide(F.sum("t_sum"), F.sum("t_n")).alias("mean_temperature"),
+        F.try_divide(F.sum("h_sum"), F.sum("h_n")).alias("mean_relative_humidity"))
     burned = (cells.groupBy("event_id", "row", "col").agg(F.max("fire_mask").alias("f")).groupBy("event_id")
               .agg(F.count_if(F.col("f") >= 0.5).alias("true_cells_final")))
     return wide.join(burned, "event_id")

@@ -19,6 +19,7 @@ def session(master: str | None = None, partitions: int | None = None, app: str =
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.sources.partitionOverwriteMode", "dynamic"))
     if master:
@@ -35,7 +36,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise DataError("spark.checkpoint.dir must name a shared folder on a cluster")

@@ -118,6 +118,14 @@ def test_leaf_digest_does_not_depend_on_order(spark):
     assert ids[0] == ids[1] != flat
 
 
+def test_hot_keys_join_like_any_other(spark):
+    from emberline.operators.skew import join_counted
+    left = spark.createDataFrame([(k, i) for k, n in (("a", 50), ("b", 3), ("c", 1)) for i in range(n)], "k string, i int")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").filter("k <> 'c'")
+    plain, split = (sorted(map(tuple, join_counted(left, right, "k", h).select("k", "i", "n").collect())) for h in (100, 10))
+    assert plain == split and len(plain) == 53
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "forest"])
 def test_components(spark, shape):
     rnd = random.Random(3)
