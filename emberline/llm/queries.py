@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import chat, decontaminate, mixing
-from emberline.llm.common import table
+from emberline.llm import chat, decontaminate, langid, mixing, toxicity
+from emberline.llm.common import held_out, table
 from emberline.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,21 @@ def query(fn):
     return fn
 
 
+@query
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_texts(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"),
+                         F.col("tox_label").alias("predicted"), "evidence")
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs), keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "shares")
+
+
 @query
 def op8_mixing(spark, sf_dir):
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
