@@ -42,3 +42,22 @@ select r.conv_id, k.n_turns, k.copies, r.rank,
        || replace(replace(coalesce(text, ''), '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') || '<|im_end|>' || chr(10) as piece
 from ranked r join kept k on r.conv_id = k.conv_id
 """
+
+ORACLES["op5_jaccard_join"] = r"""
+with recursive words as (
+  select doc_id, row_number() over () as r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+grams as materialized (
+  select distinct r, array_to_string(w[i:i + 2], ' ') as g
+  from (select r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from words where len(w) > 0)),
+sizes as materialized (select r, count(*) as n from grams group by r),
+common as (select a.r as a, b.r as b, count(*) as c from grams a join grams b on a.g = b.g and a.r <> b.r group by a.r, b.r),
+links as materialized (
+  select a, b from common join sizes x on x.r = a join sizes y on y.r = b where 100 * c >= 90 * (x.n + y.n - c)),
+reach as (
+  select r as s, r as e from words union select reach.s, links.b from reach join links on links.a = reach.e),
+lowest as (select s, min(doc_id) as component_id from reach join words on words.r = reach.e group by s)
+select doc_id, coalesce(n, 0) as n_shingles, component_id
+from words left join sizes using (r) join lowest on lowest.s = words.r
+"""

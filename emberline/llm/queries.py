@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import chat, decontaminate, langid, mixing, toxicity
+from emberline.llm import chat, decontaminate, jaccard, langid, linededup, mixing, toxicity
 from emberline.llm.common import held_out, table
 from emberline.llm.oracles import ORACLES  # noqa: F401
 
@@ -33,6 +33,16 @@ def op3_language_id(spark, sf_dir):
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "shares")
 
 
+@query
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("key")
+
+
+@query
+def op7_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_mixing(spark, sf_dir):
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
