@@ -146,7 +146,8 @@ def keep_one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> Da
     """The documents that are the smallest doc_id of their component; texts without words stay, and those
     of components without any id. Of repeated rows one stays."""
     found = jaccard_components(docs, k, percent)
-    mark = F.when(F.col("component_id").isNull() | (F.col("n_shingles") == 0), F.struct(F.lit(True), F.col("key"))).otherwise(F.struct(F.lit(False), F.col("component_id")))
+    mark = F.when(F.col("component_id").isNull() | (F.col("n_shingles") == 0), F.concat(F.lit("k"), F.col("key"))).otherwise(
+        F.concat(F.lit("c"), F.col("component_id")))
     first = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(mark.alias("mark")).agg(F.min("key").alias("key"))
     keyed = docs.withColumn("_key", row_key("doc_id", "text"))
     return (keyed.join(first.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi")

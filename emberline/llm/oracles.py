@@ -61,3 +61,13 @@ lowest as (select s, min(doc_id) as component_id from reach join words on words.
 select doc_id, coalesce(n, 0) as n_shingles, component_id
 from words left join sizes using (r) join lowest on lowest.s = words.r
 """
+
+ORACLES["op1_one_bit_neighbours"] = r"""
+with v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e) as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+"""

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import chat, decontaminate, jaccard, langid, linededup, mixing, toxicity
+import corpus_pipeline
+from emberline.llm import ann, chat, decontaminate, jaccard, langid, licenses, linededup, mixing, secrets, toxicity
 from emberline.llm.common import held_out, table
 from emberline.llm.oracles import ORACLES  # noqa: F401
 
@@ -18,6 +19,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_one_bit_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -33,11 +39,25 @@ def op3_language_id(spark, sf_dir):
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "shares")
 
 
+@query
+def op4_secret_scan(spark, sf_dir):
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
+                        F.array_join("spans", ",").alias("spans"), "n_entropy")
+
+
 @query
 def op5_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("key")
 
 
+@query
+def op6_license_scan(spark, sf_dir):
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    said = F.transform("matches", lambda m: F.concat_ws(":", m["license"], F.round(m["containment"] * 1000).cast("int").cast("string"), m["start"].cast("string")))
+    return found.select("doc_id", "n_licenses", F.coalesce(F.array_join(said, ","), F.lit("")).alias("licenses"))
+
+
 @query
 def op7_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -60,3 +80,8 @@ def op9_decontamination(spark, sf_dir):
 @query
 def op10_chat_formatting(spark, sf_dir):
     return chat.rendered_turns(table(spark, sf_dir, "conversations"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
