@@ -6,13 +6,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberline.llm.common import hashed_texts, mix, parts, row_key, shingles, stored
 from emberline.operators.components import connected_components
 
 SMALL = 100  # texts with fewer shingles are compared by all of them, others by those with small hashes
-_KEYS, _BAND = 8, math.log(1.05)
+_KEYS, _LEADERS, _BAND = 8, 3, math.log(1.01)
 
 
 def _sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -69,6 +69,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(both * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - both)).select("a", "b"))
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(v, root) after the links (a, b) between members have joined their components."""
+    root_of = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias("r" + c))
+    bridges = links.join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    tops = connected_components(roots.select(F.col("root").alias("v")).distinct(), stored(bridges, "bridges"))
+    return roots.join(tops.select(F.col("v").alias("root"), F.col("root").alias("top")), "root").select("v", F.col("top").alias("root"))
+
+
 def _least_common(n: Column, other: Column, t: float) -> Column:
     """The overlap that a set of size n needs with one of at least `other` elements."""
     return F.ceil(F.lit(t / (1 + t)) * (n + F.greatest(other, F.ceil(n * t - 1e-9))) - 1e-9)
@@ -93,14 +101,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
         if reps.groupBy("v").count().filter("count > 1").isEmpty():
             break
         seed += 1
-    # The coarsest group, all other texts: a set whose sample misses more tokens than it may has no partner at all.
-    spread = reps.select("v", "n", "m", F.posexplode("tokens").alias("i", "token"))
-    shared = stored(spread.groupBy("token").count().filter("count > 1").select("token"), "shared")
-    may_miss = F.col("n") - F.ceil(F.col("n") * t - 1e-9)
-    alive = (spread.filter("i < m").join(shared, "token").groupBy("v", "n", "m").agg(F.count("*").alias("c"))
-             .select("v", F.col("n").alias("n_"), F.col("m").alias("m_"), "c"))
-    kept = reps.select("v", "key", "n", "m", "keys").join(alive.select("v", "c"), "v", "left").fillna(0, ["c"])
-    kept = stored(kept.filter(F.col("c") >= F.col("m") - may_miss).drop("c"), "kept")
+    # The coarsest group, all other texts: a set whose sample has more tokens of its own than it may miss has no partner at all.
+    most_missed = F.col("n") - F.ceil(F.col("n") * t - 1e-9)
+    spread = reps.select("v", "m", F.posexplode("tokens").alias("i", "token")).select("v", "token", (F.col("i") < F.col("m")).alias("counts"))
+    own = spread.groupBy("token").agg(F.min("v").alias("v"), F.max("v").alias("last"), F.min("counts").alias("counts")).filter("v = last and counts")
+    kept = reps.select("v", "key", "n", "keys").join(own.groupBy("v").agg(F.count("*").alias("own")), "v", "left")
+    kept = stored(kept.filter(F.coalesce("own", F.lit(0)) <= most_missed).drop("own"), "kept")
     sets = stored(_whole_sets(docs, kept.select("key", "v"), k), "whole")
     # Groups: texts linked to the leader of a bucket of equal minima.
     met = kept.select("v", F.explode("keys").alias("bucket"))
@@ -109,31 +115,55 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     stars = stored(_linked(pairs, sets, percent), "stars")
     roots = stored(connected_components(kept.select("v"), stars), "roots")
     sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
-    grouped = stored(kept.select("v", "n", "m").join(roots, "v").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / _BAND))
-                     .join(sizes, "root"), "groups")
-    # The matrix: which groups (a component, one band of sizes) hold a token; only tokens of several components matter.
-    mine = reps.select("v", F.posexplode("tokens").alias("i", "token")).join(grouped, "v")
-    mine = stored(mine.select("token", "i", "v", "n", "m", "root", "band", "members"), "tokens")
-    across = mine.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
-    mine = stored(mine.join(across, "token"), "tokens")
-    matrix = mine.groupBy("token", "root", "band", "members").agg(F.lit(1).alias("one")).select(
-        F.col("token").alias("t"), F.col("root").alias("g"), F.col("band").alias("g_band"), F.col("members").alias("g_members"))
-    bounds = grouped.groupBy(F.col("root").alias("g"), F.col("band").alias("g_band")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    grouped = stored(kept.select("v", "n").join(roots, "v").join(sizes, "root")
+                     .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / _BAND)), "groups")
+    # Again with whole sets against all other groups: tokens that only the own group holds.
+    held = sets.select("v", F.explode("set").alias("token")).join(grouped.select("v", "n", "root", "members", "band"), "v")
+    tokens = stored(held.groupBy("token").agg(
+        F.count("*").alias("df"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+        .select("token", "df", "v0", (F.col("v0") == F.col("v1")).alias("alone"), (F.col("r0") == F.col("r1")).alias("inside")), "tokens")
+    alone = tokens.filter("alone").groupBy(F.col("v0").alias("v")).agg(F.count("*").alias("c"))
+    together = held.filter("members > 1").join(tokens.filter("inside and not alone").select("token"), "token").groupBy("v").agg(F.count("*").alias("c"))
+    private = alone.unionByName(together).groupBy("v").agg(F.sum("c").alias("private"))
+    open_ = stored(grouped.join(private, "v", "left").withColumn("private", F.coalesce("private", F.lit(0)))
+                   .filter(F.col("private") <= most_missed), "open")
+    # The matrix of what may decide: of each open text the rarest tokens, one more than it may miss; private ones come first.
+    # Two linked sets share one of them, within as many as the sizes of the two let them miss.
+    rare = sets.select("v", F.explode("set").alias("token")).join(open_.select("v"), "v", "left_semi").join(tokens.filter("not inside").select("token", "df"), "token")
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("df", "token")) - 1
+    ranked = rare.withColumn("i", nth).join(open_, "v").withColumn("i", F.col("i") + F.col("private")).filter(F.col("i") <= most_missed)
+    ranked = stored(ranked.select("token", "i", "v", "n", "root", "band", "members"), "prefixes")
+    # Where a rare token is held by many, a few leaders first: whoever links to one needs no other pair of that component.
+    best = [F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("h"), F.col("v").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))).alias(f"l{i}") for i in range(_LEADERS)]
+    led = ranked.join(ranked.groupBy("token").agg(*best), "token").select("v", "n", "root", F.explode(F.array(*[f"l{i}" for i in range(_LEADERS)])).alias("l"))
+    led = led.select(F.col("v").alias("a"), "n", "root", "l.b", "l.nb", "l.rb").filter(
+        (F.col("root") != F.col("rb")) & (F.col("n") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("n") * percent)).select("a", "b").distinct()
+    roots = stored(_joined(roots, stored(_linked(led, sets, percent), "led")), "roots")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
+    label = roots.join(sizes, "root").select("v", "root", "members")
+    grouped = stored(grouped.drop("root", "members").join(label, "v"), "groups")
+    ranked = stored(ranked.drop("root", "members").join(label, "v"), "prefixes")
+    matrix = stored(ranked.groupBy("token", "root", "band", "members").agg(F.min("i").alias("g_i"), F.min("n").alias("lo"), F.max("n").alias("hi")).select(
+        F.col("token").alias("t"), F.col("root").alias("g"), F.col("band").alias("g_band"), F.col("members").alias("g_members"), "g_i", "lo", "hi"), "matrix")
     larger = (F.col("g_members") > F.col("members")) | ((F.col("g_members") == F.col("members")) & (F.col("g") > F.col("root")))
-    reachable = F.abs(F.col("g_band") - F.col("band")) <= F.lit(math.ceil(-math.log(t) / _BAND) + 1)
-    overlap = (mine.filter("i < m").join(stored(matrix, "matrix"), (F.col("token") == F.col("t")) & larger & reachable)
-               .groupBy("v", "n", "m", "g", "g_band").agg(F.count("*").alias("c")))
     need = _least_common(F.col("n"), F.col("lo"), t)
-    opened = overlap.join(bounds, ["g", "g_band"]).filter(
-        (F.col("c") >= F.col("m") - F.col("n") + need) & (F.col("n") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("n") * percent))
+    fits = (F.col("n") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("n") * percent)
+    asked = ranked.join(matrix, (F.col("token") == F.col("t")) & larger & fits & (F.col("i") <= F.col("n") - need) & (F.col("g_i") <= F.col("hi") - need))
+    asked = stored(asked.select("v", "n", "g", "g_band").distinct(), "asked")
+    # The overlap of a text with the whole union of a group of several; a group of one is opened at once.
+    many = grouped.groupBy(F.col("root").alias("g"), F.col("band").alias("g_band")).agg(
+        F.count("*").alias("inside"), F.min("n").alias("lo")).filter("inside > 1")
+    doubtful = asked.join(many, ["g", "g_band"])
+    union = sets.select("v", F.explode("set").alias("token")).join(grouped, "v").groupBy(F.col("root").alias("g"), F.col("band").alias("g_band"), "token").agg(F.lit(1).alias("one")).drop("one")
+    mine = sets.select("v", F.explode("set").alias("token"))
+    met = doubtful.join(mine, "v").join(union, ["g", "g_band", "token"]).groupBy("v", "n", "g", "g_band", "lo").agg(F.count("*").alias("c"))
+    opened = asked.join(many, ["g", "g_band"], "left_anti").select("v", "n", "g", "g_band").unionByName(
+        met.filter(F.col("c") >= need).select("v", "n", "g", "g_band"))
     members = grouped.select(F.col("v").alias("b"), F.col("root").alias("g"), F.col("band").alias("g_band"), F.col("n").alias("nb"))
-    asked = stored(opened.select(F.col("v").alias("a"), "n", "g", "g_band"), "opened").join(members, ["g", "g_band"]).filter(
+    asked = stored(opened.withColumnRenamed("v", "a"), "opened").join(members, ["g", "g_band"]).filter(
         (F.col("n") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("n") * percent)).select("a", "b")
     links = stored(_linked(asked, sets, percent), "links")
-    root_of = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias("r" + c))
-    bridges = links.join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    tops = connected_components(roots.select(F.col("root").alias("v")).distinct(), stored(bridges.distinct(), "bridges"))
-    final = stored(roots.join(tops.select(F.col("v").alias("root"), F.col("root").alias("top")), "root").select("v", "top"), "tops")
+    final = stored(_joined(roots, links), "tops").withColumnRenamed("root", "top")
     named = reps.select("v", "d1", "d2", "n", "low").join(final, "v", "left").withColumn("top", F.coalesce("top", "v"))
     lowest = stored(named.groupBy("top").agg(F.min("low").alias("component_id")), "lowest")
     classes = stored(named.join(lowest, "top").select("d1", "d2", "n", "component_id"), "classes")
