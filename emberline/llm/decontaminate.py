@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from emberline.llm.common import PLAIN, parts, stored
 
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 N = 10
 BLOCK = 400_000  # windows in one broadcast set; a larger benchmark is scanned in several blocks of items
 _FOUND = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
@@ -147,7 +146,7 @@ def _without(text, spans):
     if text is None or not len(spans):
         return text
     raw = text.encode()
-    at = [m.span() for m in WORD.finditer(raw)]
+    at = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(PLAIN))]
     for a, b in reversed([list(x) for x in spans]):
         raw = raw[:at[a][0]] + b"\n" + raw[at[b - 1][1]:]
     return raw.decode()
