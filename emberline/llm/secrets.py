@@ -42,18 +42,18 @@ def window_entropy(text: Column, width: int = WINDOW) -> Column:
     at = F.filter(at, lambda i: i >= 0)
     plogp = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 1)])
     f = lambda n: F.element_at(plogp, n + 1)
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(-1.0).alias("best"))
+    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(-1.0).alias("best"), at.alias("at"))  # the characters ride along, else every step would split anew
 
     def step(state, i):
-        new = F.element_at(at, i)
-        old = F.when(i > width, F.element_at(at, F.greatest(i - width, F.lit(1)))).otherwise(F.lit(-1))
+        new = F.element_at(state["at"], i)
+        old = F.when(i > width, F.element_at(state["at"], F.greatest(i - width, F.lit(1)))).otherwise(F.lit(-1))
         n_old = F.when(old >= 0, F.element_at(state["n"], F.greatest(old, F.lit(0)) + 1)).otherwise(F.lit(0))
         s = F.when(old >= 0, state["s"] + f(F.greatest(n_old - 1, F.lit(0))) - f(n_old)).otherwise(state["s"])
         n_new = F.element_at(state["n"], new + 1) - F.when(old == new, F.lit(1)).otherwise(F.lit(0))
         s = s + f(n_new + 1) - f(n_new)
         counts = F.transform(state["n"], lambda c, j: c - (j == old).cast("int") + (j == new).cast("int"))
         best = F.when(i >= width, F.greatest(state["best"], F.lit(math.log2(width)) - s / width)).otherwise(state["best"])
-        return F.struct(counts.alias("n"), s.alias("s"), best.alias("best"))
+        return F.struct(counts.alias("n"), s.alias("s"), best.alias("best"), state["at"].alias("at"))
 
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), zero, step, lambda state: state["best"])
 
