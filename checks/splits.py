@@ -161,8 +161,9 @@ def _(spark, d):
 
 @check("o3_sample_cap", "split:s event_id:i day_idx:i n:i", "event_cell_day", """
 pairs as (select distinct case event_id % 3 when 0 then 'train' when 1 then 'val' else 'test' end as split, event_id, day_idx from event_cell_day),
-k as (select *, row_number() over (partition by split order by event_id, day_idx) as k from pairs),
-result as (select split, k.event_id, k.day_idx, count(*) as n from k join event_cell_day e on e.event_id = k.event_id and e.day_idx = k.day_idx where k <= 3 group by all)""")
+k as (select *, row_number() over (partition by split order by sha256('42|' || event_id || '|' || day_idx), event_id, day_idx) as k from pairs),
+result as (select split, k.event_id, k.day_idx, count(*) as n from k join event_cell_day e on e.event_id = k.event_id and e.day_idx = k.day_idx
+  where k <= 3 or split <> 'train' group by all)""")
 def _(spark, d):
     cells = fixtures.event_cell_day(spark, d)
     k = F.col("event_id") % 3

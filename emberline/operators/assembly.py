@@ -89,14 +89,20 @@ def training_pairs(cells: DataFrame, cumulative: bool = True) -> DataFrame:
     return (out.withColumn("label", F.lead("fire_mask").over(w)).filter(F.col("label").isNotNull()))
 
 
-def sample_cap(pairs: DataFrame, n: int, splits=("train", "val", "test")) -> DataFrame:
-    """At most `n` (event, day) samples per split, the first in key order (a top-n per task, then one merge)."""
+def sample_cap(pairs: DataFrame, n: int, splits=("train",), seed: int = 42) -> DataFrame:
+    """At most `n` (event, day) samples of each of `splits`, the first in seeded hash order; other splits stay whole.
+
+    A documented bound of the labelled rows a model is fitted on. Val and test are scored whole unless named. Each
+    cut is a top-n per task and one merge.
+    """
     keys = ["split", "event_id", "day_idx"]
-    keep = None
+    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys[1:]]), 256)
+    out = pairs.filter(~F.coalesce(F.col("split").isin(*splits), F.lit(False)))
     for s in splits:
-        top = (pairs.filter(F.col("split") == s).select(*keys).distinct().orderBy("event_id", "day_idx").limit(n))
-        keep = top if keep is None else keep.unionByName(top)
-    return pairs.join(keep, keys, "left_semi")
+        part = pairs.filter(F.col("split") == s)
+        top = part.select(*keys).distinct().orderBy(order, *keys[1:]).limit(n)
+        out = out.unionByName(part.join(top, keys, "left_semi"))
+    return out
 
 
 def ndws_to_channels(cells: DataFrame, res: float = 1000.0) -> DataFrame:
@@ -126,7 +132,8 @@ def ndws_to_channels(cells: DataFrame, res: float = 1000.0) -> DataFrame:
 
 def export_served_layers(layers: DataFrame, k: int = 8) -> DataFrame:
     """The CELL rows a forecast reads: static layers as they are, weather fields averaged over k x k cells."""
-    kinds = {r.layer for r in layers.select("layer").distinct().limit(10_000).collect()}
+    wanted = layers.filter(F.col("layer").isin("elevation", *FIELDS))
+    kinds = {r.layer for r in wanted.select("layer").distinct().collect()}
     if "elevation" not in kinds:
         raise DataError("no elevation layer to serve")
     if not kinds & set(FIELDS):

@@ -48,15 +48,13 @@ def blend_scores(pairs: DataFrame) -> DataFrame:
 def select_blend_weight(pairs: DataFrame) -> float:
     """Weight of the second forecast with the least Brier on validation cells (KEY, pa, pb, y).
 
-    A larger weight must improve by more than 1e-12 to win. Eleven scores reach the driver.
+    Scores equal to twelve decimals are a tie, which the smallest weight wins.
     """
-    best = None
-    for r in blend_scores(pairs).orderBy("weight").collect():
-        if best is None or r.brier < best.brier - 1e-12:
-            best = r
-    if best is None:
+    chosen = F.min_by("weight", F.struct(F.round("brier", 12), F.col("weight")))
+    weight = blend_scores(pairs).agg(chosen.alias("weight")).first().weight
+    if weight is None:
         raise DataError("no validation cells to choose a blend weight from")
-    return best.weight
+    return weight
 
 
 def _features(pairs: DataFrame) -> DataFrame:

@@ -82,7 +82,8 @@ def prediction_faults(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """(model, event_id, fault) of every prediction set that is not one p in [0, 1] per scored cell and day.
 
     Presence is checked from counts: a set is complete when it has no repeated key, no stranger and
-    as many rows as the event has scored cells times days.
+    as many rows as the event has scored cells times days. Rows of other days count for nothing, so a
+    set of nothing else has missing cells.
     """
     size = truth.groupBy("event_id").agg(
         (F.count("*") * (F.first("last_idx") - F.first("anchor"))).alias("expected"))
@@ -91,10 +92,11 @@ def prediction_faults(pred: DataFrame, truth: DataFrame) -> DataFrame:
         F.max((F.col("p").isNull() | F.isnan("p")).cast("int")).alias("missing"))
     joined = keyed.join(truth.withColumn("known", F.lit(1)), CELL, "left")
     scored = F.col("known").isNull() | ((F.col("day_idx") > F.col("anchor")) & (F.col("day_idx") <= F.col("last_idx")))
-    sets = joined.filter(scored).groupBy("model", "event_id").agg(
-        F.max("copies").alias("copies"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.max("missing").alias("missing"), F.count_if(F.col("known").isNull()).alias("strangers"),
-        F.count("known").alias("present"))
+    of = lambda c: F.when(scored, F.col(c))
+    sets = joined.groupBy("model", "event_id").agg(
+        F.max(of("copies")).alias("copies"), F.min(of("lo")).alias("lo"), F.max(of("hi")).alias("hi"),
+        F.max(of("missing")).alias("missing"), F.count_if(F.col("known").isNull()).alias("strangers"),
+        F.count(of("known")).alias("present"))
     fault = (F.when(F.col("copies") > 1, "repeated cell").when(F.col("strangers") > 0, "cell outside the event")
              .when((F.col("missing") > 0) | (F.col("lo") < 0) | (F.col("hi") > 1), "probability outside [0, 1]")
              .when(F.col("present") < F.col("expected"), "missing cells"))
@@ -108,6 +110,8 @@ def validate_prediction(pred: DataFrame, truth: DataFrame) -> DataFrame:
     n_events = truth.select("event_id").distinct().count()
     per_model = pred.select("model", "event_id").distinct().groupBy("model").agg(F.count("*").alias("events"))
     require_none(per_model.filter(F.col("events") != n_events), f"model without a prediction for each of {n_events} events")
+    if n_events and per_model.isEmpty():
+        raise DataError(f"no prediction for any of {n_events} events")
     return pred
 
 

@@ -86,13 +86,11 @@ def test_short_event_is_an_error(spark):
     (lambda f: f.withColumn("p", F.lit(1.2)), "outside"),
     (lambda f: f.withColumn("p", F.lit(None).cast("double")), "outside"),
     (lambda f: f.withColumn("col", F.col("col") + 1), "cell outside the event"),
-    (lambda f: f.filter("false"), "no row of the event")])
+    (lambda f: f.withColumn("day_idx", F.lit(0)).distinct(), "missing cells"),
+    (lambda f: f.filter("false"), "no prediction")])
 def test_invalid_predictions(spark, bad, fault):
     truth = ev.truth_cells(state(spark, [[0], [1], []]))
     pred = bad(forecast(spark, [1, 2]))
-    if fault == "no row of the event":
-        assert ev.event_metrics(ev.score_join(pred, truth)).count() == 0
-        return
     with pytest.raises(DataError, match=fault):
         ev.validate_prediction(pred, truth)
 
@@ -103,6 +101,12 @@ def test_event_without_prediction_is_an_error(spark):
         ev.validate_prediction(forecast(spark, [1]), truth)
 
 
+def test_event_with_only_its_anchor_day_is_an_error(spark):
+    truth = ev.truth_cells(state(spark, [[0], [1]]).union(state(spark, [[0], [1]], event=2)))
+    with pytest.raises(DataError, match="event_id': 2.*missing cells"):
+        ev.validate_prediction(forecast(spark, [1]).union(forecast(spark, [0], event=2)), truth)
+
+
 def test_bootstrap(spark):
     one = spark.createDataFrame([("m", 1, 0.4, 0.5, 0.1, 0.2)], "model string, event_id long, iou double, dice double, brier double, ece double")
     r = {x.metric: x for x in ev.bootstrap_ci(one, 50).collect()}
