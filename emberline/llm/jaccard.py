@@ -11,62 +11,81 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from emberline.llm.common import hashed_texts, mix, parts, row_key, shingles, stored
 from emberline.operators.components import connected_components
 
-SMALL = 100  # texts with fewer shingles are compared by all of them, others by those with small hashes
-_KEYS, _LEADERS, _BAND = 8, 3, math.log(1.01)
+_BOUNDS = (64, 128, 256, 512, 1024, 2048, 4096)  # sizes at which the share of sampled shingles falls
+_KEYS, _LEADERS, _BAND, _SIGMAS = 8, 3, math.log(1.01), 6
+
+
+def _share(n: int, missed: float) -> float:
+    """Share of hash space of which a set of n or more shingles keeps more than it may miss, by six standard deviations."""
+    low, high = missed, 1.0
+    for _ in range(50):
+        r = (low + high) / 2
+        low, high = (low, r) if r * n - _SIGMAS * math.sqrt(n * r * (1 - r)) >= missed * n + 1 else (r, high)
+    return high
 
 
 def _sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: set size n, 128-bit digest, keys by which copies meet, the sampled tokens (sorted) and how many of them count.
+    """Per row: set size n, 128-bit digest, keys by which copies meet, and its smallest shingle hashes.
 
-    The sample is a fixed share of the hash space, a half more than the share of tokens by which linked sets may differ.
+    Sets of fewer than 64 shingles keep all (class 0), larger ones those below a limit by size class. A pair is compared in the class
+    of its smaller set, so a set also holds the sample of the class c0 its smallest partner has (s0 hashes, s1 in its own class c1).
+    `tokens` has these, and at least one more than the set may miss. The first `m` tokens count towards those that no other set
+    holds, the first `e` are shown to the others.
     """
     t = percent / 100
-    limit = np.uint64(min((1 << 64) - 1, int(min(1.0, 1.5 * (1 - t)) * (1 << 64))))
+    whole = (1 << 64) - 1
+    limits = [whole] + [min(whole, int(_share(b, 1 - t) * (1 << 64))) for b in _BOUNDS]
+    base = np.uint64(min(whole, int(min(1.0, 1.5 * (1 - t)) * (1 << 64))))
 
     def run(batches):
+        def below(s, c):
+            return len(s) if c == 0 else int(np.searchsorted(s, np.uint64(limits[c])))
+
         for batch in batches:
             for part in parts(batch):
                 rows = []
                 for words in hashed_texts(part.column("text").cast(pa.binary()).to_pylist()):
                     s = shingles(words, k)
-                    n = len(s)
-                    low = int(np.searchsorted(s, limit))
+                    n, least = len(s), -(-len(s) * percent // 100)
+                    c1, c0 = (sum(b <= x for b in _BOUNDS) for x in (n, least))
+                    s1, s0, low = below(s, c1), below(s, c0), int(np.searchsorted(s, base))
                     minima = np.array([mix(s ^ np.uint64(0x7F4A7C15 * (i + 1))).min() for i in range(2 * _KEYS)] if n else [], np.uint64)
                     keys = mix(minima[::2] * np.uint64(3) + minima[1::2] + np.arange(len(minima) // 2, dtype=np.uint64)).view(np.int64)
                     rows.append((n, int(np.add.reduce(mix(s ^ np.uint64(1))).view(np.int64)) if n else 0,
                                  int(np.add.reduce(mix(s ^ np.uint64(2))).view(np.int64)) if n else 0, keys,
-                                 (s if n <= SMALL / t + 1 else s[:low]).view(np.int64), n if n < SMALL else low))
+                                 s[:max(s0, n - least + 1)].view(np.int64), n if c1 == 0 else low, n if c0 == 0 else low, c0, c1, s0, s1))
                 col = lambda i, kind: pa.array([r[i] for r in rows], kind)
-                longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("doc_id"), col(0, pa.int64()), col(1, pa.int64()), col(2, pa.int64()), col(3, longs), col(4, longs), col(5, pa.int64())],
-                    names=["key", "doc_id", "n", "d1", "d2", "keys", "tokens", "m"])
+                kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.int64()] * 6
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), *(col(i, kind) for i, kind in enumerate(kinds))],
+                                                 names=["key", "doc_id", "n", "d1", "d2", "keys", "tokens", "m", "e", "c0", "c1", "s0", "s1"])
 
     return docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "key long, doc_id long, n long, d1 long, d2 long, keys array<long>, tokens array<long>, m long")
+        run, "key long, doc_id long, n long, d1 long, d2 long, keys array<long>, tokens array<long>, m long, e long, c0 long, c1 long, s0 long, s1 long")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(v, n, set): all shingle hashes of the wanted texts (key, v)."""
-    def run(batches):
-        for batch in batches:
-            for part in parts(batch):
-                sets = [shingles(w, k).view(np.int64) for w in hashed_texts(part.column("text").cast(pa.binary()).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("v"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                                                 names=["v", "n", "set"])
+def _linked(pairs: DataFrame, docs: DataFrame, keys: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets pass the threshold; `keys` (v, key) says which row has the text of v.
 
-    rows = docs.select(row_key("doc_id", "text").alias("key"), "text").join(wanted, "key").select("v", "text")
-    return rows.mapInArrow(run, "v long, n long, set array<long>").groupBy("v").agg(F.any_value("n").alias("n"), F.any_value("set").alias("set"))
+    Texts travel, not sets: packed, they are a third as large.
+    """
+    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct().join(keys.select("v", "key"), "v")
+    texts = stored(docs.select(row_key("doc_id", "text").alias("key"), "text").join(wanted, "key").dropDuplicates(["key"]).select("v", "text"), "texts")
 
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch, "ta"):
+                left, right = (hashed_texts(part.column(c).cast(pa.binary()).to_pylist()) for c in ("ta", "tb"))
+                passed = []
+                for x, y in zip(left, right):
+                    x, y = shingles(x, k), shingles(y, k)
+                    small, large = (x, y) if len(x) < len(y) else (y, x)
+                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    both = int(np.count_nonzero(large[at] == small)) if len(small) else 0
+                    passed.append(both * 100 >= percent * (len(x) + len(y) - both))
+                yield part.select(["a", "b"]).filter(pa.array(passed, pa.bool_()))
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets pass the threshold."""
-    left = sets.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    right = sets.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    return (pairs.join(left, "a").join(right, "b").filter(near)
-            .filter(both * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - both)).select("a", "b"))
+    named = lambda c: texts.select(F.col("v").alias(c), F.col("text").alias("t" + c))
+    return pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -77,6 +96,19 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return roots.join(tops.select(F.col("v").alias("root"), F.col("root").alias("top")), "root").select("v", F.col("top").alias("root"))
 
 
+def _may_link(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose samples, in the class of the smaller set, differ by no more than linked sets may."""
+    t = percent / 100
+    side = lambda c: kept.select(F.col("v").alias(c), *(F.col(x).alias(x + c) for x in ("n", "tokens", "c0", "c1", "s0", "s1")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    c = F.least("c1a", "c1b")
+    size = lambda x: F.when(F.col("c1" + x) == c, F.col("s1" + x)).otherwise(F.col("s0" + x))
+    sample = lambda x: F.slice("tokens" + x, F.lit(1), size(x).cast("int"))
+    common = F.size(F.array_intersect(sample("a"), sample("b")))
+    need = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
+    return both.filter((size("a") - common <= F.col("na") - need) & (size("b") - common <= F.col("nb") - need)).select("a", "b")
+
+
 def _least_common(n: Column, other: Column, t: float) -> Column:
     """The overlap that a set of size n needs with one of at least `other` elements."""
     return F.ceil(F.lit(t / (1 + t)) * (n + F.greatest(other, F.ceil(n * t - 1e-9))) - 1e-9)
@@ -90,57 +122,64 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     reachable. Every link between different sets counts, none is capped or missed; a null doc_id is no candidate
     for the smallest (a component without other ids has null), a text without words is a component of its own. Repeated rows share a component.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must lie between 50 and 100")
     t = percent / 100
     sketch = stored(_sketched(docs, k, percent), "sketch")
     seed = 0
     while True:  # one vertex per set; the seed moves on should two digests meet in 64 bits
-        v = F.xxhash64("d1", "d2", "n", F.lit(seed))
-        reps = stored(sketch.filter("n > 0").groupBy("d1", "d2", "n").agg(
-            F.min("doc_id").alias("low"), F.min("key").alias("key"), F.any_value("keys").alias("keys"), F.any_value("tokens").alias("tokens"),
-            F.any_value("m").alias("m")).withColumn("v", v), "sets")
+        reps = stored(sketch.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"))
+                      .withColumn("v", F.xxhash64("d1", "d2", "n", F.lit(seed))), "sets")
         if reps.groupBy("v").count().filter("count > 1").isEmpty():
             break
         seed += 1
-    # The coarsest group, all other texts: a set whose sample has more tokens of its own than it may miss has no partner at all.
+    rows = sketch.filter("n > 0").withColumn("v", F.xxhash64("d1", "d2", "n", F.lit(seed)))
+    # The coarsest group, all other texts: a set with more sampled tokens of its own than it may miss has no partner at all.
     most_missed = F.col("n") - F.ceil(F.col("n") * t - 1e-9)
-    spread = reps.select("v", "m", F.posexplode("tokens").alias("i", "token")).select("v", "token", (F.col("i") < F.col("m")).alias("counts"))
-    own = spread.groupBy("token").agg(F.min("v").alias("v"), F.max("v").alias("last"), F.min("counts").alias("counts")).filter("v = last and counts")
-    kept = reps.select("v", "key", "n", "keys").join(own.groupBy("v").agg(F.count("*").alias("own")), "v", "left")
-    kept = stored(kept.filter(F.coalesce("own", F.lit(0)) <= most_missed).drop("own"), "kept")
-    sets = stored(_whole_sets(docs, kept.select("key", "v"), k), "whole")
-    # Groups: texts linked to the leader of a bucket of equal minima.
+    spread = rows.select("v", "m", F.posexplode(F.slice("tokens", F.lit(1), F.col("e").cast("int"))).alias("i", "token")).select(
+        "token", "v", F.when(F.col("i") < F.col("m"), F.col("v")).alias("counts"))
+    own = spread.groupBy("token").agg(F.min("v").alias("v"), F.max("v").alias("last"), F.max("counts").alias("counts")).filter("v = last and counts is not null")
+    kept = reps.select("v", "key", "n").join(own.groupBy("v").agg(F.count("*").alias("own")), "v", "left")
+    kept = kept.filter(F.coalesce("own", F.lit(0)) <= most_missed).select("v", "key")
+    kept = stored(rows.join(kept, ["v", "key"]).select("v", "key", "n", "keys", "tokens", "c0", "c1", "s0", "s1").dropDuplicates(["v"]), "kept")
+    # Groups: each text with the leader it meets in most buckets of equal minima, when the two link.
     met = kept.select("v", F.explode("keys").alias("bucket"))
-    leaders = stored(met.groupBy("bucket").agg(F.min("v").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"), "leaders")
-    pairs = met.join(leaders, "bucket").filter("v <> b").select(F.col("v").alias("a"), "b").distinct()
-    stars = stored(_linked(pairs, sets, percent), "stars")
+    leaders = met.groupBy("bucket").agg(F.min("v").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    most = met.join(leaders, "bucket").filter("v <> b").groupBy("v", "b").agg(F.count("*").alias("times"))
+    pairs = most.groupBy(F.col("v").alias("a")).agg(F.max(F.struct("times", "b"))["b"].alias("b"))
+    stars = stored(_linked(stored(_may_link(pairs, kept, percent), "stars"), docs, kept, k, percent), "links")
     roots = stored(connected_components(kept.select("v"), stars), "roots")
-    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
-    grouped = stored(kept.select("v", "n").join(roots, "v").join(sizes, "root")
-                     .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / _BAND)), "groups")
-    # Again with whole sets against all other groups: tokens that only the own group holds.
-    held = sets.select("v", F.explode("set").alias("token")).join(grouped.select("v", "n", "root", "members", "band"), "v")
-    tokens = stored(held.groupBy("token").agg(
-        F.count("*").alias("df"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        .select("token", "df", "v0", (F.col("v0") == F.col("v1")).alias("alone"), (F.col("r0") == F.col("r1")).alias("inside")), "tokens")
-    alone = tokens.filter("alone").groupBy(F.col("v0").alias("v")).agg(F.count("*").alias("c"))
-    together = held.filter("members > 1").join(tokens.filter("inside and not alone").select("token"), "token").groupBy("v").agg(F.count("*").alias("c"))
-    private = alone.unionByName(together).groupBy("v").agg(F.sum("c").alias("private"))
-    open_ = stored(grouped.join(private, "v", "left").withColumn("private", F.coalesce("private", F.lit(0)))
+    sized = lambda roots: roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root")
+    # Tokens by class (in the low bits): a pair is decided by the sample of its smaller set's class.
+    classes = kept.select("v", "n", F.col("c1").alias("c"), F.col("s1").alias("s"), "tokens").unionByName(
+        kept.filter("c0 <> c1").select("v", "n", F.col("c0").alias("c"), F.col("s0").alias("s"), "tokens"))
+    entries = stored(classes.select("v", "c", F.explode(F.slice("tokens", F.lit(1), F.col("s").cast("int"))).alias("token")).select(
+        F.col("token").bitwiseAND(F.lit(-8)).bitwiseOR(F.col("c")).alias("token"), "v", "c"), "entries")
+    grouped = stored(classes.drop("tokens").join(sized(roots), "v").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / _BAND)), "groups")
+    # Against all other groups: tokens that only the own group holds.
+    held = entries.select("token", "v").join(roots, "v")
+    tokens = stored(held.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1")).select(
+        "token", "df", "r0", (F.col("r0") == F.col("r1")).alias("inside")), "tokens")
+    single = tokens.filter("inside").groupBy(F.col("r0").alias("v"), F.col("token").bitwiseAND(F.lit(7)).alias("c")).agg(F.count("*").alias("private"))
+    several = entries.join(grouped.filter("members > 1").select("v", "c"), ["v", "c"]).join(tokens.filter("inside").select("token"), "token")
+    private = single.join(grouped.filter("members = 1").select("v", "c"), ["v", "c"], "left_semi").unionByName(
+        several.groupBy("v", "c").agg(F.count("*").alias("private")))
+    open_ = stored(grouped.join(private, ["v", "c"], "left").withColumn("private", F.coalesce("private", F.lit(0)))
                    .filter(F.col("private") <= most_missed), "open")
     # The matrix of what may decide: of each open text the rarest tokens, one more than it may miss; private ones come first.
     # Two linked sets share one of them, within as many as the sizes of the two let them miss.
-    rare = sets.select("v", F.explode("set").alias("token")).join(open_.select("v"), "v", "left_semi").join(tokens.filter("not inside").select("token", "df"), "token")
-    nth = F.row_number().over(Window.partitionBy("v").orderBy("df", "token")) - 1
-    ranked = rare.withColumn("i", nth).join(open_, "v").withColumn("i", F.col("i") + F.col("private")).filter(F.col("i") <= most_missed)
-    ranked = stored(ranked.select("token", "i", "v", "n", "root", "band", "members"), "prefixes")
+    rare = entries.join(open_.select("v", "c"), ["v", "c"], "left_semi").join(tokens.filter("not inside").select("token", "df"), "token")
+    nth = F.row_number().over(Window.partitionBy("v", "c").orderBy("df", "token")) - 1
+    ranked = rare.withColumn("i", nth).join(open_, ["v", "c"]).withColumn("i", F.col("i") + F.col("private")).filter(F.col("i") <= most_missed)
+    ranked = stored(ranked.select("token", "i", "v", "c", "s", "n", "root", "band", "members"), "prefixes")
     # Where a rare token is held by many, a few leaders first: whoever links to one needs no other pair of that component.
     best = [F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("h"), F.col("v").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))).alias(f"l{i}") for i in range(_LEADERS)]
     led = ranked.join(ranked.groupBy("token").agg(*best), "token").select("v", "n", "root", F.explode(F.array(*[f"l{i}" for i in range(_LEADERS)])).alias("l"))
     led = led.select(F.col("v").alias("a"), "n", "root", "l.b", "l.nb", "l.rb").filter(
         (F.col("root") != F.col("rb")) & (F.col("n") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("n") * percent)).select("a", "b").distinct()
-    roots = stored(_joined(roots, stored(_linked(led, sets, percent), "led")), "roots")
-    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
-    label = roots.join(sizes, "root").select("v", "root", "members")
+    led = _may_link(stored(led, "led"), kept, percent)
+    roots = stored(_joined(roots, stored(_linked(led, docs, kept, k, percent), "links")), "roots")
+    label = sized(roots)
     grouped = stored(grouped.drop("root", "members").join(label, "v"), "groups")
     ranked = stored(ranked.drop("root", "members").join(label, "v"), "prefixes")
     matrix = stored(ranked.groupBy("token", "root", "band", "members").agg(F.min("i").alias("g_i"), F.min("n").alias("lo"), F.max("n").alias("hi")).select(
@@ -149,21 +188,26 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     need = _least_common(F.col("n"), F.col("lo"), t)
     fits = (F.col("n") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("n") * percent)
     asked = ranked.join(matrix, (F.col("token") == F.col("t")) & larger & fits & (F.col("i") <= F.col("n") - need) & (F.col("g_i") <= F.col("hi") - need))
-    asked = stored(asked.select("v", "n", "g", "g_band").distinct(), "asked")
-    # The overlap of a text with the whole union of a group of several; a group of one is opened at once.
-    many = grouped.groupBy(F.col("root").alias("g"), F.col("band").alias("g_band")).agg(
+    asked = stored(asked.select("v", "c", "s", "n", "g", "g_band").distinct(), "asked")
+    # The overlap of a text's sample with the whole union of a group of several; a group of one is opened at once.
+    inside = grouped.select("v", "n", "root", "band").distinct()
+    many = inside.groupBy(F.col("root").alias("g"), F.col("band").alias("g_band")).agg(
         F.count("*").alias("inside"), F.min("n").alias("lo")).filter("inside > 1")
-    doubtful = asked.join(many, ["g", "g_band"])
-    union = sets.select("v", F.explode("set").alias("token")).join(grouped, "v").groupBy(F.col("root").alias("g"), F.col("band").alias("g_band"), "token").agg(F.lit(1).alias("one")).drop("one")
-    mine = sets.select("v", F.explode("set").alias("token"))
-    met = doubtful.join(mine, "v").join(union, ["g", "g_band", "token"]).groupBy("v", "n", "g", "g_band", "lo").agg(F.count("*").alias("c"))
+    doubtful = stored(asked.join(many, ["g", "g_band"]), "doubtful")
+    union = (entries.join(grouped.select("v", "c", F.col("root").alias("g"), F.col("band").alias("g_band")), ["v", "c"])
+             .join(doubtful.select("g", "g_band").distinct(), ["g", "g_band"], "left_semi").select("g", "g_band", "token").distinct())
+    met = doubtful.join(entries, ["v", "c"]).join(union, ["g", "g_band", "token"]).groupBy("v", "c", "s", "n", "g", "g_band", "lo").agg(F.count("*").alias("both"))
     opened = asked.join(many, ["g", "g_band"], "left_anti").select("v", "n", "g", "g_band").unionByName(
-        met.filter(F.col("c") >= need).select("v", "n", "g", "g_band"))
-    members = grouped.select(F.col("v").alias("b"), F.col("root").alias("g"), F.col("band").alias("g_band"), F.col("n").alias("nb"))
-    asked = stored(opened.withColumnRenamed("v", "a"), "opened").join(members, ["g", "g_band"]).filter(
+        met.filter(F.col("s") - F.col("both") <= F.col("n") - need).select("v", "n", "g", "g_band"))
+    members = inside.select(F.col("v").alias("b"), F.col("root").alias("g"), F.col("band").alias("g_band"), F.col("n").alias("nb"))
+    asked = opened.withColumnRenamed("v", "a").join(members, ["g", "g_band"]).filter(
         (F.col("n") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("n") * percent)).select("a", "b")
-    links = stored(_linked(asked, sets, percent), "links")
-    final = stored(_joined(roots, links), "tops").withColumnRenamed("root", "top")
+    # Sets whose sample happens to be too small for the argument above (about one in 10^9) meet all others by their smallest hashes.
+    short = (F.least("s0", "s1") <= most_missed) & (F.col("c0") + F.col("c1") > 0)
+    prefix = lambda rows: rows.select("v", F.explode(F.slice("tokens", F.lit(1), (most_missed + 1).cast("int"))).alias("token"))
+    missed = prefix(kept.filter(short)).select(F.col("v").alias("a"), "token").join(prefix(kept).withColumnRenamed("v", "b"), "token").filter("a <> b").select("a", "b")
+    pairs = _may_link(stored(asked.unionByName(missed).distinct(), "opened"), kept, percent)
+    final = stored(_joined(roots, stored(_linked(pairs, docs, kept, k, percent), "links")), "tops").withColumnRenamed("root", "top")
     named = reps.select("v", "d1", "d2", "n", "low").join(final, "v", "left").withColumn("top", F.coalesce("top", "v"))
     lowest = stored(named.groupBy("top").agg(F.min("low").alias("component_id")), "lowest")
     classes = stored(named.join(lowest, "top").select("d1", "d2", "n", "component_id"), "classes")
