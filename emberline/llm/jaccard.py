@@ -63,14 +63,8 @@ def _sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
         run, "key long, doc_id long, n long, d1 long, d2 long, keys array<long>, tokens array<long>, m long, e long, c0 long, c1 long, s0 long, s1 long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, keys: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets pass the threshold; `keys` (v, key) says which row has the text of v.
-
-    Texts travel, not sets: packed, they are a third as large.
-    """
-    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct().join(keys.select("v", "key"), "v")
-    texts = stored(docs.select(row_key("doc_id", "text").alias("key"), "text").join(wanted, "key").dropDuplicates(["key"]).select("v", "text"), "texts")
-
+def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets, made from `texts` (v, text), pass the threshold. Texts travel, not sets: packed, they are a third as large."""
     def run(batches):
         for batch in batches:
             for part in parts(batch, "ta"):
@@ -140,14 +134,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
         "token", "v", F.when(F.col("i") < F.col("m"), F.col("v")).alias("counts"))
     own = spread.groupBy("token").agg(F.min("v").alias("v"), F.max("v").alias("last"), F.max("counts").alias("counts")).filter("v = last and counts is not null")
     kept = reps.select("v", "key", "n").join(own.groupBy("v").agg(F.count("*").alias("own")), "v", "left")
-    kept = kept.filter(F.coalesce("own", F.lit(0)) <= most_missed).select("v", "key")
+    kept = stored(kept.filter(F.coalesce("own", F.lit(0)) <= most_missed).select("v", "key"), "keys")
+    # One pass over the documents; where the keys are few by the size of their files, Spark sends them to the texts.
+    texts = stored(docs.select(row_key("doc_id", "text").alias("key"), "text").join(kept, "key").dropDuplicates(["v"]).select("v", "text"), "texts")
     kept = stored(rows.join(kept, ["v", "key"]).select("v", "key", "n", "keys", "tokens", "c0", "c1", "s0", "s1").dropDuplicates(["v"]), "kept")
     # Groups: each text with the leader it meets in most buckets of equal minima, when the two link.
     met = kept.select("v", F.explode("keys").alias("bucket"))
     leaders = met.groupBy("bucket").agg(F.min("v").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
     most = met.join(leaders, "bucket").filter("v <> b").groupBy("v", "b").agg(F.count("*").alias("times"))
     pairs = most.groupBy(F.col("v").alias("a")).agg(F.max(F.struct("times", "b"))["b"].alias("b"))
-    stars = stored(_linked(stored(_may_link(pairs, kept, percent), "stars"), docs, kept, k, percent), "links")
+    stars = stored(_linked(stored(_may_link(pairs, kept, percent), "stars"), texts, k, percent), "links")
     roots = stored(connected_components(kept.select("v"), stars), "roots")
     sized = lambda roots: roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root")
     # Tokens by class (in the low bits): a pair is decided by the sample of its smaller set's class.
@@ -178,7 +174,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     led = led.select(F.col("v").alias("a"), "n", "root", "l.b", "l.nb", "l.rb").filter(
         (F.col("root") != F.col("rb")) & (F.col("n") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("n") * percent)).select("a", "b").distinct()
     led = _may_link(stored(led, "led"), kept, percent)
-    roots = stored(_joined(roots, stored(_linked(led, docs, kept, k, percent), "links")), "roots")
+    roots = stored(_joined(roots, stored(_linked(led, texts, k, percent), "links")), "roots")
     label = sized(roots)
     grouped = stored(grouped.drop("root", "members").join(label, "v"), "groups")
     ranked = stored(ranked.drop("root", "members").join(label, "v"), "prefixes")
@@ -207,7 +203,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     prefix = lambda rows: rows.select("v", F.explode(F.slice("tokens", F.lit(1), (most_missed + 1).cast("int"))).alias("token"))
     missed = prefix(kept.filter(short)).select(F.col("v").alias("a"), "token").join(prefix(kept).withColumnRenamed("v", "b"), "token").filter("a <> b").select("a", "b")
     pairs = _may_link(stored(asked.unionByName(missed).distinct(), "opened"), kept, percent)
-    final = stored(_joined(roots, stored(_linked(pairs, docs, kept, k, percent), "links")), "tops").withColumnRenamed("root", "top")
+    final = stored(_joined(roots, stored(_linked(pairs, texts, k, percent), "links")), "tops").withColumnRenamed("root", "top")
     named = reps.select("v", "d1", "d2", "n", "low").join(final, "v", "left").withColumn("top", F.coalesce("top", "v"))
     lowest = stored(named.groupBy("top").agg(F.min("low").alias("component_id")), "lowest")
     classes = stored(named.join(lowest, "top").select("d1", "d2", "n", "component_id"), "classes")
