@@ -12,7 +12,8 @@ from emberline.llm.common import hashed_texts, mix, parts, row_key, shingles, st
 from emberline.operators.components import connected_components
 
 _BOUNDS = (64, 128, 256, 512, 1024, 2048, 4096)  # sizes at which the share of sampled shingles falls
-_KEYS, _LEADERS, _BAND, _SIGMAS = 8, 3, math.log(1.01), 6
+_LEADERS, _BAND, _SIGMAS = 3, math.log(1.01), 6
+_SIXTEENTHS = np.arange(16, dtype=np.uint64) << np.uint64(60)  # 16 minima make 8 keys
 
 
 def _share(n: int, missed: float) -> float:
@@ -49,7 +50,8 @@ def _sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     n, least = len(s), -(-len(s) * percent // 100)
                     c1, c0 = (sum(b <= x for b in _BOUNDS) for x in (n, least))
                     s1, s0, low = below(s, c1), below(s, c0), int(np.searchsorted(s, base))
-                    minima = np.array([mix(s ^ np.uint64(0x7F4A7C15 * (i + 1))).min() for i in range(2 * _KEYS)] if n else [], np.uint64)
+                    # the least hash of each sixteenth of hash space; an empty one takes the next hash, round the end
+                    minima = s[np.searchsorted(s, _SIXTEENTHS) % n] if n else s
                     keys = mix(minima[::2] * np.uint64(3) + minima[1::2] + np.arange(len(minima) // 2, dtype=np.uint64)).view(np.int64)
                     rows.append((n, int(np.add.reduce(mix(s ^ np.uint64(1))).view(np.int64)) if n else 0,
                                  int(np.add.reduce(mix(s ^ np.uint64(2))).view(np.int64)) if n else 0, keys,
