@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from emberline.llm import ann, chat, decontaminate, jaccard, langid, licenses, linededup, mixing, secrets, toxicity
+from emberline.llm import ann, chat, decontaminate, jaccard, langid, licenses, mixing, passages, secrets, toxicity
 from emberline.llm.common import held_out, table
 from emberline.llm.oracles import ORACLES  # noqa: F401
 
@@ -60,7 +60,7 @@ def op6_license_scan(spark, sf_dir):
 
 @query
 def op7_line_dedup(spark, sf_dir):
-    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return passages.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query
