@@ -83,8 +83,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """(key, lines): numbers of the lines covered by a match with an earlier place, per text.
 
     The earliest place of a selected line (by doc_id, null last, then row key, then line) stands for all; every other place
-    matches there, together with up to two equal lines on either side. The next selected line of a shared run is
-    at most `WINDOW` lines on, so overlapping matches cover runs of any length, whatever their earliest places are.
+    matches there, together with up to two equal lines on either side. Where a line of a run first stands in another context, the
+    match covers that line alone; `passages.dedup_passages` compares every window with the earliest place of the same window.
     """
     picked = stored(picked_lines(docs), "lines")
     again = stored(picked.groupBy("hash").agg(F.count("*").alias("n"), F.min("d").alias("first")).filter("n > 1").drop("n"), "again")
@@ -120,8 +120,8 @@ def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """`docs` with `text` less its later repeated runs, and n_lines, n_removed, words_removed.
 
     A run is a stretch of covered lines (see `repeated_lines`) with at least `words` words in all; what remains is unchanged, byte by byte.
-    Every run that two places share is kept at the earliest. Runs of WINDOW lines or one line of `words` words are found for
-    sure, shorter ones where a selected line lies in them. Null and empty texts stay; rows equal in doc_id and text are one
+    Each selected line is compared with its earliest place only, so a run may stay whose lines first stand elsewhere in other
+    contexts; the query and the pipeline use `passages.dedup_passages`, which finds them. Null and empty texts stay; rows equal in doc_id and text are one
     document and treated alike; no row is removed. Columns of the new names are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "words_removed")

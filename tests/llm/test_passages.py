@@ -75,3 +75,10 @@ def test_passage_spliced_into_sentences(frame):
     rows = [(1, f"Here begins {shared} and ends."), (2, f"Elsewhere stands {shared} too.\nLast line.")]
     assert {x.doc_id: x.text for x in passages.dedup_passages(frame(rows)).collect()} == {1: rows[0][1], 2: "Elsewhere stands too.\nLast line."}
     assert {x.doc_id: x.text for x in linededup.dedup_lines(frame(rows)).collect()}[2] == rows[1][1]  # what whole lines leave
+
+
+def test_run_whose_hot_line_first_stands_elsewhere(frame):
+    hot = prose(50, 8, 0.0).capitalize() + "."
+    run = [prose(60 + i, 6, 0.0) + "." for i in range(2)] + [hot] + [prose(70 + i, 6, 0.0) + "." for i in range(2)]
+    rows = [(1, f"Other words. {hot} More words."), (2, f"Begin now. {' '.join(run)} End."), (3, f"Start here. {' '.join(run)} Close.")]
+    assert {x.doc_id: x.text for x in passages.dedup_passages(frame(rows)).collect()} == {1: rows[0][1], 2: rows[1][1], 3: "Start here. Close."}
