@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from emberline.llm.common import PLAIN, held_out, hashed_texts, mix, parts, shingles, stored
 
 EXAMPLES = 8192   # labelled rows learnt from, the first by hash of their id: the documented bound of the sample
-TERMS = 4096      # terms of the vector space: those most associated with the label among the examples
 NEIGHBOURS = 15
 BLOCK = 64        # examples whose postings share one maximum
-CHI2, LEAST = 25.0, 3
+CHI2 = 25.0       # what a term's chi-square with the label exceeds this by adds to its weight
+FIRST = 16        # blocks opened at once to learn what the k-th best is at least
 _KEYS = 8
 
 
 # ---- learning
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start to before its end, one after the other, and how many each gives."""
+    size = end - start
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum())), size
+
+
 def sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """(doc_id, toxic, text): labelled documents outside the held-out fold, at most `examples` of them."""
     picked = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -67,19 +72,27 @@ def _apart(rows) -> list[int]:
 
 
 class Index:
-    """Unit vectors of the examples as postings per term, in blocks of BLOCK examples with the largest weight of each."""
+    """Unit vectors of the examples as postings per term, in blocks of BLOCK examples with the largest weight of each.
+
+    Flat arrays: the entries of term t are head[t] to head[t + 1], each with a block, its largest weight and its postings; the
+    postings of entry x are tail[x] to tail[x + 1].
+    """
 
     def __init__(self, terms, idf, ids, labels, vectors):
         self.terms, self.idf, self.ids, self.labels = terms, idf, ids, labels
-        self.postings: dict[int, dict[int, list]] = {}
-        for e, (where, weight) in enumerate(vectors):
-            for t, w in zip(where, weight):
-                self.postings.setdefault(int(t), {}).setdefault(e // BLOCK, []).append((e % BLOCK, w))
-        self.blocks = max((len(vectors) + BLOCK - 1) // BLOCK, 1)
-        for t, by_block in self.postings.items():
-            blocks = np.array(sorted(by_block))
-            lists = [(np.array([x[0] for x in by_block[b]]), np.array([x[1] for x in by_block[b]])) for b in blocks]
-            self.postings[t] = (blocks, np.array([w.max() for _, w in lists]), dict(zip(blocks.tolist(), lists)))
+        self.n = len(vectors)
+        where = np.concatenate([v[0] for v in vectors]).astype(np.int64) if vectors else np.zeros(0, np.int64)
+        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        example = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors]) if vectors else np.zeros(0, np.int64)
+        order = np.argsort(where, kind="stable")  # examples rise within a term
+        where, self.weight, self.example = where[order], weight[order], example[order].astype(np.int32)
+        self.blocks = max((self.n + BLOCK - 1) // BLOCK, 1)
+        key = where * self.blocks + self.example // BLOCK
+        begin = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+        self.block = (self.example[begin] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
+        self.tail = np.append(begin, len(key))
+        self.head = np.searchsorted(where[begin], np.arange(len(terms) + 1))
         self.curve, self.empty = ([0.0, 1.0], [0.0, 1.0]), 0.0
 
     def vector(self, where: np.ndarray, tf: np.ndarray):
@@ -90,30 +103,29 @@ class Index:
     def nearest(self, where, weight, k: int = NEIGHBOURS, without: int = -1):
         """The k examples of largest positive cosine, exactly: (cosine, number), nearest first, ties to the smaller number.
 
-        A block is opened only while the sum of its maxima may still reach the k-th best.
+        The FIRST blocks of largest bound are opened, then those whose sum of maxima may still reach the k-th best.
         """
-        bound = np.zeros(self.blocks)
-        mine = [(w, self.postings[int(t)]) for t, w in zip(where, weight) if int(t) in self.postings]
-        for w, (blocks, most, _) in mine:
-            bound[blocks] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[0][0] - 1e-9:
+        entry, size = _ranges(self.head[where], self.head[where + 1])
+        mine, block = np.repeat(weight, size), self.block[entry]
+        bound = np.bincount(block, mine * self.most[entry], minlength=self.blocks)
+        score, shut, least = np.zeros(self.blocks * BLOCK), bound > 0, -1.0
+        for most in (FIRST, self.blocks):
+            now = np.zeros(self.blocks, bool)
+            now[np.argsort(-bound, kind="stable")[:most]] = True
+            now &= shut & (bound >= least - 1e-9)
+            if not now.any():
                 break
-            score = np.zeros(BLOCK)
-            for w, (_, _, lists) in mine:
-                if b in lists:
-                    score[lists[b][0]] += w * lists[b][1]
-            for j in np.flatnonzero(score > 0).tolist():
-                e = b * BLOCK + j
-                if e == without:
-                    continue
-                x = (float(score[j]), -e)
-                if len(best) < k:
-                    heapq.heappush(best, x)
-                elif x > best[0]:
-                    heapq.heapreplace(best, x)
-        return [(c, -e) for c, e in sorted(best, reverse=True)]
+            shut &= ~now
+            some = now[block]
+            post, size = _ranges(self.tail[entry[some]], self.tail[entry[some] + 1])
+            score += np.bincount(self.example[post], np.repeat(mine[some], size) * self.weight[post], minlength=len(score))
+            if without >= 0:
+                score[without] = 0
+            if (score > 0).sum() >= k:
+                least = np.partition(score, len(score) - k)[len(score) - k]
+        best = np.flatnonzero((score > 0) & (score >= least))
+        best = best[np.lexsort((best, -score[best]))][:k]
+        return list(zip(score[best].tolist(), best.tolist()))
 
     def vote(self, near) -> float:
         """Share of the toxic among the neighbours, each weighted by the inverse of its distance."""
@@ -141,35 +153,37 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, prior: float):
     return (xs, np.maximum.accumulate(ys).tolist()) if xs else ([0.0, 1.0], [prior, prior])
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
-    """The index of the examples, with IDF counted over all documents and calibrated on each example without itself."""
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
+    """The index of the examples over all their terms, calibrated on each example without itself.
+
+    A term weighs its IDF, counted over all documents, times 1 and what its chi-square with the label has over CHI2; none is left out.
+    """
     rows = stored(terms_of(sample(docs, labels, examples)), "examples")
     apart = _apart(rows.select("doc_id", "toxic", "keys").collect())  # `examples` rows at most
     kept = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in apart], "doc_id long")), "doc_id")
-    n, pos = kept.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    per = (kept.select("toxic", F.explode("terms").alias("term")).groupBy("term")
-           .agg(F.count("*").alias("df"), F.sum("toxic").alias("dp")).filter(F.col("df") >= LEAST))
-    a, df = F.col("dp").cast("double"), F.col("df").cast("double")
+    data = kept.select("doc_id", "toxic", "terms", "tf").orderBy("doc_id").toArrow()  # `examples` rows at most
+    labels_, empty = data.column("toxic").to_numpy().astype(float), []
+    names, sizes = data.column("doc_id").to_pylist(), pc.list_value_length(data.column("terms")).to_numpy().astype(np.int64)
+    tf = pc.list_flatten(data.column("tf")).to_numpy().astype(np.int32)
+    vocabulary, place = np.unique(pc.list_flatten(data.column("terms")).to_numpy().view(np.uint64), return_inverse=True)
+    place = place.astype(np.int32)
+    del data
+    n, pos = len(labels_), labels_.sum()
+    df = np.bincount(place, minlength=len(vocabulary))
+    dp = np.bincount(place, np.repeat(labels_, sizes), minlength=len(vocabulary))
     share = pos / max(n, 1)
-    chi2 = (a - df * share) ** 2 / (df * share * (1 - share) * (1 - df / max(n, 1)) + 1e-9)
-    chosen = per.withColumn("chi2", chi2).filter(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(terms)
-    picked = np.array(sorted(r["term"] for r in chosen.select("term").collect()), dtype=np.int64)
-    vocabulary = np.sort(picked.view(np.uint64))
+    chi2 = (dp - df * share) ** 2 / (df * share * (1 - share) * (1 - df / max(n, 1)) + 1e-9)
     total, seen = document_counts(docs, vocabulary)
-    idf = np.log((1 + total) / (1 + seen)) + 1
-    listed = _listed(kept, vocabulary.view(np.int64).tolist())
-    data = sorted((r["doc_id"], r["toxic"], [(z["terms"], z["tf"]) for z in r["z"]]) for r in listed.collect())
+    idf = (np.log((1 + total) / (1 + seen)) + 1) * (1 + np.maximum(chi2 - CHI2, 0))
     index = Index(vocabulary, idf, [], np.zeros(0), [])
-    vectors, ids, ys, empty = [], [], [], []
-    for doc, y, z in data:
-        if not z:
+    vectors, ids, ys = [], [], []
+    for doc, y, b, size in zip(names, labels_.tolist(), np.cumsum(sizes).tolist(), sizes.tolist()):
+        if not size:
             empty.append(y)
             continue
-        t = np.array(sorted(z), dtype=np.int64)
-        where = np.searchsorted(vocabulary, t[:, 0].astype(np.int64).view(np.uint64))
-        vectors.append(index.vector(where, t[:, 1].astype(float)))
+        vectors.append(index.vector(place[b - size:b], tf[b - size:b]))
         ids.append(doc)
-        ys.append(float(y))
+        ys.append(y)
     index = Index(vocabulary, idf, ids, np.array(ys), vectors)
     prior = pos / n if n else 0.0
     votes = []
@@ -181,14 +195,6 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: i
     return index
 
 
-def _listed(kept: DataFrame, wanted: list) -> DataFrame:
-    words = F.broadcast(kept.sparkSession.createDataFrame([(x,) for x in wanted], "term long"))  # TERMS rows at most
-    rows = kept.select("doc_id", "toxic", F.explode(F.arrays_zip("terms", "tf")).alias("z")).withColumn("term", F.col("z.terms")).join(words, "term")
-    some = rows.groupBy("doc_id", "toxic").agg(F.collect_list("z").alias("z"))
-    return kept.select("doc_id", "toxic").join(some, ["doc_id", "toxic"], "left").select(
-        "doc_id", "toxic", F.coalesce("z", F.array().cast(some.schema["z"].dataType)).alias("z"))
-
-
 def _matches(texts, vocabulary: np.ndarray):
     """(document, term number, count) of the vocabulary's terms in the texts."""
     words = hashed_texts(texts, PLAIN)
@@ -217,22 +223,24 @@ def document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.nd
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([total, *seen[some]], pa.int64())], names=["term", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    by = {r["term"]: r["n"] for r in counted}
-    return by.get(-1, 0), np.array([by.get(i, 0) for i in range(len(vocabulary))], dtype=float)
+    counted = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term at most
+    term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    seen = np.zeros(len(vocabulary))
+    seen[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), seen
 
 
 # ---- scoring
 
 def score_texts(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataFrame:
-    """`docs` with tox_score (0 to 1), tox_label (1 from 0.5 on) and evidence: the nearest examples (doc_id, toxic, cosine).
+    """`docs` with tox_score (0 to 1), tox_label (1 from 0.5 on) and evidence: all examples that voted (doc_id, toxic, cosine), nearest first.
 
-    Only `text` is read. A null or empty text, like one without any term of the space, has the score of examples without one.
+    Only `text` is read. A null or empty text, like one without a word of any example, has the score of examples without one.
     Ties go to the smaller doc_id; repeated rows score alike; columns of these names are replaced.
     """
     docs = docs.drop("tox_score", "tox_label", "evidence")
     kept = [c for c in docs.columns if keep is None or c in keep]
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # EXAMPLES vectors over TERMS terms at most
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # the terms of EXAMPLES examples at most
     frame = docs.select(*kept, *([] if "text" in kept else ["text"]))
     one = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])
 
@@ -244,7 +252,7 @@ def score_texts(docs: DataFrame, index: Index, keep: list[str] | None = None) ->
                 ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 found = [index.score(term[a:b], tf[a:b]) for a, b in zip(ends[:-1], ends[1:])]
                 new = [pa.array([f[0] for f in found], pa.float64()), pa.array([int(f[0] >= 0.5) for f in found], pa.int32()),
-                       pa.array([[{"doc_id": index.ids[e], "toxic": int(index.labels[e]), "cosine": c} for c, e in f[1][:5]] for f in found], pa.list_(one))]
+                       pa.array([[{"doc_id": index.ids[e], "toxic": int(index.labels[e]), "cosine": c} for c, e in f[1]] for f in found], pa.list_(one))]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + new, names=[*kept, "tox_score", "tox_label", "evidence"])
 
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
