@@ -13,6 +13,7 @@ from emberline.llm.common import CHUNK, PLAIN, held_out, parts
 BUCKETS = 1 << 16
 ROUNDS = 20
 PENALTY = 8.0  # log-likelihood a further language must gain, times the log of the number of n-grams
+PATIENCE = 3      # so many larger sets in a row that gain nothing end the growth
 LANGUAGES = 1000  # a model is BUCKETS numbers per language; more labels than this are an error
 _ASCII, _LETTER = re.compile(rb"[A-Za-z]"), re.compile(r"[^\W\d_]")
 
@@ -102,7 +103,8 @@ def infer(texts: list[bytes | None], logp: np.ndarray, penalty: float = PENALTY)
     """Per text the language shares of the best set, or None without a letter.
 
     Sets grow from the likeliest single language by the languages of largest share in the full mixture; each is
-    fitted anew, and the one of highest log-likelihood less `penalty` * log(n-grams) per language wins.
+    fitted anew, and the one of highest log-likelihood less `penalty` * log(n-grams) per language wins. A text's set grows, whatever
+    the number of languages, until PATIENCE sizes in a row were no better or no larger one can be; only texts still growing are fitted.
     """
     out: list[np.ndarray | None] = [None] * len(texts)
     some = [i for i, t in enumerate(texts) if has_letter(t)]
@@ -130,13 +132,24 @@ def infer(texts: list[bytes | None], logp: np.ndarray, penalty: float = PENALTY)
         full, _ = proportions(l, w, starts, again, np.full((len(sel), k), 1 / k, np.float32))
         full[np.arange(len(sel)), top[sel]] += 1  # the set always holds the best single language
         order = np.argsort(-full, axis=1, kind="stable")
-        for size in range(2, min(k, 4) + 1 if k > 4 else k + 1):
-            chosen = np.zeros((len(sel), k), np.float32)
-            np.put_along_axis(chosen, order[:, :size], 1 / size, axis=1)
-            fitted, reached = proportions(l, w, starts, again, chosen)
-            now = reached + base[sel] - penalty * size * np.log(n[sel] + 1)
-            better = now > score[sel]
-            score[sel[better]], share[sel[better]] = now[better], fitted[better]
+        live, missed, many = np.arange(len(sel)), np.zeros(len(sel), int), lens[sel]
+        for size in range(2, k + 1):
+            at = sel[live]
+            live = live[(missed[live] < PATIENCE) & (base[at] - penalty * size * np.log(n[at] + 1) > score[at])]
+            if not len(live):
+                break
+            at, chosen = sel[live], order[live, :size]
+            grams = np.isin(again, live)
+            picked = np.take_along_axis(l[grams], np.repeat(chosen, many[live], axis=0), axis=1)
+            begin = np.concatenate(([0], np.cumsum(many[live])[:-1]))
+            fitted, reached = proportions(picked, w[grams], begin, np.repeat(np.arange(len(live)), many[live]), np.full(chosen.shape, 1 / size, np.float32))
+            now = reached + base[at] - penalty * size * np.log(n[at] + 1)
+            better = now > score[at]
+            missed[live] = np.where(better, 0, missed[live] + 1)
+            score[at[better]] = now[better]
+            row = np.zeros((len(live), k), np.float32)
+            np.put_along_axis(row, chosen, fitted, axis=1)
+            share[at[better]] = row[better]
     for i, s in zip(some, share):
         out[i] = s
     return out
