@@ -78,7 +78,8 @@ def test_passage_spliced_into_sentences(frame):
 
 
 def test_run_whose_hot_line_first_stands_elsewhere(frame):
-    hot = prose(50, 8, 0.0).capitalize() + "."
-    run = [prose(60 + i, 6, 0.0) + "." for i in range(2)] + [hot] + [prose(70 + i, 6, 0.0) + "." for i in range(2)]
-    rows = [(1, f"Other words. {hot} More words."), (2, f"Begin now. {' '.join(run)} End."), (3, f"Start here. {' '.join(run)} Close.")]
-    assert {x.doc_id: x.text for x in passages.dedup_passages(frame(rows)).collect()} == {1: rows[0][1], 2: rows[1][1], 3: "Start here. Close."}
+    run = [" " + prose(60 + i, 8, 0.0).replace(".", "") + "." for i in range(5)]
+    rows = [(i, f"Other words {i}.{x} More words {i}.") for i, x in enumerate(run)]  # every line stands alone before
+    rows += [(10, f"Begin now.{''.join(run)} End."), (11, f"Start here.{''.join(run)} Close.")]
+    assert {x.doc_id: x.text for x in linededup.dedup_lines(frame(rows)).collect()}[11] == rows[-1][1]  # what one place per line leaves
+    assert {x.doc_id: x.text for x in passages.dedup_passages(frame(rows)).collect()} == {**dict(rows), 11: "Start here. Close."}
