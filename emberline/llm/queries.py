@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from emberline.llm import ann, chat, decontaminate, jaccard, langid, licenses, mixing, passages, secrets, toxicity
+from emberline.llm import ann, chat, decontaminate, jaccard, langid, licenses, mixing, negatives, passages, secrets, tokens, topk, toxicity
 from emberline.llm.common import held_out, table
 from emberline.llm.oracles import ORACLES  # noqa: F401
 
@@ -82,6 +82,24 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.rendered_turns(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op11_token_alignment(spark, sf_dir):
+    found = tokens.alignment_strength(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+@query
+def op12_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    # the contract's planted label errors: every seventh row counts as of the next label
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
