@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from emberline.llm.common import PLAIN, held_out, hashed_texts, mix, parts, shingles, stored
 
-EXAMPLES = 8192   # labelled rows learnt from, the first by hash of their id: the documented bound of the sample
+EXAMPLES = 4096   # labelled rows learnt from, the first by hash of their id: the documented bound of the sample
 NEIGHBOURS = 15
 BLOCK = 64        # examples whose postings share one maximum
-CHI2 = 25.0       # what a term's chi-square with the label exceeds this by adds to its weight
-FIRST = 16        # blocks opened at once to learn what the k-th best is at least
+CHI2, MOST = 25.0, 5.0  # a term's chi-square with the label raises its weight by a logarithm from CHI2 on, MOST times at most
+FIRST = 8         # blocks opened at once to learn what the k-th best is at least
+SLOTS = 1 << 20   # document frequencies are counted by slot of a word's hash, known word or not
+TERMS = 4096      # distinct words of the documents searched in one step (a longer document is a step of its own)
 _KEYS = 8
 
 
@@ -31,7 +33,8 @@ def sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Data
               .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples))
     first = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    return first.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # `examples` ids at most
+    named = first.join(F.broadcast(picked), "doc_id")  # `examples` ids at most
+    return named.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of several texts of one id the least
 
 
 def terms_of(rows: DataFrame) -> DataFrame:
@@ -78,14 +81,11 @@ class Index:
     postings of entry x are tail[x] to tail[x + 1].
     """
 
-    def __init__(self, terms, idf, ids, labels, vectors):
+    def __init__(self, terms, idf, ids, labels, example, where, weight):
         self.terms, self.idf, self.ids, self.labels = terms, idf, ids, labels
-        self.n = len(vectors)
-        where = np.concatenate([v[0] for v in vectors]).astype(np.int64) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        example = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors]) if vectors else np.zeros(0, np.int64)
+        self.n, self.total, self.counts = len(ids), 0, np.zeros(SLOTS, np.float32)
         order = np.argsort(where, kind="stable")  # examples rise within a term
-        where, self.weight, self.example = where[order], weight[order], example[order].astype(np.int32)
+        where, self.weight, self.example = where[order].astype(np.int64), weight[order], example[order].astype(np.int32)
         self.blocks = max((self.n + BLOCK - 1) // BLOCK, 1)
         key = where * self.blocks + self.example // BLOCK
         begin = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
@@ -95,46 +95,87 @@ class Index:
         self.head = np.searchsorted(where[begin], np.arange(len(terms) + 1))
         self.curve, self.empty = ([0.0, 1.0], [0.0, 1.0]), 0.0
 
-    def vector(self, where: np.ndarray, tf: np.ndarray):
-        w = (1 + np.log(tf)) * self.idf[where]
-        norm = np.sqrt((w * w).sum())
-        return (where, w / norm) if norm > 0 else (where[:0], w[:0])
+    def nearest(self, doc, where, weight, n: int, k: int = NEIGHBOURS, without=None):
+        """Per document the k examples of largest positive cosine, exactly: (numbers, cosines), a row each, nearest first, ties to the smaller number, -1 for none.
 
-    def nearest(self, where, weight, k: int = NEIGHBOURS, without: int = -1):
-        """The k examples of largest positive cosine, exactly: (cosine, number), nearest first, ties to the smaller number.
-
-        The FIRST blocks of largest bound are opened, then those whose sum of maxima may still reach the k-th best.
+        doc, where, weight: the known terms of documents 0 to n - 1 with their weights in the unit vector; `without`: an example per document that
+        is left out. The FIRST blocks of largest bound are opened, then those whose sum of maxima may still reach the k-th best.
         """
         entry, size = _ranges(self.head[where], self.head[where + 1])
-        mine, block = np.repeat(weight, size), self.block[entry]
-        bound = np.bincount(block, mine * self.most[entry], minlength=self.blocks)
-        score, shut, least = np.zeros(self.blocks * BLOCK), bound > 0, -1.0
+        mine, key = np.repeat(weight, size), np.repeat(doc, size) * self.blocks + self.block[entry]
+        bound = np.bincount(key, mine * self.most[entry], minlength=n * self.blocks).reshape(n, self.blocks)
+        width = self.blocks * BLOCK
+        score, shut, least = np.zeros((n, width)), bound > 0, np.full((n, 1), -1.0)
         for most in (FIRST, self.blocks):
-            now = np.zeros(self.blocks, bool)
-            now[np.argsort(-bound, kind="stable")[:most]] = True
-            now &= shut & (bound >= least - 1e-9)
+            now = shut & (bound >= least - 1e-9)
+            if most < self.blocks:
+                now &= bound >= np.partition(bound, self.blocks - most, axis=1)[:, self.blocks - most:self.blocks - most + 1]
             if not now.any():
-                break
+                continue
             shut &= ~now
-            some = now[block]
+            some = now.ravel()[key]
             post, size = _ranges(self.tail[entry[some]], self.tail[entry[some] + 1])
-            score += np.bincount(self.example[post], np.repeat(mine[some], size) * self.weight[post], minlength=len(score))
-            if without >= 0:
-                score[without] = 0
-            if (score > 0).sum() >= k:
-                least = np.partition(score, len(score) - k)[len(score) - k]
-        best = np.flatnonzero((score > 0) & (score >= least))
-        best = best[np.lexsort((best, -score[best]))][:k]
-        return list(zip(score[best].tolist(), best.tolist()))
-
-    def vote(self, near) -> float:
-        """Share of the toxic among the neighbours, each weighted by the inverse of its distance."""
-        w = np.array([1 / (1.05 - min(c, 1.0)) for c, _ in near])
-        return float((w * self.labels[[e for _, e in near]]).sum() / w.sum())
-
-    def score(self, where, tf):
-        near = self.nearest(*self.vector(where, tf)) if len(where) else []
-        return (float(np.interp(self.vote(near), *self.curve)) if near else self.empty), near
+            at = np.repeat(key[some] // self.blocks * width, size) + self.example[post]
+            score += np.bincount(at, np.repeat(mine[some], size) * self.weight[post], minlength=n * width).reshape(n, width)
+            if without is not None:
+                score[np.arange(n), without] = 0
+            if width > k:
+                least = np.maximum(np.partition(score, width - k, axis=1)[:, width - k:width - k + 1], 1e-300)
+        k = min(k, width)
+        numbers, cosines = np.full((n, k), -1), np.zeros((n, k))
+        kth = np.partition(score, width - k, axis=1)[:, width - k:width - k + 1]
+        row, col = np.nonzero((score >= kth) & (score > 0))
+        order = np.lexsort((col, -score[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, place = row[place < k], col[place < k], place[place < k]
+        numbers[row, place], cosines[row, place] = col, score[row, col]
+        return numbers, cosines
+
+    def votes(self, numbers, cosines):
+        """Per document the share of the toxic among its neighbours, each weighted by the inverse of its distance; NaN without neighbours."""
+        w = np.where(numbers >= 0, 1 / (1.05 - np.minimum(cosines, 1.0)), 0)
+        total = w.sum(axis=1)
+        return np.divide((w * self.labels[numbers]).sum(axis=1), total, out=np.full(len(w), np.nan), where=total > 0) if self.n else np.full(len(w), np.nan)
+
+    def search(self, words: "Words", k: int = NEIGHBOURS, without=None):
+        """(numbers, cosines) of all documents of `words`, in steps of about TERMS distinct words."""
+        doc, term, weight = words.known(self)
+        ends = np.searchsorted(doc, np.arange(words.n + 1))
+        parts_, at = [], 0
+        while at < words.n:
+            upto = max(int(np.searchsorted(ends, ends[at] + TERMS, side="right")) - 1, at + 1)
+            s = slice(ends[at], ends[upto])
+            parts_.append(self.nearest(doc[s] - at, term[s], weight[s], upto - at, k, None if without is None else without[at:upto]))
+            at = upto
+        return tuple(np.concatenate(c) for c in zip(*parts_)) if parts_ else (np.zeros((0, k), int), np.zeros((0, k)))
+
+
+def inverse_frequency(counts: np.ndarray, total: int, hashes: np.ndarray) -> np.ndarray:
+    return np.log((1 + total) / (1 + counts[(hashes % np.uint64(SLOTS)).astype(np.int64)])) + 1
+
+
+class Words:
+    """Distinct words of some documents with their counts: document, hash, count, document by document."""
+
+    def __init__(self, n: int, doc: np.ndarray, hashes: np.ndarray, tf: np.ndarray):
+        self.n, self.doc, self.hashes, self.tf = n, doc, hashes, tf
+
+    @classmethod
+    def of(cls, texts) -> "Words":
+        found = [np.unique(w, return_counts=True) for w in hashed_texts(texts, PLAIN)]
+        one = lambda j, kind: np.concatenate([f[j] for f in found]) if found else np.zeros(0, kind)
+        return cls(len(found), np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), one(0, np.uint64), one(1, np.int64))
+
+    def known(self, index: "Index"):
+        """(document, term, weight) of the words of the index, in unit vectors over all words of the documents, unknown ones included."""
+        if not len(self.hashes) or not len(index.terms):
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        at = np.minimum(np.searchsorted(index.terms, self.hashes), len(index.terms) - 1)
+        hit = index.terms[at] == self.hashes
+        w = (1 + np.log(self.tf)) * np.where(hit, index.idf[at], inverse_frequency(index.counts, index.total, self.hashes))
+        norm = np.sqrt(np.bincount(self.doc, w * w, minlength=self.n))
+        return self.doc[hit], at[hit], w[hit] / norm[self.doc[hit]]
 
 
 def calibrate(votes: np.ndarray, labels: np.ndarray, prior: float):
@@ -156,78 +197,72 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, prior: float):
 def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     """The index of the examples over all their terms, calibrated on each example without itself.
 
-    A term weighs its IDF, counted over all documents, times 1 and what its chi-square with the label has over CHI2; none is left out.
+    A term weighs its IDF, from frequencies over all documents (by slot of its hash), times 1 to MOST by a logarithm of its chi-square with
+    the label; none is left out. A word no example holds weighs its IDF; it finds nothing, but counts in the length of a document. The driver
+    holds the distinct words of `examples` texts in flat arrays; neighbours of the examples are searched on the workers.
     """
+    spark = docs.sparkSession
     rows = stored(terms_of(sample(docs, labels, examples)), "examples")
     apart = _apart(rows.select("doc_id", "toxic", "keys").collect())  # `examples` rows at most
-    kept = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in apart], "doc_id long")), "doc_id")
-    data = kept.select("doc_id", "toxic", "terms", "tf").orderBy("doc_id").toArrow()  # `examples` rows at most
-    labels_, empty = data.column("toxic").to_numpy().astype(float), []
-    names, sizes = data.column("doc_id").to_pylist(), pc.list_value_length(data.column("terms")).to_numpy().astype(np.int64)
+    kept = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in apart], "doc_id long")), "doc_id")
+    data = kept.filter(F.size("terms") > 0).select("doc_id", "toxic", "terms", "tf").orderBy("doc_id").toArrow()  # `examples` rows at most
+    empty = kept.filter(F.size("terms") == 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    ys = data.column("toxic").to_numpy().astype(float)
+    n, share = len(ys) + empty.n, (float(ys.sum()) + empty.toxic) / max(len(ys) + empty.n, 1)
+    sizes = pc.list_value_length(data.column("terms")).to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(ys), dtype=np.int32), sizes)
     tf = pc.list_flatten(data.column("tf")).to_numpy().astype(np.int32)
     vocabulary, place = np.unique(pc.list_flatten(data.column("terms")).to_numpy().view(np.uint64), return_inverse=True)
-    place = place.astype(np.int32)
-    del data
-    n, pos = len(labels_), labels_.sum()
-    df = np.bincount(place, minlength=len(vocabulary))
-    dp = np.bincount(place, np.repeat(labels_, sizes), minlength=len(vocabulary))
-    share = pos / max(n, 1)
+    df, dp = np.bincount(place, minlength=len(vocabulary)), np.bincount(place, ys[doc], minlength=len(vocabulary))
     chi2 = (dp - df * share) ** 2 / (df * share * (1 - share) * (1 - df / max(n, 1)) + 1e-9)
-    total, seen = document_counts(docs, vocabulary)
-    idf = (np.log((1 + total) / (1 + seen)) + 1) * (1 + np.maximum(chi2 - CHI2, 0))
-    index = Index(vocabulary, idf, [], np.zeros(0), [])
-    vectors, ids, ys = [], [], []
-    for doc, y, b, size in zip(names, labels_.tolist(), np.cumsum(sizes).tolist(), sizes.tolist()):
-        if not size:
-            empty.append(y)
-            continue
-        vectors.append(index.vector(place[b - size:b], tf[b - size:b]))
-        ids.append(doc)
-        ys.append(y)
-    index = Index(vocabulary, idf, ids, np.array(ys), vectors)
-    prior = pos / n if n else 0.0
-    votes = []
-    for e, v in enumerate(vectors):
-        near = index.nearest(*v, without=e)
-        votes.append(index.vote(near) if near else prior)
-    index.curve = calibrate(np.array(votes), np.array(ys), prior)
-    index.empty = (sum(empty) + prior) / (len(empty) + 1)
+    total, counts = document_counts(docs)
+    idf = inverse_frequency(counts, total, vocabulary) * np.minimum(1 + np.log1p(np.maximum(chi2 / CHI2 - 1, 0)), MOST)
+    w = (1 + np.log(tf)) * idf[place]
+    unit = w / np.sqrt(np.bincount(doc, w * w, minlength=len(ys)))[doc]
+    index = Index(vocabulary, idf, data.column("doc_id").to_pylist(), ys, doc, place, unit)
+    index.total, index.counts = total, counts
+    votes = _votes_without_self(spark, index, rows)
+    index.curve = calibrate(np.where(np.isnan(votes), share, votes), ys, share)
+    index.empty = (empty.toxic + share) / (empty.n + 1)
     return index
 
 
-def _matches(texts, vocabulary: np.ndarray):
-    """(document, term number, count) of the vocabulary's terms in the texts."""
-    words = hashed_texts(texts, PLAIN)
-    doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    if not len(vocabulary) or not len(flat):
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
-    hit = vocabulary[at] == flat
-    both, tf = np.unique(doc[hit] * len(vocabulary) + at[hit], return_counts=True)
-    return both // len(vocabulary), both % len(vocabulary), tf
+def _votes_without_self(spark, index: Index, rows: DataFrame) -> np.ndarray:
+    """The vote on every example by the others, searched on the workers; a number per example comes back."""
+    shared, number = spark.sparkContext.broadcast(index), {d: i for i, d in enumerate(index.ids)}
+
+    def run(batches):
+        index, number = shared.value, {d: i for i, d in enumerate(shared.value.ids)}
+        for batch in batches:
+            here = [(number[d], np.array(t, dtype=np.int64).view(np.uint64), c) for d, t, c in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "terms", "tf"))) if d in number]
+            words = Words(len(here), np.repeat(np.arange(len(here)), [len(h[1]) for h in here]), np.concatenate([h[1] for h in here] or [np.zeros(0, np.uint64)]),
+                          np.concatenate([h[2] for h in here] or [np.zeros(0, np.int64)]))
+            own = np.array([h[0] for h in here], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(index.votes(*index.search(words, without=own)))], names=["example", "vote"])
 
+    found = rows.select("doc_id", "terms", "tf").repartition(16, "doc_id").mapInArrow(run, "example long, vote double").toArrow()
+    votes = np.full(len(number), np.nan)
+    votes[found.column("example").to_numpy()] = found.column("vote").to_numpy()
+    return votes
 
-def document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
-    """The number of documents, and of those with each term, over all of `docs`."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+def document_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of documents, and per slot how often its words' documents counted them, over all of `docs`."""
     def run(batches):
-        vocabulary, total = shared.value, 0
-        seen = np.zeros(len(vocabulary), np.int64)
+        total, seen = 0, np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in parts(batch):
-                _, term, _ = _matches(part.column("text").cast(pa.binary()).to_pylist(), vocabulary)
-                seen += np.bincount(term, minlength=len(seen))
+                words = Words.of(part.column("text").cast(pa.binary()).to_pylist())
+                seen += np.bincount((words.hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
                 total += part.num_rows
         some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([total, *seen[some]], pa.int64())], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([total, *seen[some]], pa.int64())], names=["slot", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term at most
-    term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
-    seen = np.zeros(len(vocabulary))
-    seen[term[term >= 0]] = n[term >= 0]
-    return int(n[term < 0].sum()), seen
+    counted = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    slot, n = counted.column("slot").to_numpy(), counted.column("n").to_numpy()
+    seen = np.zeros(SLOTS, np.float32)
+    seen[slot[slot >= 0]] = n[slot >= 0]
+    return int(n[slot < 0].sum()), seen
 
 
 # ---- scoring
@@ -245,14 +280,15 @@ def score_texts(docs: DataFrame, index: Index, keep: list[str] | None = None) ->
     one = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])
 
     def run(batches):
-        index = shared.value
+        index, ids = shared.value, np.array(shared.value.ids, dtype=np.int64)
         for batch in batches:
             for part in parts(batch):
-                doc, term, tf = _matches(part.column("text").cast(pa.binary()).to_pylist(), index.terms)
-                ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                found = [index.score(term[a:b], tf[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-                new = [pa.array([f[0] for f in found], pa.float64()), pa.array([int(f[0] >= 0.5) for f in found], pa.int32()),
-                       pa.array([[{"doc_id": index.ids[e], "toxic": int(index.labels[e]), "cosine": c} for c, e in f[1]] for f in found], pa.list_(one))]
+                numbers, cosines = index.search(Words.of(part.column("text").cast(pa.binary()).to_pylist()))
+                votes, there = index.votes(numbers, cosines), numbers >= 0
+                score = np.where(np.isnan(votes), index.empty, np.interp(np.nan_to_num(votes), *index.curve))
+                ends, who = np.concatenate([[0], np.cumsum(there.sum(axis=1))]), numbers[there]
+                told = pa.StructArray.from_arrays([pa.array(ids[who]), pa.array(index.labels[who].astype(np.int32)), pa.array(cosines[there])], fields=list(one))
+                new = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), told)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + new, names=[*kept, "tox_score", "tox_label", "evidence"])
 
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))

@@ -146,21 +146,20 @@ def test_language_shares(frame):
 
 def test_index_is_exact():
     rng = np.random.default_rng(4)
-    terms = np.arange(60, dtype=np.uint64)
-    index = toxicity.Index(terms, rng.random(60) + 1, [], np.zeros(0), [])
-    draw = lambda: np.sort(rng.choice(60, rng.integers(1, 6), replace=False))
-    vectors = [index.vector(w, rng.integers(1, 5, len(w)).astype(float)) for w in (draw() for _ in range(500))]
-    index = toxicity.Index(terms, index.idf, list(range(500)), rng.integers(0, 2, 500).astype(float), vectors)
-    dense = np.zeros((500, 60))
-    for e, (w, x) in enumerate(vectors):
-        dense[e, w] = x
-    for _ in range(40):
-        w = np.sort(rng.choice(60, 5, replace=False))
-        q = index.vector(w, rng.integers(1, 5, 5).astype(float))
-        cos = dense[:, q[0]] @ q[1]
-        want = sorted((-c, e) for e, c in enumerate(cos) if c > 1e-12)[:toxicity.NEIGHBOURS]
-        got = index.nearest(*q)
-        assert np.allclose([-c for c, _ in want], [c for c, _ in got])
+    draw = lambda n: [(np.sort(rng.choice(60, rng.integers(1, 6), replace=False)), rng.random(6)) for _ in range(n)]
+    flat = lambda rows: (np.repeat(np.arange(len(rows)), [len(w) for w, _ in rows]), np.concatenate([w for w, _ in rows]), np.concatenate([x[:len(w)] for w, x in rows]))
+    rows, asked = draw(1500), draw(40)
+    index = toxicity.Index(np.arange(60, dtype=np.uint64), np.ones(60), list(range(1500)), rng.integers(0, 2, 1500).astype(float), *flat(rows))
+    dense, want = np.zeros((1500, 60)), np.zeros((40, 60))
+    for table, some in ((dense, rows), (want, asked)):
+        for e, (w, x) in enumerate(some):
+            table[e, w] = x[:len(w)]
+    without = rng.integers(0, 1500, 40)
+    for own in (None, without):
+        numbers, cosines = index.nearest(*flat(asked), 40, without=own)
+        for i, cos in enumerate(want @ dense.T):
+            best = sorted((-round(c, 12), e) for e, c in enumerate(cos) if c > 1e-12 and (own is None or e != own[i]))[:toxicity.NEIGHBOURS]
+            assert [e for _, e in best] == [e for e in numbers[i] if e >= 0] and np.allclose([-c for c, _ in best], cosines[i][:len(best)])
 
 
 def test_toxicity_learns(frame, scratch):
