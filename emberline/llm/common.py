@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,18 +21,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read again: short lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)
+    for scope in _SCOPES:
+        scope.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def tables_written():
+    """The paths of the tables that `stored` writes inside the block, for `drop_tables` once nothing reads them any more."""
+    _SCOPES.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _SCOPES.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables through the file system that holds them; a missing one is no error."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    paths.clear()
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that nothing is learnt from (a null id is learnt from)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def row_key(*cols: str) -> Column:
-    """A key of what a row says: equal rows share it, nulls included."""
-    return F.xxhash64(*cols)
+    """A key of what a row says: equal rows share it; where a null stands counts."""
+    return F.xxhash64(*cols, *[F.col(c).isNull() for c in cols])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 # Words: runs of anything but ASCII white space, A-Z in lower case.
@@ -80,14 +114,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _hashed(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tables() -> list[np.ndarray]:
     if not _TABLES:
         _TABLES.extend((_powers(_BASE), _powers(_INVERSE)))
+    return _TABLES
+
+
+def _hashed(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _tables()
     inside = a != 32
     edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + _U(1)) * _TABLES[0][: len(a)])))
-    return start, mix((total[end] - total[start]) * _TABLES[1][start] + (end - start).astype(np.uint64))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + _U(1)) * up[: len(a)])))
+    return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def _long_word(buffer: bytes, start: int, end: int) -> np.ndarray:
+    """The hash of one word, its sum carried on from slice to slice."""
+    total = 0
+    for at in range(start, end, CHUNK):
+        a = np.frombuffer(buffer, dtype=np.uint8, count=min(CHUNK, end - at), offset=at)
+        total += int(((a.astype(np.uint64) + _U(1)) * _tables()[0][: len(a)]).sum()) * pow(_BASE, at - start, 1 << 64)
+    return mix(np.array([(total + end - start) % (1 << 64)], dtype=np.uint64))
 
 
 def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +145,13 @@ def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
         end = min(at + CHUNK, len(buffer))
         if end < len(buffer) and (cut := buffer.rfind(b" ", at, end)) > at:
             end = cut
-        elif end < len(buffer):  # one word longer than a slice: its pieces are words
-            pass
+        elif end < len(buffer):  # one word longer than a slice
+            start = at + (buffer[at] == 32)
+            at = buffer.find(b" ", start)
+            at = len(buffer) if at < 0 else at
+            starts.append(np.array([start]))
+            hashes.append(_long_word(buffer, start, at))
+            continue
         s, h = _hashed(np.frombuffer(buffer, dtype=np.uint8, count=end - at, offset=at))
         starts.append(s + at)
         hashes.append(h)

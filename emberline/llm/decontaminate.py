@@ -96,7 +96,7 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
 def _blocks(benchmark: DataFrame, n: int, block: int):
     """The items in blocks of at most about `block` windows; each block alone comes to the driver."""
     items = (benchmark.filter(F.col("text").isNotNull())
-             .select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")))
+             .select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")))
     bound = F.greatest(F.octet_length("text") / 2 + 1, F.lit(1))  # a window starts at a word, a word takes two bytes with its blank
     total = items.agg(F.sum(bound)).first()[0] or 0
     count = max(1, int(-(-total // block)))
@@ -113,7 +113,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, block: int = B
     keep        the columns of `docs` to return, all by default
 
     Null and empty texts have no words and no hits. Repeated rows are kept and judged alike, equal items of
-    different ids are all named, an empty benchmark hits nothing. Words are compared, not hashes alone.
+    different ids are all named, items with a null id are one item named '', an empty benchmark hits nothing. Words are compared, not hashes alone.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_hit", "spans", "items")

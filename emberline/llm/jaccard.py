@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from emberline.llm.common import hashed_texts, mix, parts, row_key, shingles, stored
+from emberline.llm.common import free_name, hashed_texts, mix, parts, row_key, shingles, stored
 from emberline.operators.components import connected_components
 
 _BOUNDS = (64, 128, 256, 512, 1024, 2048, 4096)  # sizes at which the share of sampled shingles falls
@@ -111,7 +111,12 @@ def _least_common(n: Column, other: Column, t: float) -> Column:
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """(key, doc_id, n_shingles, component_id), one row per row of `docs` (doc_id, text).
+    """(key, doc_id, n_shingles, component_id), one row per row of `docs` (doc_id, text): see `_components`."""
+    return _components(docs, k, percent).drop("top")
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, doc_id, n_shingles, component_id, top), one row per row of `docs` (doc_id, text); `top` names the component itself.
 
     Texts are words of lower-cased runs of non-blanks; their sets the distinct k-word shingles, one for a text of fewer words,
     none without words. Two texts link when 100 * overlap >= percent * union; component_id is the smallest doc_id
@@ -208,19 +213,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     final = stored(_joined(roots, stored(_linked(pairs, texts, k, percent), "links")), "tops").withColumnRenamed("root", "top")
     named = reps.select("v", "d1", "d2", "n", "low").join(final, "v", "left").withColumn("top", F.coalesce("top", "v"))
     lowest = stored(named.groupBy("top").agg(F.min("low").alias("component_id")), "lowest")
-    classes = stored(named.join(lowest, "top").select("d1", "d2", "n", "component_id"), "classes")
+    classes = stored(named.join(lowest, "top").select("d1", "d2", "n", "component_id", "top"), "classes")
     out = sketch.select("key", "doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     return out.select("key", "doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+                      F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "top")
 
 
 def keep_one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest doc_id of their component; texts without words stay, and those
-    of components without any id. Of repeated rows one stays."""
-    found = jaccard_components(docs, k, percent)
-    mark = F.when(F.col("component_id").isNull() | (F.col("n_shingles") == 0), F.concat(F.lit("k"), F.col("key"))).otherwise(
-        F.concat(F.lit("c"), F.col("component_id")))
-    first = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(mark.alias("mark")).agg(F.min("key").alias("key"))
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    return (keyed.join(first.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi")
-            .dropDuplicates(["_key"]).drop("_key"))
+    """The documents that are the smallest doc_id of their component, of one without any id the least by hash; texts
+    without words stay. Of rows equal in doc_id and text one stays; other columns are not compared."""
+    found = _components(docs, k, percent)
+    alone = (F.col("n_shingles") == 0)
+    best = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = (found.filter(~alone & best).groupBy("top").agg(F.min("key").alias("key")).select("key")
+             .unionByName(found.filter(alone).select("key")))
+    key, second = free_name(docs, "key"), free_name(docs, "second")
+    keyed = docs.withColumn(key, row_key("doc_id", "text")).withColumn(second, F.sha2(F.to_json(F.struct("doc_id", "text")), 256))
+    return (keyed.join(first.select(F.col("key").alias(key)).distinct(), key, "left_semi")
+            .dropDuplicates([key, second]).drop(key, second))

@@ -15,11 +15,11 @@ ROUNDS = 20
 PENALTY = 8.0  # log-likelihood a further language must gain, times the log of the number of n-grams
 PATIENCE = 3      # so many larger sets in a row that gain nothing end the growth
 LANGUAGES = 1000  # a model is BUCKETS numbers per language; more labels than this are an error
-_ASCII, _LETTER = re.compile(rb"[A-Za-z]"), re.compile(r"[^\W\d_]")
+_ASCII = re.compile(rb"[A-Za-z]")
 
 
 def has_letter(text: bytes | None) -> bool:
-    return bool(text) and bool(_ASCII.search(text) or _LETTER.search(text.decode("utf-8", "replace")))
+    return bool(text) and bool(_ASCII.search(text) or any(map(str.isalpha, text.decode("utf-8", "ignore"))))
 
 
 def trigrams(text: bytes) -> np.ndarray:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from emberline.llm.common import row_key, stored
+from emberline.llm.common import free_name, row_key, stored
 
-WEIGHTS, CAP, BLOCK = (5, 2, 1), 3, 512
+WEIGHTS, CAP, BLOCK, SPARE = (5, 2, 1), 3, 512, 16
 
 
 def word_count(text: Column) -> Column:
@@ -85,13 +85,36 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool
     return p
 
 
+def exchange(p: np.ndarray, was: np.ndarray, size: np.ndarray, rounds: int = 64) -> np.ndarray:
+    """Landed choices `p` with up to `rounds` exchanges that bring the words taken nearer to those of `was`: one document in or out, or one for another."""
+    p = p.copy()
+    for _ in range(rounds):
+        off = float(np.dot(p - was, size))
+        step = np.where(p == 0, size, np.where(p == 1, -size, 0)).astype(float)  # what a change of mind adds
+        ins, outs = np.flatnonzero(step > 0), np.flatnonzero(step < 0)
+        best = min(((abs(off + step[i]), i, i) for i in (*ins, *outs)), default=(abs(off), 0, 0))
+        if len(ins) and len(outs):
+            order = ins[np.argsort(step[ins], kind="stable")]
+            at = np.searchsorted(step[order], -(off + step[outs]))
+            for j in (np.clip(at - 1, 0, len(order) - 1), np.clip(at, 0, len(order) - 1)):
+                left = np.abs(off + step[outs] + step[order[j]])
+                o = int(np.argmin(left))
+                best = min(best, (float(left[o]), int(order[j[o]]), int(outs[o])))
+        if best[0] >= abs(off) - 1e-9:
+            break
+        for i in {best[1], best[2]}:
+            p[i] = 1 - p[i]
+    return p
+
+
 def mixing_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """(key, doc_id, size, source_size, target, copies, taken), one row per row of `docs` (doc_id, text, source, ...).
 
     A document is taken floor(e) or floor(e) + 1 times, e being its source's target over its source's size.
     The choice is a balanced sample: blocks of a source fly through the null space of the constraints
-    (number, words), what stays fractional (two a block at most) flies again in blocks one level up, and
-    only the last two of a source are rounded. A source of any size is many blocks.
+    (number, words), what stays fractional (two a block at most) flies again in blocks one level up, with up to twice SPARE
+    settled documents of each block, and only the last two of a source are rounded. A few exchanges among the documents of the last block then
+    bring its words back to what was wanted of it. A source of any size is many blocks.
 
     `key` is equal for equal rows. Null text has size 0, null source is a source; repeated rows are documents of
     their own. All draws are seeded by source, level and block, so reruns agree. An empty table gives no rows.
@@ -102,13 +125,23 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = B
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     live = (sized.join(sources, sized["source"].eqNullSafe(sources["source"]), "inner").drop("source")
             .withColumn("e", e).withColumn("base", F.floor(F.col("e") + 1e-12))
-            .withColumn("p", F.greatest(F.col("e") - F.col("base"), F.lit(0.0))).drop("e"))
+            .withColumn("p", F.greatest(F.col("e") - F.col("base"), F.lit(0.0))).drop("e").withColumn("up", F.lit(True)))
     settled, level = [], 0
 
     def fly(key, group):
         group = group.sort_values(["key", "doc_id"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, int(group["level"].iat[0]), int(key[0]), int(key[1])])
-        group["p"] = flight(group["p"].to_numpy(), group["size"].to_numpy(), rng, bool(group["blocks"].iat[0] == 1))
+        was, size, last = group["p"].to_numpy(), group["size"].to_numpy(), bool(group["blocks"].iat[0] == 1)
+        now = flight(was, size, rng, last)
+        group["p"] = exchange(now, was, size) if last else now
+        # a few settled documents of assorted sizes go up with what stays fractional, so that the landing has something to exchange
+        group["up"] = (now > 0) & (now < 1)
+        if not last:
+            by_size = np.argsort(size, kind="stable")
+            words = np.cumsum(size[by_size])
+            even = np.linspace(0, len(size) - 1, SPARE).astype(int)  # evenly by rank, and by words, so that large ones are among them
+            heavy = np.searchsorted(words, np.linspace(0, words[-1], SPARE)).clip(max=len(size) - 1)
+            group.loc[by_size[np.union1d(even, heavy)], "up"] = True
         return group
 
     while True:
@@ -116,7 +149,7 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = B
         dealt = (live.withColumn("level", F.lit(level)).withColumn("blocks", F.greatest(blocks, F.lit(1)))
                  .withColumn("block", F.pmod(F.xxhash64("key", "level"), F.col("blocks"))))
         flown = stored(dealt.groupBy("number", "block").applyInPandas(fly, dealt.schema), "flown").drop("level", "blocks", "block")
-        done = (F.col("p") == 0) | (F.col("p") == 1)
+        done = ~F.col("up")
         settled.append(flown.filter(done))
         rest = flown.filter(~done)
         counts = rest.groupBy("number").agg(F.count("*").alias("docs"))
@@ -132,9 +165,11 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = B
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 0) -> DataFrame:
-    """The documents that the mix takes, with all their columns, `copies` (how often) and `taken` (words)."""
+    """The documents that the mix takes, with all their columns, `copies` (how often) and `taken` (words); columns of these two names are replaced."""
     plan = mixing_plan(docs, weights, cap, seed=seed)
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
-    plan = plan.withColumn("nth", nth).filter(F.col("copies") > 0).select("key", "nth", "copies", "taken")
-    docs = docs.drop("copies", "taken").withColumn("key", row_key("doc_id", "text", "source")).withColumn("nth", nth)
-    return docs.join(plan, ["key", "nth"]).drop("key", "nth")
+    docs = docs.drop("copies", "taken")
+    key, nth = free_name(docs, "key"), free_name(docs, "nth")
+    count = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.lit(0)))
+    plan = plan.withColumn("n", count("key")).filter(F.col("copies") > 0).select(F.col("key").alias(key), F.col("n").alias(nth), "copies", "taken")
+    docs = docs.withColumn(key, row_key("doc_id", "text", "source")).withColumn(nth, count(key))
+    return docs.join(plan, [key, nth]).drop(key, nth)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from emberline.llm.common import CHUNK, LOWER, mix, parts, row_key, stored
+from emberline.llm.common import free_name, mix, parts, row_key, stored, CHUNK, LOWER
 from emberline.llm.linededup import WORDS, line_starts
 
 GRAM = 8  # words of an anchor
@@ -204,14 +204,15 @@ def dedup_passages(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed", "words_removed")
     kept = docs.columns
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    met = keyed.join(stored(repeated_words(docs, size), "spans").select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left")
+    key, cuts = free_name(docs, "key"), free_name(docs, "spans")
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    met = keyed.join(stored(repeated_words(docs.select("doc_id", "text"), size), "spans").select(F.col("key").alias(key), F.col("spans").alias(cuts)), key, "left")
 
     def run(batches):
         for batch in batches:
             for part in parts(batch):
                 done = []
-                for text, spans in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("_spans").to_pylist()):
+                for text, spans in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column(cuts).to_pylist()):
                     n = len(line_starts(text or b""))
                     done.append((n, *(cut(text, [(s["a"], s["b"]) for s in spans]) if spans and text else (text, 0, 0))))
                 text = pa.array([x[1] for x in done], pa.binary()).cast(pa.string())
@@ -219,5 +220,5 @@ def dedup_passages(docs: DataFrame, size: int = WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in kept] + new,
                                                  names=[*kept, "n_lines", "n_removed", "words_removed"])
 
-    return met.select(*kept, "_spans").mapInArrow(run, T.StructType(
+    return met.select(*kept, cuts).mapInArrow(run, T.StructType(
         [docs.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "words_removed")]))
