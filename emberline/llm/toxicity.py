@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from emberline.llm.common import PLAIN, held_out, hashed_texts, mix, parts, shingles, stored
 
-EXAMPLES = 4096   # labelled rows learnt from, the first by hash of their id: the documented bound of the sample
+EXAMPLES = 2048   # labelled rows learnt from, the first by hash of their id: the documented bound of the sample
 NEIGHBOURS = 15
 BLOCK = 64        # examples whose postings share one maximum
 CHI2, MOST = 25.0, 5.0  # a term's chi-square with the label raises its weight by a logarithm from CHI2 on, MOST times at most
-FIRST = 8         # blocks opened at once to learn what the k-th best is at least
+FIRST = 6         # blocks opened at once to learn what the k-th best is at least
 SLOTS = 1 << 20   # document frequencies are counted by slot of a word's hash, known word or not
 TERMS = 4096      # distinct words of the documents searched in one step (a longer document is a step of its own)
 _KEYS = 8
