@@ -21,13 +21,15 @@ probes as (select p.*, unnest([-1, 0, 1]) as dn from probe p),
 near as (select a.id as a, b.id as b from probes a join det b on b.bla = a.bla + a.da and b.blo = a.blo + a.dn
          where abs(epoch(a.detected_at) - epoch(b.detected_at)) <= 2 * 86400 and a.id <> b.id
            and {HAV.format(a='a', b='b')} <= 750)"""
+# size and, modulo 2^60, sums of two pieces of the keys' digests
+EVENT_ID = """('0x' || substr(sha256(count(*) || '|' || sum(('0x' || substr(sha256(key), 1, 15))::bigint) % 1152921504606846976
+  || '|' || sum(('0x' || substr(sha256(key), 16, 15))::bigint) % 1152921504606846976), 1, 15))::bigint"""
 EVENTS = PAIRS + """,
 reach(id, low) as (select id, id from det union select n.b, r.low from reach r join near n on n.a = r.id where r.low < n.b),
 lab as (select id, min(low) as root from reach group by id),
 keyed as (select l.root, d.*, strftime(detected_at, '%Y-%m-%dT%H:%M:%S') || '+00:00|' || printf('%.6f', latitude) || '|'
             || printf('%.6f', longitude) as key from det d join lab l on l.id = d.id),
-ids as (select root, ('0x' || substr(sha256(string_agg(key, '||' order by key)), 1, 8))::bigint as event_id
-        from keyed group by root),
+ids as (select root, """ + EVENT_ID + """ as event_id from keyed group by root),
 ev as (select i.event_id, k.* from keyed k join ids i on i.root = k.root)"""
 
 

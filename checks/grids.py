@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.detections import loaded
+from checks.detections import EVENT_ID, loaded
 from checks.registry import check
 from checks.utm_sql import lonlat, utm
 from emberline.functions import geo, surface, when
@@ -156,7 +156,7 @@ def _(spark, d):
 
 @check("x19_stable_event_id", "tile:i event_id:i", DET, TILE + """
 k as (select event_id as tile, strftime(detected_at, '%Y-%m-%dT%H:%M:%S') || '+00:00|' || printf('%.6f', latitude) || '|' || printf('%.6f', longitude) as key from tile),
-result as (select tile, ('0x' || substr(sha256(string_agg(key, '||' order by key)), 1, 8))::bigint as event_id from k group by tile)""")
+result as (select tile, """ + EVENT_ID + """ as event_id from k group by tile)""")
 def _(spark, d):
     return clustering.stable_ids(tiled(spark, d).withColumnRenamed("event_id", "tile"), "tile")
 

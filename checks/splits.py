@@ -24,11 +24,25 @@ GROUPED = GROUPS + """,
 sizes as (select group_id, count(*) as size from grp group by group_id),
 tot as (select count(*) as g, sum(size) as n from sizes),
 want as (select g, n, greatest(1, round_even(n * 0.15::double, 0)) as n_val, greatest(1, round_even(n * (1 - 0.7::double - 0.15::double), 0)) as n_test from tot),
-ordered as (select s.*, w.*, case when size > least(n_val, n_test) then '1' else '0' end || sha256('42|' || group_id) as o from sizes s, want w),
-placed as (select *, sum(size) over (order by o) - size as before, row_number() over (order by o) - 1 as pos from ordered),
-tested as (select *, before < n_test and pos < g - 2 as is_test from placed),
-taken as (select sum(size) as k from tested where is_test),
-named as (select group_id, case when is_test then 'test' when before - k < n_val and pos < g - 1 then 'val' else 'train' end as split from tested, taken),
+ordered as (select s.*, w.*, row_number() over (order by sha256('42|' || group_id)) as pos from sizes s, want w),
+scan1(pos, used, cnt, took) as (select 0::bigint, 0::hugeint, 0, false union all
+  select pos, used + case when fits then size else 0 end, cnt + fits::int, fits from (
+    select o.pos, o.size, s.used, s.cnt, (o.size <= o.n_test - s.used and s.cnt < o.g - 2) as fits from scan1 s join ordered o on o.pos = s.pos + 1) x),
+end1 as (select max(used) as used, max(cnt) as cnt from scan1),
+held1 as (select group_id from ordered o join scan1 using (pos) where took union
+  select group_id from (select o.group_id from ordered o, end1 e where e.used < o.n_test and e.cnt < o.g - 2
+    and o.pos not in (select pos from scan1 where took) order by o.size, o.pos limit 1) y),
+rest as (select o.group_id, o.size, o.n_val, count(*) over () as g, row_number() over (order by o.pos) as pos from ordered o
+  where o.group_id not in (select group_id from held1)),
+scan2(pos, used, cnt, took) as (select 0::bigint, 0::hugeint, 0, false union all
+  select pos, used + case when fits then size else 0 end, cnt + fits::int, fits from (
+    select o.pos, o.size, s.used, s.cnt, (o.size <= o.n_val - s.used and s.cnt < o.g - 1) as fits from scan2 s join rest o on o.pos = s.pos + 1) x),
+end2 as (select max(used) as used, max(cnt) as cnt from scan2),
+held2 as (select group_id from rest o join scan2 using (pos) where took union
+  select group_id from (select o.group_id from rest o, end2 e where e.used < o.n_val and e.cnt < o.g - 1
+    and o.pos not in (select pos from scan2 where took) order by o.size, o.pos limit 1) y),
+named as (select group_id, case when group_id in (select group_id from held1) then 'test'
+  when group_id in (select group_id from held2) then 'val' else 'train' end as split from ordered),
 gsplit as (select grp.event_id, named.split, grp.group_id from grp join named using (group_id))"""
 PLAIN = """
 n as (select count(*) as n, greatest(1, round_even(count(*) * 0.15::double, 0)) as n_val, greatest(1, round_even(count(*) * (1 - 0.7::double - 0.15::double), 0)) as n_test from footprints),

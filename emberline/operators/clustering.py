@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberline.functions.geo import EARTH_RADIUS_M, chord_m, haversine_m, sphere_xyz
 from emberline.operators.components import connected_components
@@ -122,35 +122,61 @@ def detection_key() -> Column:
                        F.format_string("%.6f", "latitude"), F.format_string("%.6f", "longitude"))
 
 
-def stable_ids(detections: DataFrame, group: str, sizes: DataFrame | None = None, leaf: int = 500_000) -> DataFrame:
-    """(group, event_id): first 32 bits of the SHA-256 of an event's sorted detection keys.
+_PIECE = 1 << 60
 
-    Up to `leaf` detections this is the digest of the keys joined by two pipes. A larger event is
-    cut by key hash into leaves of about that size and the digest is taken over the sorted leaf
-    digests, so no task ever holds a whole mega-event; the id stays independent of input order.
-    `sizes` is a durable (group, n), counted here if not given.
+
+def set_digest() -> list[Column]:
+    """Aggregates n, da, db of a set of detections: its size and the sums of two 60-bit pieces of every key's SHA-256.
+
+    They can be added up in any order and over any parts, so partial sums are combined map-side and no task sees a
+    whole event; only equal multisets of keys agree in all three, up to chance in 2^120.
+    """
+    digest = F.sha2(detection_key(), 256)
+    piece = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(28,0)")
+    return [F.count("*").alias("n"), F.sum(piece(1)).alias("da"), F.sum(piece(16)).alias("db")]
+
+
+def add_digests() -> list[Column]:
+    """The aggregates of `set_digest` over parts that have it already."""
+    return [F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in ("da", "db")]]
+
+
+def reduced(digests: DataFrame) -> DataFrame:
+    """Sums taken modulo 2^60, so that adding them up never overflows."""
+    return digests.withColumns({c: (F.col(c) % F.lit(_PIECE)).cast("decimal(28,0)") for c in ("da", "db")})
+
+
+def ids_of_digests(digests: DataFrame) -> DataFrame:
+    """Add `event_id` to rows with n, da, db: 60 bits of the SHA-256 of `n|da|db`.
+
+    Where different digests meet in one id, the first by text keeps it and the others are hashed again with their
+    place among them, so every event has an id of its own at any number of events; a digest always has the same id.
     """
-    keyed = detections.select(group, detection_key().alias("key"))
-    if sizes is None:
-        sizes = durable(keyed.groupBy(group).agg(F.count("*").alias("n")))
-    leaves = F.ceil(F.col("n") / leaf)
-    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "||"), 256)
-    per_leaf = (join_counted(keyed, sizes, group)
-                .withColumn("leaf", F.pmod(F.xxhash64("key"), leaves))
-                .groupBy(group, "leaf").agg(digest("key").alias("d")))
-    top = per_leaf.groupBy(group).agg(F.count("*").alias("k"), F.min("d").alias("only"), digest("d").alias("tree"))
-    hexed = F.when(F.col("k") == 1, F.col("only")).otherwise(F.col("tree"))
-    return top.select(group, F.conv(F.substring(hexed, 1, 8), 16, 10).cast("bigint").alias("event_id"))
+    sixty = lambda text: F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
+    text = F.concat_ws("|", F.col("n").cast("string"), *[(F.col(c) % F.lit(_PIECE)).cast("decimal(19,0)").cast("string") for c in ("da", "db")])
+    place = F.dense_rank().over(Window.partitionBy("_id").orderBy("_text"))
+    named = digests.withColumn("_text", text).withColumn("_id", sixty(F.col("_text"))).withColumn("_place", place)
+    again = sixty(F.concat_ws("|", "_text", F.col("_place").cast("string")))
+    return named.withColumn("event_id", F.when(F.col("_place") == 1, F.col("_id")).otherwise(again)).drop("_text", "_id", "_place")
+
+
+def stable_ids(detections: DataFrame, group: str) -> DataFrame:
+    """(group, event_id): an id that depends on the group's detections alone, not on their order, number or partitioning."""
+    return ids_of_digests(detections.groupBy(group).agg(*set_digest())).select(group, "event_id")
 
 
 def cluster_detections(detections: DataFrame, near_m: float = NEAR_M, near_days: float = NEAR_DAYS) -> DataFrame:
-    """Detections with their `event_id`; a detection near no other is an event of its own."""
+    """Detections with their `event_id`; a detection near no other is an event of its own.
+
+    Ids are found on bricks: their digests add up to those of events. The detections themselves are written once and joined once.
+    """
     bricked = durable(with_bricks(detections, near_m, near_days))
-    parts = durable(brick_components(bricked, near_m, near_days))
-    rooted = durable(join_counted(bricked, parts, "brick").drop("brick", "n"))
-    sizes = durable(parts.groupBy("root").agg(F.sum("n").alias("n")))
-    named = durable(stable_ids(rooted, "root", sizes).join(sizes, "root"))
-    return join_counted(rooted, named, "root").drop("root", "n")
+    digests = durable(reduced(bricked.groupBy(F.col("brick").alias("v")).agg(*set_digest())))
+    roots = durable(connected_components(digests, detection_links(bricked, near_m, near_days)))
+    events = roots.join(digests, "v").groupBy("root").agg(*add_digests(), F.count("*").alias("bricks"))
+    named = durable(ids_of_digests(events).select("root", "event_id", F.col("bricks").alias("n")))
+    per_brick = durable(join_counted(roots, named, "root").select("v", "event_id").join(digests.select("v", "n"), "v").withColumnRenamed("v", "brick"))
+    return join_counted(bricked, per_brick, "brick").drop("brick", "n")
 
 
 def event_summary(clustered: DataFrame) -> DataFrame:

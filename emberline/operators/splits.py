@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LON, UTM19S, footprint_gap_days, footprint_gap_km
 from emberline.operators.components import connected_components
 from emberline.operators.proximity import near_groups, prefixed
 from emberline.operators.ranking import hash_buckets, running_total
+from emberline.operators.skew import join_counted
 from emberline.session import DataError, durable, require_none
 
 MAX_GAP_KM = 10.0
@@ -270,26 +273,47 @@ def split_events_grouped(footprints: DataFrame, seed: int = 42, train_frac: floa
                          km: float = MAX_GAP_KM, days: int = MAX_GAP_DAYS) -> DataFrame:
     """SPLIT (event_id, split, group_id) that never cuts a group of coupled events.
 
-    Groups that fit a held-out share come first, in seeded hash order; test takes groups until its
-    share is reached, then val, the rest trains. At least one group each; fewer than three groups
-    is an error. Sizes and invariants are those of a sequential fill, membership is the hash's.
+    Groups stand in seeded hash order. Test takes, one by one, the first group that fits what it still lacks, and if none
+    does the smallest (the first of equals); then val does the same; the rest trains. At least one group stays for each of
+    those that come after; fewer than three groups is an error.
     """
     grouped = durable(group_events(footprints, km, days))
-    sizes = grouped.groupBy("group_id").agg(F.count("*").alias("size"))
+    sizes = durable(grouped.groupBy("group_id").agg(F.count("*").alias("size")).withColumn("digest", _shuffle_digest(seed, "group_id")))
     totals = sizes.agg(F.count("*").alias("groups"), F.sum("size").alias("n")).first()
     if totals.groups < 3:
         raise DataError(f"{totals.groups} independent groups of events; train, val and test need three")
-    n_val = max(1, round(totals.n * val_frac))
-    n_test = max(1, round(totals.n * (1 - train_frac - val_frac)))
-    late = F.when(F.col("size") > min(n_val, n_test), "1").otherwise("0")
-    ordered = sizes.withColumn("digest", F.concat(late, _shuffle_digest(seed, "group_id")))
-    placed = durable(_positions(ordered, F.col("size"), "before").drop("total")
-                     .join(_positions(ordered, F.lit(1), "pos").select("group_id", "pos"), "group_id"))
-    test = (F.col("before") < n_test) & (F.col("pos") < totals.groups - 2)
-    taken = placed.filter(test).agg(F.sum("size")).first()[0]
-    val = ~test & (F.col("before") - taken < n_val) & (F.col("pos") < totals.groups - 1)
-    named = placed.select("group_id", F.when(test, "test").when(val, "val").otherwise("train").alias("split"))
-    return grouped.join(named, "group_id").select("event_id", "split", "group_id")
+    test = durable(_first_fit(sizes, max(1, round(totals.n * (1 - train_frac - val_frac))), totals.groups - 2))
+    rest = durable(sizes.join(test, "group_id", "left_anti"))
+    val = durable(_first_fit(rest, max(1, round(totals.n * val_frac)), rest.count() - 1))
+    held = test.withColumn("split", F.lit("test")).unionByName(val.withColumn("split", F.lit("val")))
+    named = sizes.select("group_id", F.col("size").alias("n")).join(held, "group_id", "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    return join_counted(grouped, durable(named), "group_id").select("event_id", "split", "group_id")
+
+
+def _first_fit(groups: DataFrame, need: int, most: int) -> DataFrame:
+    """(group_id) chosen from (group_id, size, digest): walking in order of the digest, every group that fits what `need` still lacks, at most
+    `most`; if something is lacking in the end, the smallest other group too.
+
+    A group that did not fit never fits later, so one walk does. It goes in rounds: of those that fit the present need, a
+    prefix with a running total within it is taken at once; the next one ends the round, and the walk goes on behind the prefix
+    with a smaller need. No task sees all groups.
+    """
+    chosen, after = [], ""
+    while need > 0 and most > 0:
+        fit = groups.filter((F.col("digest") > after) & (F.col("size") <= need))
+        taken = durable(_positions(fit, F.col("size"), "before").filter(F.col("before") + F.col("size") <= need))
+        if taken.count() > most:
+            taken = durable(_positions(taken.select(*groups.columns), F.lit(1), "pos").filter(F.col("pos") < most))
+        got = taken.agg(F.count("*").alias("k"), F.sum("size").alias("size"), F.max("digest").alias("last")).first()
+        if not got.k:
+            break
+        chosen.append(taken.select("group_id"))
+        need, most, after = need - got["size"], most - got.k, got["last"]
+    out = reduce(DataFrame.unionByName, chosen) if chosen else groups.select("group_id").limit(0)
+    if need > 0 and most > 0:
+        least = groups.join(out, "group_id", "left_anti").orderBy("size", "digest").limit(1)
+        out = out.unionByName(least.select("group_id"))
+    return out
 
 
 def split_shards(paths: DataFrame, seed: int = 42, train_frac: float = 0.85) -> DataFrame:

@@ -103,19 +103,34 @@ def test_refinement_of_large_groups_is_exact(spark):
     assert plain and fine == plain
 
 
-def test_stable_id_is_the_digest_of_sorted_keys(spark):
+def set_id(rows):
+    """The id of a set of detections, from its keys alone."""
+    digests = [hashlib.sha256(f"{t.isoformat()}+00:00|{a:.6f}|{o:.6f}".encode()).hexdigest() for a, o, t in rows]
+    sums = [sum(int(d[i:i + 15], 16) for d in digests) % (1 << 60) for i in (0, 15)]
+    return int(hashlib.sha256("|".join(map(str, (len(rows), *sums))).encode()).hexdigest()[:15], 16)
+
+
+def test_stable_id_is_the_digest_of_the_set_of_keys(spark):
     rows = [(-37.5, -72.25, T0), (-37.5001, -72.25, T0 + dt.timedelta(hours=3))]
-    keys = sorted(f"{t.isoformat()}+00:00|{a:.6f}|{o:.6f}" for a, o, t in rows)
-    want = int(hashlib.sha256("||".join(keys).encode()).hexdigest()[:8], 16)
-    assert clusters(spark, rows)[1] == {want} == clusters(spark, rows[::-1])[1]
+    assert clusters(spark, rows)[1] == {set_id(rows)} == clusters(spark, rows[::-1])[1]
+
+
+def test_one_id_at_every_size_and_partitioning(spark):
+    rows = [(-37.0 - i % 7 / 1e4, -72.0 - i % 5 / 1e4, T0 + dt.timedelta(minutes=i)) for i in range(900)]
+    for parts in (1, 3, 17):
+        got = clustering.stable_ids(frame(spark, rows[::-1]).repartition(parts).withColumn("g", F.lit(1)), "g").first().event_id
+        assert got == set_id(rows)
+    assert clusters(spark, rows)[1] == {set_id(rows)}  # added up over bricks
+    assert clustering.stable_ids(frame(spark, rows[:-1]).withColumn("g", F.lit(1)), "g").first().event_id != set_id(rows)
 
 
-def test_leaf_digest_does_not_depend_on_order(spark):
-    rows = [(-37.0 - i / 1e4, -72.0, T0 + dt.timedelta(minutes=i)) for i in range(40)]
-    ids = [clustering.stable_ids(frame(spark, r).withColumn("g", F.lit(1)), "g", leaf=7).first().event_id
-           for r in (rows, rows[::-1])]
-    flat = clustering.stable_ids(frame(spark, rows).withColumn("g", F.lit(1)), "g").first().event_id
-    assert ids[0] == ids[1] != flat
+def test_digests_that_meet_in_one_id_are_told_apart(spark, monkeypatch):
+    rows = spark.range(60).selectExpr("cast(id as int) as g", "1L as n", "cast(id % 40 as decimal(28,0)) as da", "cast(7 as decimal(28,0)) as db")
+    real = F.sha2
+    monkeypatch.setattr(clustering.F, "sha2", lambda c, bits: F.concat(F.lit("00000000000000"), F.substring(real(c, bits), 1, 50)))
+    got = {r.g: r.event_id for r in clustering.ids_of_digests(rows).collect()}  # ids of four bits
+    plain = {r.g: r.event_id for r in clustering.ids_of_digests(rows.filter("g < 3")).collect()}
+    assert all(got[i] == got[i + 40] for i in range(20)) and len(set(plain.values())) <= 3 and len(set(got.values())) > 8
 
 
 def test_hot_keys_join_like_any_other(spark):

@@ -346,3 +346,24 @@ def test_one_elevation_layer(spark):
     for bad in ([], ["a", "b"]):
         with pytest.raises(DataError):
             tables.require_one_elevation(mk(bad))
+
+
+def first_fit(groups, need, keep):
+    """The rule of the grouped split on a list of (id, size) in order: ids taken."""
+    left, taken, have = list(groups), [], 0
+    while have < need and len(left) > keep:
+        fits = [g for g in left if g[1] <= need - have]
+        chosen = fits[0] if fits else min(left, key=lambda g: g[1])
+        left.remove(chosen)
+        taken.append(chosen[0])
+        have += chosen[1]
+    return taken
+
+
+@pytest.mark.parametrize("sizes, need, keep", [
+    ([5, 1, 4, 1, 3, 1, 2, 1, 1], 7, 2), ([9, 9, 9], 4, 2), ([1, 1, 1, 1], 30, 2), ([50, 2, 50, 3, 50, 1, 2], 5, 1), ([3, 8, 3, 7, 3, 6, 2, 5], 12, 2), ([2, 2, 2], 1, 1)])
+def test_first_fit_in_rounds(spark, sizes, need, keep):
+    groups = [(i, n, f"{i:064x}") for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(groups, "group_id int, size long, digest string")
+    got = sorted(r.group_id for r in splits._first_fit(df, need, len(sizes) - keep).collect())
+    assert got == sorted(first_fit([g[:2] for g in groups], need, keep))
