@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.registry import check
 from emberline.functions.surface import focal_loss, logit
 from emberline.operators import ensembles as en, evaluation as ev, ranking
-from emberline.session import durable
+from emberline.session import durable, shared_folder
 from emberline.sources import fixtures
 
 BOTH = "event_cell_day predictions"
@@ -253,12 +253,14 @@ def _(spark, d):
     return en.calibration_report(calibrated(spark, d), ["split"])
 
 
-@check("n8_calibrator_lineage", "lineage:s refused:i n:i")
+@check("n8_calibrator_lineage", "lineage:s refused:i n:i", BOTH, PAIRS + ", result as (select 'b-1' as lineage, 1 as refused, count(*) as n from pairs)")
 def _(spark, d):
     p = durable(pairs(spark, d).withColumn("p", F.col("pb")))
-    cal = en.fit_isotonic(p.filter("split = 'val'"), "b-1")
+    path = shared_folder(spark, "calibrator")
+    en.save_calibrator(en.fit_isotonic(p.filter("split = 'val'"), "b-1"), path)
+    cal = en.load_calibrator(spark, path, "b-1")
     try:
-        en.calibrate(p, cal, "b-2")
+        en.load_calibrator(spark, path, "b-2")
         refused = 0
     except ValueError:
         refused = 1

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from emberline.functions.surface import logit
 from emberline.operators.evaluation import binned, metrics_of, reliability_bins
-from emberline.session import DataError, require_none
+from emberline.operators.ranking import running_total, value_buckets
+from emberline.operators.skew import join_counted
+from emberline.session import DataError, durable, require_none
 
 KEY = ["event_id", "day_idx", "row", "col"]
 WEIGHTS = tuple(i / 10 for i in range(11))
@@ -81,32 +83,89 @@ def stack(model, pairs: DataFrame, anchor: DataFrame | None = None) -> DataFrame
 
 
 class Calibrator(NamedTuple):
-    """An isotonic model and the version of the forecast model it was fitted on."""
+    """A fitted calibration of one model version: blocks (lo, hi, mean, w) of p that share one value, in rising order."""
     lineage: str
-    model: IsotonicRegressionModel
+    blocks: DataFrame
 
 
-def _as_vector(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=["p"], outputCol="v").transform(df)
+def _numbered(df: DataFrame, value: str, order: list[str], weight: Column) -> DataFrame:
+    """Add `before`, the total of `weight` over all rows ahead in `order`, of which `value` comes first; no task sees all rows."""
+    one = value_buckets(df.withColumn("_one", F.lit(1)), ["_one"], value)
+    return running_total(one, ["_one"], order, weight).drop("_one", "total")
 
 
-def fit_isotonic(scored: DataFrame, lineage: str) -> Calibrator:
-    """Isotonic fit of y on p. Cells are first pooled by distinct p, map-side, so every level is seen once."""
+def _pool(rows: pd.DataFrame) -> pd.DataFrame:
+    """Blocks of one range with neighbours pooled until their means rise."""
+    rows = rows.sort_values("lo")
+    done: list[list[float]] = []
+    for lo, hi, total, w in zip(rows["lo"], rows["hi"], rows["s"], rows["w"]):
+        block = [lo, hi, total, w]
+        while done and done[-1][2] * block[3] >= block[2] * done[-1][3]:
+            left = done.pop()
+            block = [left[0], block[1], left[2] + block[2], left[3] + block[3]]
+        done.append(block)
+    out = pd.DataFrame(done, columns=["lo", "hi", "s", "w"])
+    return out.assign(range=rows["range"].iat[0])
+
+
+def fit_isotonic(scored: DataFrame, lineage: str, span: int = 65_536) -> Calibrator:
+    """Isotonic fit of y on p by pooling adjacent violators in ranges of at most `span` blocks.
+
+    Cells are first added up by distinct p, map-side. Each round pools every range on its own; where the end of one range still
+    lies above the start of the next, the remaining blocks are cut anew half a range further on, so that the edge falls inside a range. Pooling
+    in any order gives the same fit, and each round leaves fewer blocks, so the rounds end with the exact one. Only the edges (two
+    numbers a range) are compared as a whole.
+    """
     require_none(scored.filter(F.col("p").isNull() | F.isnan("p")).select("p"), "non-finite probability")
-    levels = scored.groupBy("p").agg(F.avg("y").alias("label"), F.count("*").cast("double").alias("w"))
-    fit = IsotonicRegression(featuresCol="v", labelCol="label", weightCol="w", predictionCol="q").fit(_as_vector(levels))
-    return Calibrator(lineage, fit)
+    blocks = durable(scored.groupBy(F.col("p").alias("lo")).agg(F.sum("y").cast("double").alias("s"), F.count("*").cast("double").alias("w"))
+                     .withColumn("hi", F.col("lo")))
+    shift = 0
+    while True:
+        place = _numbered(blocks, "lo", ["lo"], F.lit(1)).withColumn("range", F.floor((F.col("before") + shift) / span)).drop("before")
+        pooled = durable(place.groupBy("range").applyInPandas(_pool, "range long, lo double, hi double, s double, w double"))
+        end = F.struct("lo", (F.col("s") / F.col("w")).alias("mean"))
+        edges = pooled.groupBy("range").agg(F.min(end)["mean"].alias("first"), F.max(end)["mean"].alias("last"))
+        before = F.lag("last").over(Window.orderBy("range"))
+        if edges.withColumn("before", before).filter(F.col("before") > F.col("first")).isEmpty():
+            return Calibrator(lineage, pooled.select("lo", "hi", (F.col("s") / F.col("w")).alias("mean"), "w"))
+        blocks, shift = pooled.drop("range"), span // 2 - shift
+
+
+def save_calibrator(calibrator: Calibrator, path: str) -> None:
+    """Write the blocks with the model version they belong to; an existing calibrator is not overwritten."""
+    calibrator.blocks.withColumn("lineage", F.lit(calibrator.lineage)).write.parquet(path)
+
+
+def load_calibrator(spark: SparkSession, path: str, lineage: str) -> Calibrator:
+    """A stored calibrator of this model version; that of another is refused."""
+    stored = spark.read.parquet(path)
+    found = sorted(r.lineage for r in stored.select("lineage").distinct().limit(2).collect())
+    if found != [lineage]:
+        raise DataError(f"calibrator of model version {', '.join(found)} does not belong to {lineage}")
+    return Calibrator(lineage, stored.drop("lineage"))
 
 
 def calibrate(scored: DataFrame, calibrator: Calibrator, lineage: str) -> DataFrame:
-    """Add `q`, the calibrated p in [0, 1], clipped outside the fitted range.
+    """Add `q`, the calibrated p: a block's value inside it, on the line between two blocks in the gap, the outermost value beyond.
 
-    A calibrator of another model version is refused.
+    A calibrator of another model version is refused. Each distinct p is looked up once, by its place among the blocks; a p of a
+    third of all rows and a block of a third of all p are joined like any other.
     """
     if calibrator.lineage != lineage:
         raise DataError(f"calibrator of model version {calibrator.lineage} does not belong to {lineage}")
-    q = F.least(F.greatest("q", F.lit(0.0)), F.lit(1.0))
-    return calibrator.model.transform(_as_vector(scored)).withColumn("q", q).drop("v")
+    require_none(scored.filter(F.col("p").isNull() | F.isnan("p")).select("p"), "non-finite probability")
+    levels = scored.groupBy("p").agg(F.count("*").alias("n"))
+    marks = (levels.withColumns({"kind": F.lit(1), "hi": F.lit(None).cast("double"), "mean": F.lit(None).cast("double")})
+             .unionByName(calibrator.blocks.select(F.col("lo").alias("p"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("kind"), "hi", "mean")))
+    placed = durable(_numbered(marks, "p", ["p", "kind"], 1 - F.col("kind")))
+    blocks = placed.filter("kind = 0").select((F.col("before") + 1).alias("i"), "hi", "mean", F.col("p").alias("lo"))
+    asked = placed.filter("kind = 1").select("p", F.col("n").alias("rows"), F.greatest("before", F.lit(1)).alias("i"))
+    after = blocks.select((F.col("i") - 1).alias("i"), F.col("lo").alias("next"), F.col("mean").alias("next_mean"))
+    known = durable(blocks.join(after, "i", "left").join(asked.groupBy("i").agg(F.count("*").alias("n")), "i"))
+    share = (F.col("p") - F.col("hi")) / (F.col("next") - F.col("hi"))
+    q = F.when((F.col("p") <= F.col("hi")) | F.col("next").isNull(), F.col("mean")).otherwise(F.col("mean") + share * (F.col("next_mean") - F.col("mean")))
+    table = join_counted(asked, known, "i").select("p", F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)).alias("q"), F.col("rows").alias("n"))
+    return join_counted(scored, durable(table), "p").drop("n")
 
 
 def calibration_report(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -171,12 +171,11 @@ def leaking_pairs(footprints: DataFrame, split: DataFrame, km: float = MAX_GAP_K
             .distinct())
 
 
-def nearest_cross_split(footprints: DataFrame, split: DataFrame, start_km: float = 20.0) -> DataFrame:
+def nearest_cross_split(footprints: DataFrame, split: DataFrame, start_km: float = 20.0, small: int = 16) -> DataFrame:
     """For each val/test event the event of another split with the least (gap_km, gap_days, event id).
 
-    The search radius doubles until the nearest found lies within it. In each round events meet
-    parts (footprints of one neighbourhood and period, with bounds); only parts that may hold the
-    winner are opened. Equal footprints count once.
+    The search radius doubles until the nearest found lies within it. In each round events walk down a tree of space-time parts,
+    each with the bounds of its footprints, their number and their least id: see `_descend`. Equal footprints count once.
     """
     tagged = durable(footprints.join(split.select("event_id", "split"), "event_id")
                      .withColumns({"first_day": _day("first_day"), "last_day": _day("last_day")}))
@@ -187,47 +186,89 @@ def nearest_cross_split(footprints: DataFrame, split: DataFrame, start_km: float
     answers, radius = [], start_km
     far = 20_100.0 * 2
     while True:
-        unit = radius / 8
-        keyed = others.withColumn("part", F.array(
-            F.floor(F.col("west") * KM_PER_DEG_LON / unit), F.floor(F.col("south") * KM_PER_DEG_LAT / unit),
-            F.floor(F.col("first_day") / 4).cast("bigint"), F.floor(F.col("last_day") / 4).cast("bigint")))
-        parts = keyed.groupBy("for_split", "part").agg(
-            *[f(d).alias(f"{d}_{n}") for d in BOX for f, n in ((F.min, "lo"), (F.max, "hi"))],
-            F.min(F.struct("id", "split")).alias("least"))
-        b = _spatial(parts, radius, False).select(
-            "I", "J", "for_split", "part", *[F.col(f"{d}_{e}").alias(f"b_{d}_{e}") for d in BOX for e in ("lo", "hi")], "least")
-        q = asking.withColumns({f"{d}_{e}": F.col(d) for d in BOX for e in ("lo", "hi")})
-        a = _spatial(q, radius, True).select(
-            "I", "J", F.col("split").alias("for_split"), F.col("id").alias("a_id"),
-            *[F.col(f"{d}_{e}").alias(f"a_{d}_{e}") for d in BOX for e in ("lo", "hi")])
-        g = _gap_bounds()
-        met = (a.hint("merge").join(b, ["I", "J", "for_split"]).drop("I", "J").dropDuplicates(["a_id", "for_split", "part"])
-               .withColumns({"lo": F.struct(g["lo_km"].alias("km"), g["lo_days"].alias("days")),
-                             "hi": F.struct((g["hi_km"] + 1e-9).alias("km"), g["hi_days"].alias("days"))}))
-        best = met.groupBy("a_id").agg(F.min("hi").alias("bound"))
-        may = met.join(best, "a_id").filter(F.col("lo") <= F.col("bound")).select("a_id", "for_split", "part")
-        qa = asking.select(F.col("id").alias("a_id"), *[F.col(d).alias(f"a_{d}") for d in BOX])
-        ob = keyed.select("for_split", "part", F.col("id").alias("b_id"), F.col("split").alias("b_split"),
-                          *[F.col(d).alias(f"b_{d}") for d in BOX])
-        gap_days = F.greatest(F.lit(0), F.greatest("a_first_day", "b_first_day") - F.least("a_last_day", "b_last_day"))
-        found = durable(
-            may.join(qa, "a_id").join(ob, ["for_split", "part"])
-            .groupBy("a_id").agg(F.min(F.struct(footprint_gap_km("a_", "b_").alias("gap_km"), gap_days.alias("gap_days"),
-                                                F.col("b_id").alias("nearest_event_id"), F.col("b_split").alias("nearest_split"))).alias("m"))
-            .filter((F.col("m.gap_km") <= radius) | F.lit(radius >= far)))
+        found = durable(_descend(asking, others, radius, small).filter((F.col("m.gap_km") <= radius) | F.lit(radius >= far)))
         answers.append(found)
         asking = durable(asking.join(found.select(F.col("a_id").alias("id")), "id", "left_anti"))
         if radius >= far or asking.isEmpty():
             break
         radius *= 2
-    done = answers[0]
-    for f in answers[1:]:
-        done = done.unionByName(f)
+    done = reduce(DataFrame.unionByName, answers)
     reps = done.join(pool.select(F.col("id").alias("a_id"), "split", *BOX), "a_id")
     return tagged.join(reps, ["split", *BOX]).select("event_id", "split", "m.nearest_event_id", "m.nearest_split",
                                                      "m.gap_km", "m.gap_days")
 
 
+_DAY_LEVELS = 3  # 64 days, 16, 4, 1
+
+
+def _parts(others: DataFrame, radius: float, near: int, when: int) -> DataFrame:
+    """Footprints with their part at `near` spatial and `when` temporal cuts, each four times finer, and the part above it.
+
+    A part is cut in space until its distance is certain, and then in time.
+    """
+    def key(near, when):
+        unit, days = radius / 4 ** near, 64 // 4 ** when
+        at = lambda c, scale: F.floor(F.col(c) * (scale / unit))
+        return F.array(at("west", KM_PER_DEG_LON), at("south", KM_PER_DEG_LAT), at("east", KM_PER_DEG_LON), at("north", KM_PER_DEG_LAT),
+                       *[F.floor(F.col(c) / days).cast("bigint") for c in ("first_day", "last_day")])
+    above = key(near, when - 1) if when else key(max(near - 1, 0), 0)
+    return others.withColumns({"near": F.lit(near), "when": F.lit(when), "part": key(near, when), "above": above})
+
+
+def _descend(asking: DataFrame, others: DataFrame, radius: float, small: int) -> DataFrame:
+    """(a_id, m): per footprint the least (gap_km, gap_days, id, split) among those whose cells within `radius` it meets.
+
+    A part stands for (least gap, least days, least id) its members may have. If bounds show that all members have no distance and the same days,
+    its least id answers for it unopened, however many lie on one place. A part whose best case is no better than what another
+    part is sure to give is dropped, ids included; of the others, small ones are opened, large ones give way to their children.
+    """
+    bounds = [f(d).alias(f"b_{d}_{n}") for d in BOX for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    of_part = [*bounds, F.count("*").alias("size"), F.min(F.struct("id", "split")).alias("least")]
+    g = _gap_bounds()
+    zero = lambda c: F.struct(c[0].alias("gap_km"), c[1].alias("gap_days"), c[2].alias("nearest_event_id"), c[3].alias("nearest_split"))
+    ask = asking.withColumns({f"{d}_{e}": F.col(d) for d in BOX for e in ("lo", "hi")})
+    a = _spatial(ask, radius, True).select("I", "J", F.col("split").alias("for_split"), F.col("id").alias("a_id"),
+                                           *[F.col(f"{d}_{e}").alias(f"a_{d}_{e}") for d in BOX for e in ("lo", "hi")])
+    a_cols = [f"a_{d}_{e}" for d in BOX for e in ("lo", "hi")]
+    keyed = _parts(others, radius, 0, 0)
+    top = keyed.groupBy("for_split", "part", "near", "when").agg(*of_part)
+    renamed = top.select("for_split", "part", "near", "when", "size", "least", *[F.col(f"b_{d}_{e}").alias(f"{d}_{e}") for d in BOX for e in ("lo", "hi")])
+    b = _spatial(renamed, radius, False).select("I", "J", "for_split", "part", "near", "when", "size", "least",
+                                                *[F.col(f"{d}_{e}").alias(f"b_{d}_{e}") for d in BOX for e in ("lo", "hi")])
+    met = a.hint("merge").join(b, ["I", "J", "for_split"]).drop("I", "J").dropDuplicates(["a_id", "for_split", "part"])
+    sure, answers, state = None, [], ["for_split", "near", "when", "part"]
+    while True:
+        closed = (g["hi_km"] == 0) & (g["lo_days"] == g["hi_days"])
+        judged = durable(met.select(
+            "a_id", *state, "size", *a_cols, closed.alias("closed"), (g["hi_km"] - g["lo_km"] <= 1e-9).alias("certain"),
+            zero((F.when(closed, F.lit(0.0)).otherwise(F.greatest(g["lo_km"] - 1e-9, F.lit(0.0))), g["lo_days"], F.col("least.id"), F.col("least.split"))).alias("best"),
+            zero((F.when(closed, F.lit(0.0)).otherwise(g["hi_km"] + 1e-9), g["hi_days"], F.when(closed, F.col("least.id")).otherwise(F.lit(2 ** 63 - 1)),
+                  F.when(closed, F.col("least.split")))).alias("worst")))
+        here = judged.select("a_id", "worst") if sure is None else judged.select("a_id", "worst").unionByName(sure)
+        sure = durable(here.groupBy("a_id").agg(F.min("worst").alias("worst")))
+        limit = sure.withColumnRenamed("worst", "limit")
+        answers.append(sure.filter("worst.nearest_split is not null").select("a_id", F.col("worst").alias("m")))
+        rest = durable(judged.filter("not closed").join(limit, "a_id").filter(F.col("best") < F.col("limit")).select("a_id", *state, "size", "certain", *a_cols))
+        few = (F.col("size") <= small) | (F.col("certain") & (F.col("when") == _DAY_LEVELS))  # the latter: one distance and one pair of days
+        qa = rest.filter(few).select("a_id", *state, *[F.col(f"a_{d}_lo").alias(f"a_{d}") for d in BOX])
+        ob = keyed.select(*state, F.col("id").alias("b_id"), F.col("split").alias("b_split"), *[F.col(d).alias(f"b_{d}") for d in BOX])
+        gap_days = F.greatest(F.lit(0), F.greatest("a_first_day", "b_first_day") - F.least("a_last_day", "b_last_day"))
+        opened = (qa.join(ob, state)
+                  .groupBy("a_id").agg(F.min(zero((footprint_gap_km("a_", "b_"), gap_days, F.col("b_id"), F.col("b_split")))).alias("worst")))
+        opened = durable(opened)
+        answers.append(opened.select("a_id", F.col("worst").alias("m")))
+        later = F.when(F.col("certain"), F.lit(1)).otherwise(F.lit(0))
+        many = rest.filter(~few).withColumns({"above": F.col("part"), "near": F.col("near") + 1 - later, "when": F.col("when") + later})
+        levels = [(r.near, r.when) for r in many.select("near", "when").distinct().collect()]  # one per cut at most
+        if not levels:
+            break
+        sure = sure.unionByName(opened)
+        keyed = reduce(DataFrame.unionByName, [_parts(others, radius, *x) for x in levels])
+        children = keyed.groupBy(*state, "above").agg(*of_part)
+        met = many.drop("size", "part", "certain").join(children, ["for_split", "near", "when", "above"])
+    return reduce(DataFrame.unionByName, answers).groupBy("a_id").agg(F.min("m").alias("m"))
+
+
 def _spatial(parts: DataFrame, km: float, grow: bool) -> DataFrame:
     """Cells of about `km` x `km` that bounds touch, grown by `km` on request."""
     dlat = km / KM_PER_DEG_LAT if grow else 0.0

@@ -287,6 +287,46 @@ def test_isotonic_clips_and_refuses_another_version(spark):
         en.fit_isotonic(df.withColumn("p", F.lit(float("nan"))), "v1")
 
 
+def sequential_fit(levels):
+    """(lo, hi, mean) blocks of (p, sum, weight) by one walk."""
+    done = []
+    for p, total, w in sorted(levels):
+        done.append([p, p, total, w])
+        while len(done) > 1 and done[-2][2] / done[-2][3] >= done[-1][2] / done[-1][3]:
+            right = done.pop()
+            done[-1] = [done[-1][0], right[1], done[-1][2] + right[2], done[-1][3] + right[3]]
+    return [(lo, hi, total / w) for lo, hi, total, w in done]
+
+
+@pytest.mark.parametrize("kind, span", [("rising", 8), ("falling", 8), ("noise", 50), ("late dip", 16)])
+def test_isotonic_fit_in_ranges_equals_one_walk(spark, kind, span):
+    rnd = random.Random(4)
+    n = 1500
+    label = {"rising": lambda i: float(rnd.random() < i / n), "falling": lambda i: float(rnd.random() > i / n), "noise": lambda i: rnd.random(),
+             "late dip": lambda i: i / n if i < n - 5 else 0.0}[kind]
+    rows = [(i / n, label(i)) for i in range(n)] + [(0.25, 1.0), (0.25, 0.0)]
+    levels = {}
+    for p, y in rows:
+        total, w = levels.get(p, (0.0, 0))
+        levels[p] = (total + y, w + 1)
+    want = sequential_fit([(p, *v) for p, v in levels.items()])
+    cal = en.fit_isotonic(spark.createDataFrame(rows, "p double, y double"), "v", span=span)
+    steps = lambda blocks: [(lo, m) for i, (lo, _, m) in enumerate(blocks) if i == 0 or abs(m - blocks[i - 1][2]) > 1e-12]
+    got = sorted((r.lo, r.hi, r["mean"]) for r in cal.blocks.collect())
+    assert np.allclose(steps(got), steps(want), atol=1e-12)
+
+
+def test_calibrator_is_stored_and_refused(spark, tmp_path):
+    df = spark.createDataFrame([(0.2, 0.0), (0.4, 1.0), (0.6, 0.0), (0.8, 1.0)], "p double, y double")
+    path = str(tmp_path / "cal")
+    en.save_calibrator(en.fit_isotonic(df, "v1"), path)
+    cal = en.load_calibrator(spark, path, "v1")
+    got = {r.p: r.q for r in en.calibrate(spark.createDataFrame([(x,) for x in (0.0, 0.2, 0.3, 0.5, 0.7, 0.9)] * 2, "p double"), cal, "v1").collect()}
+    assert all(math.isclose(got[p], q, abs_tol=1e-12) for p, q in {0.0: 0.0, 0.2: 0.0, 0.3: 0.25, 0.5: 0.5, 0.7: 0.75, 0.9: 1.0}.items())
+    with pytest.raises(DataError, match="v1 does not belong to v2"):
+        en.load_calibrator(spark, path, "v2")
+
+
 # ---------------------------------------------------------------- reports
 def test_percentile_rank_counts_ties_half(spark):
     mk = lambda vs: spark.createDataFrame([("d", float(v)) for v in vs], "descriptor string, value double")
@@ -367,3 +407,24 @@ def test_first_fit_in_rounds(spark, sizes, need, keep):
     df = spark.createDataFrame(groups, "group_id int, size long, digest string")
     got = sorted(r.group_id for r in splits._first_fit(df, need, len(sizes) - keep).collect())
     assert got == sorted(first_fit([g[:2] for g in groups], need, keep))
+
+
+def test_a_crowded_place_is_searched_in_proportion(spark, monkeypatch):
+    """Footprints of one place all overlap: parts answer with their least id, and what is joined grows with the events."""
+    rows, real = [], splits.durable
+
+    def counted(df):
+        out = real(df)
+        rows.append(out.count())
+        return out
+    monkeypatch.setattr(splits, "durable", counted)
+    seen = []
+    for n in (120, 480):
+        rnd = random.Random(n)
+        fp = prints(spark, [(i, -72.0 + rnd.random() * 0.004, -37.0 + rnd.random() * 0.004, days(d := rnd.randrange(0, 30)), days(d + rnd.randrange(0, 3))) for i in range(n)])
+        split = spark.createDataFrame([(i, ("train", "train", "train", "val", "test")[i % 5]) for i in range(n)], "event_id long, split string")
+        rows.clear()
+        got = splits.nearest_cross_split(fp, split).collect()
+        assert len(got) == n // 5 * 2 and all(r.gap_km == 0 for r in got)
+        seen.append(sum(rows))
+    assert seen[1] <= 6 * seen[0], seen
