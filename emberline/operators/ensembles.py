@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberline.functions.surface import logit
 from emberline.operators.evaluation import binned, metrics_of, reliability_bins
@@ -108,27 +108,58 @@ def _pool(rows: pd.DataFrame) -> pd.DataFrame:
     return out.assign(range=rows["range"].iat[0])
 
 
+def _swallowed(r: pd.DataFrame) -> list[tuple[int, int]]:
+    """(range, pool) of ranges that a violated edge pools as a whole, from the first and last block and the totals of every range.
+
+    Seen from the edge, a range is pooled whole if its farthest block still is when all nearer ones are: nearer ones violate more.
+    """
+    pool: dict[int, int] = {}
+    first, last, total = (list(zip(r[f"{x}_s"], r[f"{x}_w"])) for x in ("first", "last", "total"))
+    for i in range(len(r) - 1):
+        if last[i][0] * first[i + 1][1] <= first[i + 1][0] * last[i][1]:
+            continue
+        for at, step, held, far, sign in ((i, -1, first[i + 1], first, 1), (i + 1, 1, last[i], last, -1)):
+            s, w = held
+            while 0 <= at < len(r) and at not in pool:
+                (fs, fw), (ts, tw) = far[at], total[at]
+                if sign * (fs * (w + tw - fw) - (s + ts - fs) * fw) < 0:
+                    break
+                pool[at] = 2 * i + (step > 0)
+                s, w, at = s + ts, w + tw, at + step
+    return [(int(r["range"].iat[k]), p) for k, p in pool.items()]
+
+
 def fit_isotonic(scored: DataFrame, lineage: str, span: int = 65_536) -> Calibrator:
     """Isotonic fit of y on p by pooling adjacent violators in ranges of at most `span` blocks.
 
-    Cells are first added up by distinct p, map-side. Each round pools every range on its own; where the end of one range still
-    lies above the start of the next, the remaining blocks are cut anew half a range further on, so that the edge falls inside a range. Pooling
-    in any order gives the same fit, and each round leaves fewer blocks, so the rounds end with the exact one. Only the edges (two
-    numbers a range) are compared as a whole.
+    Cells are first added up by distinct p, map-side. Each round pools every range on its own. Where the end of one range then lies
+    above the start of the next, ranges that this edge pools as a whole are added up at once, however many, and the blocks are cut anew half a
+    range further on, so that the edge falls inside a range. Pooling in any order gives the same fit, and each round leaves
+    fewer blocks, so the rounds end with the exact one. The driver sees one row of sums a range, a `span`-th of the blocks at most.
     """
     require_none(scored.filter(F.col("p").isNull() | F.isnan("p")).select("p"), "non-finite probability")
+    spark = scored.sparkSession
     blocks = durable(scored.groupBy(F.col("p").alias("lo")).agg(F.sum("y").cast("double").alias("s"), F.count("*").cast("double").alias("w"))
                      .withColumn("hi", F.col("lo")))
     shift = 0
     while True:
         place = _numbered(blocks, "lo", ["lo"], F.lit(1)).withColumn("range", F.floor((F.col("before") + shift) / span)).drop("before")
         pooled = durable(place.groupBy("range").applyInPandas(_pool, "range long, lo double, hi double, s double, w double"))
-        end = F.struct("lo", (F.col("s") / F.col("w")).alias("mean"))
-        edges = pooled.groupBy("range").agg(F.min(end)["mean"].alias("first"), F.max(end)["mean"].alias("last"))
-        before = F.lag("last").over(Window.orderBy("range"))
-        if edges.withColumn("before", before).filter(F.col("before") > F.col("first")).isEmpty():
+        end = F.struct("lo", "s", "w")
+        edges = (pooled.groupBy("range").agg(F.min(end).alias("f"), F.max(end).alias("l"), F.sum("s").alias("total_s"), F.sum("w").alias("total_w"))
+                 .select("range", *[F.col(f"{x[0]}.{c}").alias(f"{x}_{c}") for x in ("first", "last") for c in "sw"], "total_s", "total_w")
+                 .toPandas().sort_values("range").reset_index(drop=True))
+        left = edges["last_s"].to_numpy()[:-1] * edges["first_w"].to_numpy()[1:]
+        if not (left > edges["first_s"].to_numpy()[1:] * edges["last_w"].to_numpy()[:-1]).any():
             return Calibrator(lineage, pooled.select("lo", "hi", (F.col("s") / F.col("w")).alias("mean"), "w"))
-        blocks, shift = pooled.drop("range"), span // 2 - shift
+        whole = _swallowed(edges)
+        if whole:
+            known = F.broadcast(spark.createDataFrame(whole, "range long, pool long"))  # a row per range at most
+            joined = pooled.join(known, "range", "left")
+            sums = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("s").alias("s"), F.sum("w").alias("w")]
+            pooled = (joined.filter("pool is null").select("lo", "hi", "s", "w")
+                      .unionByName(joined.filter("pool is not null").groupBy("pool").agg(*sums).drop("pool")))
+        blocks, shift = pooled.select("lo", "hi", "s", "w"), span // 2 - shift
 
 
 def save_calibrator(calibrator: Calibrator, path: str) -> None:
