@@ -164,8 +164,8 @@ def test_search_keeps_the_first_of_equals_and_checks_names(spark):
     grid = {"base_spread_prob": [0.2, 0.6, 0.9]}
     best = spread.grid_search_spread(samples(spark), grid).first()
     assert best.base_spread_prob == 0.6 and best.score == 1.0
-    with pytest.raises(ValueError, match="base_sprad_prob"):
-        spread.grid_search_spread(samples(spark), {"base_sprad_prob": [1.0]})
+    with pytest.raises(ValueError, match="wind_wieght"):
+        spread.grid_search_spread(samples(spark), {"wind_wieght": [1.0]})
     with pytest.raises(ValueError, match="metric"):
         spread.grid_search_spread(samples(spark), grid, "auc")
 
