@@ -333,12 +333,10 @@ def _(spark, d):
     return spark.read.parquet(f"{out}/data")
 
 
-@check("t2_daily_density", "day:d south:f west:f n:i", "detections_raw", """
-r as (select cast(acq_date as timestamp) + to_minutes(cast(acq_time as int) // 100 * 60 + cast(acq_time as int) % 100) as ts,
-   floor(cast(latitude as double) / 0.1::double) * 0.1::double as south, floor(cast(longitude as double) / 0.1::double) * 0.1::double as west from detections_raw),
-result as (select ts::date as day, south, west, count(*) as n from r
-  where ts::date::timestamp + interval 1 day <= (select max(ts) - interval 2 day from r) group by all)""")
+@check("t2_daily_density", "day:d south:f west:f n:i frp:f", "detections_raw detections", """
+result as (select detected_at::date as day, floor(latitude / 0.1::double) * 0.1::double as south, floor(longitude / 0.1::double) * 0.1::double as west,
+  count(*) as n, sum(frp) as frp from detections group by all)""")
 def _(spark, d):
     out = shared_folder(spark, "stream")
-    live.run_available(live.daily_density(src.to_detections(landed_stream(spark, d))), out)
-    return spark.read.parquet(f"{out}/data")
+    live.run_available(live.density_parts(live.stream_detections(landed_stream(spark, d))), out)
+    return live.read_density(spark, out)
