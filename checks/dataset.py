@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from checks.detections import loaded, raw
+from checks.evaluation import EVENT_METRICS
 from checks.registry import check
 from checks.utm_sql import lonlat, utm
 from emberline.functions.surface import normalized_inputs
 from emberline.operators import assembly, evaluation as ev, forecast, spread
-from emberline.session import shared_folder
+from emberline.session import durable, shared_folder
 from emberline.sources import detections as src, fixtures, tables
 from emberline.streaming import detections as live
 
@@ -286,20 +287,18 @@ def scored_events(spark, d):
     return ev.event_metrics(s)
 
 
-@check("s9_append_runs", "event_id:i model_name:s metric_name:s value:f split:s", "event_cell_day predictions", """
-cum as (select *, max((fire_mask >= 0.5)::int) over (partition by event_id, row, col order by day_idx)::double as y from event_cell_day),
-an as (select event_id, min(day_idx) filter (where fire_mask >= 0.5) as a0 from event_cell_day group by 1),
-sc as (select event_id, p.p, c.y from predictions p join cum c using (event_id, day_idx, row, col) join an using (event_id) where model = 'a' and day_idx > a0),
-me as (select event_id, avg(power(p - y, 2)) as brier, 2 * count(*) filter (where p >= 0.5 and y = 1) as i2,
-  count(*) filter (where p >= 0.5) + count(*) filter (where y = 1) as s from sc group by event_id),
-result as (select event_id + 1000 as event_id, 'model-a' as model_name, m as metric_name, case m when 'brier' then brier else i2 / s end as value, 'test' as split
-  from me cross join (values ('brier'), ('dice')) t(m))""")
+@check("s9_append_runs", "event_id:i model_name:s metric_name:s value:f split:s runs:i", "event_cell_day predictions", EVENT_METRICS + """,
+result as (select event_id + 1000 as event_id, 'model-' || model as model_name, unnest(['iou', 'dice', 'brier', 'ece']) as metric_name,
+   unnest([iou, dice, brier, ece]) as value, 'test' as split, case model when 'a' then 2 else 1 end as runs
+  from per_event join (values ('a', 1), ('a', 2), ('b', 1)) t(model, run) using (model))""")
 def _(spark, d):
-    path = shared_folder(spark, "runs")
-    events = state(spark, d).select(F.col("event_id").alias("firms_event_id"), (F.col("event_id") + 1000).alias("id")).distinct()
-    tables.append_runs(scored_events(spark, d).filter("model = 'a'").drop("model"), events, "model-a", "test", "{}", path)
-    runs, results = spark.read.parquet(f"{path}/model_run"), spark.read.parquet(f"{path}/evaluation_result")
-    return results.join(runs, "run_id").filter(F.col("metric_name").isin("brier", "dice"))
+    path, scores = shared_folder(spark, "runs"), durable(scored_events(spark, d))
+    events = durable(state(spark, d).select(F.col("event_id").alias("firms_event_id"), (F.col("event_id") + 1000).alias("id")).distinct())
+    for model, stamp in (("a", "first"), ("a", "second"), ("a", "second"), ("b", "third")):  # a repeated stamp is one run
+        tables.append_runs(scores.filter(F.col("model") == model).drop("model"), events, f"model-{model}", "test", "{}", path, stamp)
+    runs, results = (t.drop("commit") for t in tables.read_runs(spark, path))
+    counted = runs.groupBy("event_id", "model_name").agg(F.countDistinct("run_id").alias("runs"))
+    return results.join(runs, "run_id").join(counted, ["event_id", "model_name"])
 
 
 @check("s10_load_split_cells", CELL + " fire_mask:f", ECD, f"""
@@ -310,12 +309,12 @@ def _(spark, d):
     return tables.load_split_cells(c, c.select("event_id").distinct().withColumn("split", split_of()), "test")
 
 
-@check("s11_load_results", "model:s split:s event_id:i iou:f dice:f brier:f ece:f")
+@check("s11_load_results", "model:s split:s event_id:i iou:f dice:f brier:f ece:f", "event_cell_day predictions", EVENT_METRICS + """,
+result as (select *, 'test' as split from per_event)""")
 def _(spark, d):
-    path = shared_folder(spark, "results")
-    docs = scored_events(spark, d).groupBy("model").agg(F.collect_list(F.struct("event_id", "iou", "dice", "brier", "ece")).alias("per_event"))
-    body = F.to_json(F.struct(F.lit("backtest").alias("kind"), F.col("model").alias("model_name"), F.lit("test").alias("split"), "per_event"))
-    docs.select(F.col("model").alias("file"), body.alias("value")).write.partitionBy("file").text(path)
+    path, scores = shared_folder(spark, "results"), durable(scored_events(spark, d))
+    tables.write_results(scores, "test", path, per_file=1)
+    tables.write_results(scores, "test", path, per_file=50)  # replaces the many files of the first
     return tables.load_results(spark, path)[0]
 
 

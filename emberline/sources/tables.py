@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.functions.geo import bbox_text, bbox_wkt
-from emberline.operators.evaluation import long_metrics, resolve_event_pk, trim_to_first_fire_day
+from emberline.operators.evaluation import METRICS, long_metrics, resolve_event_pk, trim_to_first_fire_day
 from emberline.schemas import CELL
-from emberline.session import DataError
+from emberline.session import DataError, durable
+from emberline.sources.commits import Conflict, commit, manifests, read_table
 
 # Nodata sentinels of processed layers.
 NODATA = {"elevation": -32767.0, "slope_deg": -9999.0, "aspect_deg": -9999.0, "ndvi": -9999.0,
@@ -70,34 +72,34 @@ def merge_events(current: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
-    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and done(n))
-
-
 def read_events(spark: SparkSession, path: str) -> DataFrame | None:
-    """Latest complete version of the event table, None before the first."""
-    v = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v{v[-1]}") if v else None
+    """The event table as last published, None before the first."""
+    found = read_table(spark, path, "events")
+    return None if found is None else found.drop("commit")
 
 
 def upsert_events(spark: SparkSession, events: DataFrame, path: str) -> None:
-    """Write the merged event table as a new version; readers see it once it is complete."""
-    new, current = event_rows(events), read_events(spark, path)
-    merged = new.withColumn("id", F.xxhash64("firms_event_id")) if current is None else merge_events(current, new)
-    v = _versions(spark, path)
-    merged.write.mode("overwrite").parquet(f"{path}/v{(v[-1] if v else 0) + 1}")
-
-
-def run_rows(per_event: DataFrame, events: DataFrame, model: str, split: str, config: str) -> tuple[DataFrame, DataFrame]:
-    """(model_run, evaluation_result) rows of an EVENT_METRIC table; an unknown event is an error."""
+    """Publish the merged event table. If another job publishes meanwhile, the merge is repeated on its result."""
+    new = durable(event_rows(events))
+    while True:
+        log = manifests(spark, path)
+        seen = log[-1]["version"] if log else 0
+        current = read_table(spark, path, "events", seen)
+        merged = new.withColumn("id", F.xxhash64("firms_event_id")) if current is None else merge_events(current.drop("commit"), new)
+        try:
+            commit(spark, path, {"events": merged}, replace=("events",), expected=seen)
+            return
+        except Conflict:
+            continue
+
+
+def run_rows(per_event: DataFrame, events: DataFrame, model: str, split: str, config: str, stamp: str = "") -> tuple[DataFrame, DataFrame]:
+    """(model_run, evaluation_result) rows of an EVENT_METRIC table; an unknown event is an error.
+
+    `stamp` names the run: the same scores under another stamp are other runs.
+    """
     known = resolve_event_pk(per_event.withColumn("model", F.lit(model)), events)
-    keyed = known.withColumn("run_id", F.xxhash64("event_pk", "model", F.lit(split), F.lit(config)))
+    keyed = known.withColumn("run_id", F.xxhash64("event_pk", "model", F.lit(split), F.lit(config), F.lit(stamp)))
     runs = keyed.select("run_id", F.col("event_pk").alias("event_id"), F.col("model").alias("model_name"),
                         F.lit(config).alias("config"))
     values = long_metrics(keyed.withColumn("event_id", F.col("run_id")).drop("split"))
@@ -105,17 +107,43 @@ def run_rows(per_event: DataFrame, events: DataFrame, model: str, split: str, co
                                F.lit(split).alias("split"))
 
 
-def append_runs(per_event: DataFrame, events: DataFrame, model: str, split: str, config: str, path: str) -> None:
-    """Append one run and four results per event; nothing is written when any event is unknown."""
-    runs, results = run_rows(per_event, events, model, split, config)
-    runs.write.mode("append").parquet(f"{path}/model_run")
-    results.write.mode("append").parquet(f"{path}/evaluation_result")
+def append_runs(per_event: DataFrame, events: DataFrame, model: str, split: str, config: str, path: str, stamp: str | None = None) -> int:
+    """Append one run and four results per event, visible together or not at all; nothing is written when any event is unknown.
+
+    Every call is a run of its own, unless it repeats a published `stamp`. `read_runs` reads what is published.
+    """
+    spark, stamp = per_event.sparkSession, stamp or uuid.uuid4().hex
+    runs, results = run_rows(durable(per_event), events, model, split, config, stamp)
+    return commit(spark, path, {"model_run": runs, "evaluation_result": results}, stamp=stamp)
+
+
+def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(model_run, evaluation_result) of all published runs, None before the first."""
+    log = manifests(spark, path)
+    if not log:
+        return None
+    at = log[-1]["version"]
+    return read_table(spark, path, "model_run", at), read_table(spark, path, "evaluation_result", at)
 
 
 RESULT_SCHEMA = ("kind string, model_name string, split string, "
                  "per_event array<struct<event_id:bigint,iou:double,dice:double,brier:double,ece:double>>")
 
 
+def write_results(per_event: DataFrame, split: str, path: str, per_file: int = 50_000) -> None:
+    """EVENT_METRIC rows as result files that `load_results` reads: JSON objects of about `per_file` events of one model.
+
+    Earlier files of the same models and split are replaced. A model of any number of events is cut into as many files as it needs.
+    """
+    files = per_event.groupBy("model").agg(F.ceil(F.count("*") / per_file).alias("files"))
+    rows = per_event.join(files, "model").withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("files")))
+    docs = rows.groupBy("model", "part").agg(F.sort_array(F.collect_list(F.struct("event_id", *METRICS))).alias("per_event"))
+    body = F.to_json(F.struct(F.lit("backtest").alias("kind"), F.col("model").alias("model_name"), F.lit(split).alias("split"), "per_event"))
+    (docs.select(F.col("model").alias("of_model"), F.lit(split).alias("of_split"), body.alias("value"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1)
+     .partitionBy("of_model", "of_split").text(path))
+
+
 def load_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(EVENT_METRIC rows of the model results, other kinds) of a folder of JSON files; non-objects are skipped."""
     docs = spark.read.schema(RESULT_SCHEMA + ", _corrupt_record string").json(path, multiLine=True)

@@ -368,7 +368,7 @@ def test_unknown_event_writes_nothing(spark, tmp_path):
         tables.append_runs(per, events, "m", "test", "{}", str(path))
     assert not path.exists()
     tables.append_runs(per.filter("event_id = 1"), events, "m", "test", "{}", str(path))
-    assert spark.read.parquet(str(path / "evaluation_result")).count() == 4
+    assert tables.read_runs(spark, str(path))[1].count() == 4
 
 
 def test_results_folder(spark, tmp_path):
