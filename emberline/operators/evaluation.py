@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberline.functions.when import hash_int
 from emberline.operators.ranking import hash_buckets, running_total
-from emberline.session import DataError, require_none
+from emberline.operators.skew import join_counted
+from emberline.session import DataError, durable, require_none
 
 CELL = ["event_id", "row", "col"]
 METRICS = ("iou", "dice", "brier", "ece")
@@ -37,25 +38,29 @@ def monotone_probability(pred: DataFrame) -> DataFrame:
 
 
 def first_fire_days(state: DataFrame) -> DataFrame:
-    """(event_id, first_idx, last_idx): first day with a burning cell, NULL without any; last day."""
+    """(event_id, first_idx, last_idx, n): first day with a burning cell, NULL without any; last day; number of rows."""
     return state.groupBy("event_id").agg(
         F.min(F.when(F.col("fire_mask") >= THRESHOLD, F.col("day_idx"))).alias("first_idx"),
-        F.max("day_idx").alias("last_idx"))
+        F.max("day_idx").alias("last_idx"), F.count("*").alias("n"))
 
 
-def trim_to_first_fire_day(state: DataFrame) -> DataFrame:
-    """Drop leading days without fire; an event that never burns is returned unchanged."""
-    return (state.join(first_fire_days(state).select("event_id", "first_idx"), "event_id")
-            .filter(F.col("first_idx").isNull() | (F.col("day_idx") >= F.col("first_idx"))).drop("first_idx"))
+def trim_to_first_fire_day(state: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Drop leading days without fire; an event that never burns is returned unchanged.
+
+    With `only` (event_id) just those events. Rows of a large event stay where they are, only its first day travels.
+    """
+    days = first_fire_days(state).select("event_id", "first_idx", "n")
+    if only is not None:
+        days = days.join(only.select("event_id"), "event_id", "left_semi")
+    return (join_counted(state, durable(days), "event_id")
+            .filter(F.col("first_idx").isNull() | (F.col("day_idx") >= F.col("first_idx"))).drop("first_idx", "n"))
 
 
 def exclude_anchor_day(state: DataFrame) -> DataFrame:
     """Drop the first day of every event; an event with fewer than two days fails the job."""
-    span = state.groupBy("event_id").agg(F.min("day_idx").alias("anchor"), F.max("day_idx").alias("last"))
-    anchor = F.when(F.col("last") > F.col("anchor"), F.col("anchor")).otherwise(F.raise_error(
-        F.format_string("event %s has fewer than two days", F.col("event_id").cast("string"))))
-    return (state.join(span.select("event_id", anchor.alias("anchor")), "event_id")
-            .filter(F.col("day_idx") > F.col("anchor")).drop("anchor"))
+    span = durable(state.groupBy("event_id").agg(F.min("day_idx").alias("anchor"), F.max("day_idx").alias("last"), F.count("*").alias("n")))
+    require_none(span.filter(F.col("last") <= F.col("anchor")).select("event_id"), "event with fewer than two days")
+    return join_counted(state, span.drop("last"), "event_id").filter(F.col("day_idx") > F.col("anchor")).drop("anchor", "n")
 
 
 def truth_cells(state: DataFrame) -> DataFrame:
@@ -63,12 +68,12 @@ def truth_cells(state: DataFrame) -> DataFrame:
 
     The anchor is the first fire day (day 0 of the trimmed event), or the first day if nothing burns.
     """
-    burn = state.groupBy(*CELL).agg(
+    burn = durable(state.groupBy(*CELL).agg(
         F.min(F.when(F.col("fire_mask") >= THRESHOLD, F.col("day_idx"))).alias("burn_day"),
-        F.min("day_idx").alias("from_idx"), F.max("day_idx").alias("to_idx"))
+        F.min("day_idx").alias("from_idx"), F.max("day_idx").alias("to_idx")))
     days = burn.groupBy("event_id").agg(F.coalesce(F.min("burn_day"), F.min("from_idx")).alias("anchor"),
-                                        F.max("to_idx").alias("last_idx"))
-    return burn.select(*CELL, "burn_day").join(days, "event_id")
+                                        F.max("to_idx").alias("last_idx"), F.count("*").alias("n"))
+    return join_counted(burn.select(*CELL, "burn_day"), durable(days), "event_id").drop("n")
 
 
 def score_join(pred: DataFrame, truth: DataFrame) -> DataFrame:

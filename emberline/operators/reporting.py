@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from emberline.functions.surface import flammability
 from emberline.operators.evaluation import HIGHER_IS_BETTER, METRICS
 from emberline.operators.ranking import value_ranks
+from emberline.operators.skew import join_measured
 
 FAIL_IOU = 0.30
 RANK_HIGH, RANK_LOW = 0.75, 0.25
@@ -16,35 +17,34 @@ DESCRIPTORS = {"true_cells_final": "size", "wind_dir_circ_std_deg": "wind", "mea
 
 
 def event_descriptors(cells: DataFrame) -> DataFrame:
-    """EVENT_DESCRIPTOR per event. Wind statistics are over daily means; spatial ones over the first day."""
-    firsts = cells.groupBy("event_id").agg(F.min("day_idx").alias("first_idx"))
-    at = cells.join(firsts, "event_id")
-    start = F.col("day_idx") == F.col("first_idx")
-    day = at.groupBy("event_id", "day_idx").agg(
+    """EVENT_DESCRIPTOR per event. Wind statistics are over daily means; spatial ones over the first day.
+
+    Cells are only aggregated, by day and then by event; spatial values are those of the earliest day's row.
+    """
+    day = cells.groupBy("event_id", "day_idx").agg(
         F.min("day").alias("day"), F.avg("wind_u").alias("u"), F.avg("wind_v").alias("v"),
         F.sum("temperature").alias("t_sum"), F.count("temperature").alias("t_n"),
         F.sum("relative_humidity").alias("h_sum"), F.count("relative_humidity").alias("h_n"),
-        F.stddev_pop(F.when(start, F.col("elevation"))).alias("elevation_std_m"),
-        F.avg(F.when(start, F.col("slope_deg"))).alias("mean_slope_deg"),
-        F.avg(F.when(start & F.col("fuel_type").isNotNull(), (flammability("fuel_type") == 0).cast("double"))).alias("nonflammable_fraction"),
+        F.stddev_pop("elevation").alias("elevation_std_m"), F.avg("slope_deg").alias("mean_slope_deg"),
+        F.avg(F.when(F.col("fuel_type").isNotNull(), (flammability("fuel_type") == 0).cast("double"))).alias("nonflammable_fraction"),
         F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     angle = F.atan2("v", "u")
     n = F.count("*")
     r = F.hypot(F.avg(F.cos(angle)), F.avg(F.sin(angle)))
     spread = F.degrees(F.sqrt(F.greatest(-2 * F.ln(F.greatest(r, F.lit(1e-12))), F.lit(0.0))))
     steady = (n == 1) | (F.count_if(F.col("u").isNull() | F.col("v").isNull()) > 0)
-    only = lambda c: F.max(c).alias(c)
+    spatial = ("elevation_std_m", "mean_slope_deg", "nonflammable_fraction")
     wide = day.groupBy("event_id").agg(
         n.alias("n_days"), F.min("day").alias("date_first"), F.max("day").alias("date_last"),
         (F.max("r1") - F.min("r0") + 1).alias("height"), (F.max("c1") - F.min("c0") + 1).alias("width"),
         F.avg(F.hypot("u", "v")).alias("mean_wind_speed"),
         F.when(steady, F.lit(0.0)).otherwise(spread).alias("wind_dir_circ_std_deg"),
-        only("elevation_std_m"), only("mean_slope_deg"), only("nonflammable_fraction"),
+        F.min_by(F.struct(*spatial), "day_idx").alias("s"),
         F.try_divide(F.sum("t_sum"), F.sum("t_n")).alias("mean_temperature"),
         F.try_divide(F.sum("h_sum"), F.sum("h_n")).alias("mean_relative_humidity"))
     burned = (cells.groupBy("event_id", "row", "col").agg(F.max("fire_mask").alias("f")).groupBy("event_id")
               .agg(F.count_if(F.col("f") >= 0.5).alias("true_cells_final")))
-    return wide.join(burned, "event_id")
+    return wide.select("*", *[F.col("s")[c].alias(c) for c in spatial]).drop("s").join(burned, "event_id")
 
 
 def long_descriptors(desc: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def percentile_rank(cases: DataFrame, train: DataFrame) -> DataFrame:
             .unionByName(cases.select("descriptor", "value", F.lit(0).alias("w"))))
     ranks = value_ranks(both, ["descriptor"], "value", F.col("w")).filter("total > 0").select(
         "descriptor", "value", ((F.col("below") + 0.5 * F.col("ties")) / F.col("total")).alias("rank"))
-    return cases.join(ranks, ["descriptor", "value"])
+    return join_measured(cases, ranks, ["descriptor", "value"])
 
 
 def failing_cases(per_event: DataFrame, limit: float = FAIL_IOU) -> DataFrame:
@@ -124,9 +124,9 @@ def per_event_table(per_event: DataFrame, models: list[str]) -> DataFrame:
 
 def case_direction(scored: DataFrame) -> DataFrame:
     """Final-day predicted and true cells per model and event, their ratio, and under/over prediction."""
-    last = scored.groupBy("model", "event_id").agg(F.max("day_idx").alias("day_idx"))
-    final = scored.join(last, ["model", "event_id", "day_idx"]).groupBy("model", "event_id").agg(
+    daily = scored.groupBy("model", "event_id", "day_idx").agg(
         F.count_if(F.col("p") >= 0.5).alias("pred_cells"), F.count_if(F.col("y") != 0).alias("true_cells"))
+    final = daily.groupBy("model", "event_id").agg(F.max_by(F.struct("pred_cells", "true_cells"), "day_idx").alias("s")).select("model", "event_id", "s.*")
     ratio = F.when(F.col("true_cells") > 0, F.col("pred_cells") / F.col("true_cells"))
     return final.withColumn("ratio", ratio).withColumn(
         "direction", F.when(F.col("ratio") < 0.5, "under").when(F.col("ratio") > 2, "over"))

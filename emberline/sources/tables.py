@@ -53,8 +53,7 @@ def read_event_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def load_split_cells(cells: DataFrame, split: DataFrame, name: str) -> DataFrame:
     """Cells of the events of one split, trimmed to their first fire day."""
-    chosen = split.filter(F.col("split") == name).select("event_id")
-    return trim_to_first_fire_day(cells.join(chosen, "event_id", "left_semi"))
+    return trim_to_first_fire_day(cells, split.filter(F.col("split") == name))
 
 
 def event_rows(events: DataFrame, source: str = "firms_cluster") -> DataFrame:
