@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.registry import check
 from emberline.functions import geo, when
 from emberline.operators import clustering
+from emberline.session import shared_folder
 from emberline.sources import detections as src, fixtures
 
 DET = "detections_raw detections"
@@ -67,6 +68,16 @@ def _(spark, d):
     return src.load_detections(raw(spark, d), "2024-01-03", "2024-01-28")
 
 
+@check("s3_curated_months", DET_SPEC, DET,
+       "result as (select * from detections where acq_date between '2024-01-03' and '2024-02-10')")
+def _(spark, d):
+    path = shared_folder(spark, "curated")
+    landed = raw(spark, d)
+    for part in (0, 1):  # two landings, of which the second holds copies of rows of the first
+        src.append_curated(landed.filter(F.col("seq.copy") == part), path)
+    return src.load_detections(src.read_curated(spark, path, "2024-01-03", "2024-02-10"), "2024-01-03", "2024-02-10")
+
+
 @check("w3_first_detection_wins", "acq_date:s acq_time:s latitude:s longitude:s satellite:s frp:s download_date:s",
        "detections_raw", """
 result as (select * from (select *, row_number() over (partition by acq_date, acq_time, latitude, longitude, satellite

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberline.functions.geo import in_bbox, valid_coordinates
 from emberline.functions.when import parse_acq_time
 from emberline.schemas import REQUIRED_FIRMS_COLUMNS, STUDY_AREA
-from emberline.session import require_columns
+from emberline.session import durable, require_columns
+from emberline.sources.commits import commit, read_table
 
 # The key of one observation, time parts exactly as delivered.
 DEDUP_KEY = ("acq_date", "acq_time", "lat6", "lon6", "satellite")
@@ -84,6 +85,46 @@ def load_detections(raw: DataFrame, start=None, end=None, order: str = "seq") ->
     return to_detections(first_detection_wins(raw, order, start, end))
 
 
+def _month(date) -> Column:
+    """202401 of an ISO date or its text; NULL of a text that is none."""
+    return F.expr(f"try_cast(replace(substring(cast({date} as string), 1, 7), '-', '') as int)")
+
+
+def append_curated(raw: DataFrame, path: str, stamp: str | None = None) -> int:
+    """Publish landed rows (with `seq`) in folders of their acquisition month; a repeated `stamp` adds nothing.
+
+    Months are packed into files by measured size, so one that holds a third of all rows is written by many tasks.
+    """
+    rows = raw.withColumn("acq_month", _month("acq_date")).hint("rebalance", "acq_month")
+    return commit(raw.sparkSession, path, {"detections": rows}, stamp=stamp, partition_by={"detections": ["acq_month"]})
+
+
+def read_curated(spark: SparkSession, path: str, start=None, end=None) -> DataFrame | None:
+    """Curated rows as `load_detections` takes them, of the months from `start` to `end`; other months are not read."""
+    rows = read_table(spark, path, "detections")
+    if rows is None:
+        return None
+    bound = lambda day: int(str(day)[:7].replace("-", ""))
+    if start is not None:
+        rows = rows.filter(F.col("acq_month") >= bound(start))
+    if end is not None:
+        rows = rows.filter(F.col("acq_month") <= bound(end))
+    return rows.drop("acq_month", "commit")
+
+
+def load_days(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
+    """DETECTION of all days inside any of `ranges` (start, end); the months of the ranges prune the scan while it runs.
+
+    What is broadcast has one row per calendar day, however many ranges there are.
+    """
+    days = durable(ranges.select(F.explode(F.sequence("start", "end", F.expr("interval 1 day"))).alias("day")).distinct())
+    # Spark prunes a scan at run time only by a side that has a comparison
+    months = days.select(_month("day").alias("acq_month")).distinct().filter("acq_month > 0")
+    rows = read_table(spark, path, "detections").join(F.broadcast(months), "acq_month", "left_semi")
+    wanted = days.select(F.date_format("day", "yyyy-MM-dd").alias("acq_date"))
+    return load_detections(rows.join(F.broadcast(wanted), "acq_date", "left_semi").drop("acq_month", "commit"))
+
+
 def select_latest(detections: DataFrame, as_of, days: int, bbox=STUDY_AREA) -> DataFrame:
     """Detections of the `days` (1 to 5) UTC days up to `as_of` inside the study area."""
     if not 1 <= days <= 5:

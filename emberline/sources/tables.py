@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.functions.geo import bbox_text, bbox_wkt
 from emberline.operators.evaluation import METRICS, long_metrics, resolve_event_pk, trim_to_first_fire_day
+from emberline.operators.skew import join_counted
 from emberline.schemas import CELL
 from emberline.session import DataError, durable
-from emberline.sources.commits import Conflict, commit, manifests, read_table
+from emberline.sources.commits import Conflict, commit, live_stamps, manifests, read_table
 
 # Nodata sentinels of processed layers.
 NODATA = {"elevation": -32767.0, "slope_deg": -9999.0, "aspect_deg": -9999.0, "ndvi": -9999.0,
@@ -38,17 +39,50 @@ def read_layer_cells(spark: SparkSession, path: str) -> DataFrame:
     return nodata_to_null(require_one_elevation(spark.read.schema(CELL + ", source string").parquet(path)))
 
 
+def _packed(cells: DataFrame) -> DataFrame:
+    """Cells in files of a comfortable size: events are packed together or split as measured, and sorted so that statistics prune."""
+    order = [c for c in ("event_id", "day_idx", "day") if c in cells.columns]
+    return cells.hint("rebalance", "event_id").sortWithinPartitions(*order)
+
+
+def _rows_per_event(written: dict[str, str]) -> DataFrame:
+    spark = SparkSession.active()
+    return spark.read.parquet(written["cells"]).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
 def write_event_cells(cells: DataFrame, path: str) -> None:
-    """Replace the events present in `cells`, leave the others (dynamic partition overwrite).
+    """Replace the events present in `cells`, each as a whole, leave the others; visible once all is written.
 
-    Rows are spread by event and day, so one large event is written by several tasks.
+    A commit holds files of many events, not a folder an event, and a table of its events and their rows. An event is read from the
+    last commit that holds it; what that leaves behind goes with `compact_event_cells`.
     """
-    (cells.repartition("event_id", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("event_id").parquet(path))
+    commit(cells.sparkSession, path, {"cells": _packed(cells), "events": _rows_per_event})
+
+
+def _live_cells(spark: SparkSession, path: str, log: list[dict]) -> DataFrame:
+    at = log[-1]["version"]
+    cells, events = read_table(spark, path, "cells", at), read_table(spark, path, "events", at)
+    stamps = live_stamps(log, "events", at)
+    if len(stamps) == 1:
+        return cells.drop("commit")
+    age = F.array_position(F.array(*[F.lit(s) for s in stamps]), F.col("commit"))
+    last = events.groupBy("event_id").agg(F.max_by(F.struct("commit", "n"), age).alias("r")).select("event_id", "r.commit", "r.n")
+    return join_counted(cells, durable(last), ["event_id", "commit"]).drop("commit", "n")
 
 
 def read_event_cells(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("event_id", F.col("event_id").cast("bigint"))
+    """The published cells of all events."""
+    log = manifests(spark, path)
+    if not log:
+        raise DataError(f"no event cells under {path}")
+    return _live_cells(spark, path, log).withColumn("event_id", F.col("event_id").cast("bigint"))
+
+
+def compact_event_cells(spark: SparkSession, path: str) -> int:
+    """Publish all live cells as one commit; Conflict when another job publishes meanwhile."""
+    log = manifests(spark, path)
+    return commit(spark, path, {"cells": _packed(_live_cells(spark, path, log)), "events": _rows_per_event},
+                  replace=("cells", "events"), expected=log[-1]["version"])
 
 
 def load_split_cells(cells: DataFrame, split: DataFrame, name: str) -> DataFrame:
