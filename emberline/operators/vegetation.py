@@ -28,6 +28,16 @@ def monthly_composite(obs: DataFrame, year: int, month: int, bands=("red", "nir"
     return clear.groupBy("cell_id").agg(*[F.median(b).alias(b) for b in bands])
 
 
+def monthly_composites(obs: DataFrame, bands=("red", "nir"), max_cloud: int = 85) -> DataFrame:
+    """(year, month, cell_id, bands): the composites of all months that `obs` holds, in one job.
+
+    A scene belongs to the month of its day. One aggregate by month and cell: a month of most scenes is spread over its cells.
+    """
+    clear = cloud_mask(obs.filter(F.col("cloud_cover") <= max_cloud))
+    return clear.groupBy(F.year("scene_day").alias("year"), F.month("scene_day").alias("month"), "cell_id").agg(
+        *[F.median(b).alias(b) for b in bands])
+
+
 def ndvi_range_guard(cells: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """`cells` unchanged; a value of `ndvi` outside [-1, 1] fails the write before anything is published."""
     ok = F.col("ndvi").isNull() | F.col("ndvi").between(-1 - tolerance, 1 + tolerance)
