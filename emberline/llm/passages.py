@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from emberline.llm.common import free_name, mix, parts, row_key, stored, CHUNK, LOWER
+from emberline.llm.common import drop_tables, free_name, mix, parts, row_key, stored, tables_written, CHUNK, LOWER
 from emberline.llm.linededup import WORDS, line_starts
 
 GRAM = 8  # words of an anchor
@@ -139,12 +139,10 @@ def window_places(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return docs.select("key", "d", "text", "ranges").mapInArrow(run, PLACE)
 
 
-def _met(places: DataFrame, name: str) -> DataFrame:
-    """The places whose hash stands elsewhere too, with `o`, the earliest of them, and whether all have the same windows."""
-    twice = stored(places.groupBy("hash").count().filter("count > 1").select("hash"), name + "_again")
-    places = stored(places.join(twice, "hash"), name + "_places")
-    first = places.groupBy("hash").agg(F.min(F.struct("d", "key", "lo")).alias("o"), (F.min("ctx") == F.max("ctx")).alias("same"))
-    return places.join(stored(first, name + "_first"), "hash")
+def _again(places: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Per value of `by` that stands at several places, `o`, the earliest."""
+    first = places.groupBy(*by).agg(F.min(F.struct("d", "key", "lo")).alias("o"), F.count("*").alias("n"))
+    return stored(first.filter("n > 1").drop("n"), name)
 
 
 def _later(met: DataFrame, size: int) -> DataFrame:
@@ -157,15 +155,24 @@ def _later(met: DataFrame, size: int) -> DataFrame:
 def repeated_words(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """(key, spans): the words (from, to) of each text that lie in a window of `size` words standing at an earlier place too.
 
-    Earliest is by doc_id (null last), then row key, then position. Where all places of an anchor have the same windows, one row
-    stands for them; only the windows of the other repeated anchors are compared one by one.
+    Earliest is by doc_id (null last), then row key, then position. Places with one anchor and the same windows are a class: all but its
+    earliest go as they are. Only the earliest of each class of an anchor that has several are compared window by window: a window's
+    earliest place is that of some class. Texts are read again for the anchors of the second step, which are fewer than all by those that stand once.
     """
     docs = docs.select(row_key("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("long").alias("d"), "text")
-    met = stored(_met(stored(anchor_places(docs, size), "anchors"), "anchor"), "anchor_met")
-    mixed = met.filter(~F.col("same")).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))  # of one text at most its words
-    single = _met(stored(window_places(docs.join(mixed, "key"), size), "windows"), "window")
-    spans = _later(met.filter("same"), size).unionByName(_later(single, size))
-    return spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text at most its words
+    with tables_written() as passing:
+        counted = stored(anchor_places(docs, size).groupBy("hash").count().filter("count > 1").select("hash"), "anchor_again")
+        places = stored(anchor_places(docs, size).join(counted, "hash"), "anchor_places")
+        counted_at = passing[:1]
+    drop_tables(docs.sparkSession, counted_at)
+    copies = _later(places.join(_again(places, ["hash", "ctx"], "anchor_first"), ["hash", "ctx"]), size)
+    classes = places.groupBy("hash", "ctx").agg(F.min(F.struct("d", "key", "lo", "hi")).alias("o"))
+    several = stored(classes.groupBy("hash").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a <> b").select("hash"), "anchor_several")
+    mixed = stored(classes.join(several, "hash").groupBy(F.col("o.key").alias("key")).agg(
+        F.collect_set(F.struct("o.lo", "o.hi")).alias("ranges")), "anchor_mixed")  # of one text at most its words
+    windows = stored(window_places(docs.join(mixed, "key"), size), "windows")
+    single = _later(windows.join(_again(windows, ["hash"], "window_first"), "hash"), size)
+    return copies.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text at most its words
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
