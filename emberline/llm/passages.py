@@ -24,12 +24,11 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[0]
 
 
-def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of every word: runs of anything but ASCII white space, A-Z in lower case.
+def word_bounds(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of every word in bytes of LOWER: runs of anything but ASCII white space.
 
     Characters from U+3000 to U+9FFF (kana, Chinese characters, their punctuation) are words of their own, as no blanks part them.
     """
-    a = np.frombuffer(text.translate(LOWER), dtype=np.uint8)
     inside = a != 32
     wide = (a >= 0xE3) & (a <= 0xE9)
     begins = inside & ~np.concatenate(([False], inside[:-1]))
@@ -42,6 +41,13 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(begins), np.flatnonzero(stops)
     if len(end) < len(start):
         end = np.append(end, len(a))
+    return start, end
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every word, A-Z in lower case."""
+    a = np.frombuffer(text.translate(LOWER), dtype=np.uint8)
+    start, end = word_bounds(a)
     hashes, i = np.zeros(len(start), np.uint64), 0
     while i < len(start):  # about CHUNK bytes at a time; a longer word is a step of its own
         j = max(int(np.searchsorted(start, start[i] + CHUNK)), i + 1)
@@ -51,7 +57,7 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         byte = a[np.repeat(start[i:j], size) + inner].astype(np.uint64) + _U(1)
         hashes[i:j] = mix(np.add.reduceat(byte * _powers(int(size.max()))[inner], first) + size.astype(np.uint64))
         i = j
-    return start, end, hashes
+    return start, hashes
 
 
 def _grams(h: np.ndarray, size: int) -> np.ndarray:
@@ -92,7 +98,7 @@ def anchors(h: np.ndarray, doc: np.ndarray, size: int = WORDS):
 def _words(part: pa.RecordBatch):
     """(hashes of the words of all texts, the text of each, the first word of each text)."""
     texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-    start, _, h = word_places(b" ".join(texts))
+    start, h = word_hashes(b" ".join(texts))
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
     return h, doc, np.searchsorted(doc, np.arange(len(texts)))
 
@@ -175,21 +181,18 @@ def repeated_words(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return copies.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text at most its words
 
 
-def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """(text without the words of `spans`, lines gone as a whole, words gone).
+def cut(text: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
+    """(text without the words of `spans`, rows of (from, to), lines gone as a whole, words gone).
 
     The white space behind a run goes with it, or that before it if only the one behind has a line break.
     """
-    start, end, _ = word_places(text)
+    start, end = word_bounds(np.frombuffer(text.translate(LOWER), dtype=np.uint8))
     line = np.append(np.searchsorted(start, line_starts(text)), len(start))
-    runs: list[list[int]] = []
-    for a, b in sorted(spans):
-        if a >= b:
-            continue
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
+    spans = spans[spans[:, 0] < spans[:, 1]]
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(spans), 1), bool), spans[1:, 0] > reach[:-1])))
+    runs = zip(spans[first, 0].tolist(), reach[np.append(first[1:], len(spans))[: len(first)] - 1].tolist())
     out, at, lines, words = [], 0, 0, 0
     for a, b in runs:
         before, behind = int(end[a - 1]) if a else 0, int(start[b]) if b < len(start) else len(text)
@@ -219,9 +222,13 @@ def dedup_passages(docs: DataFrame, size: int = WORDS) -> DataFrame:
         for batch in batches:
             for part in parts(batch):
                 done = []
-                for text, spans in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column(cuts).to_pylist()):
+                lists = part.column(cuts)
+                upto = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                flat = lists.flatten()
+                spans = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b")], axis=1)
+                for text, at, to in zip(part.column("text").cast(pa.binary()).to_pylist(), [0, *upto[:-1].tolist()], upto.tolist()):
                     n = len(line_starts(text or b""))
-                    done.append((n, *(cut(text, [(s["a"], s["b"]) for s in spans]) if spans and text else (text, 0, 0))))
+                    done.append((n, *(cut(text, spans[at:to]) if at < to and text else (text, 0, 0))))
                 text = pa.array([x[1] for x in done], pa.binary()).cast(pa.string())
                 new = [pa.array([x[i] for x in done], pa.int64()) for i in (0, 2, 3)]
                 yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in kept] + new,
