@@ -13,6 +13,7 @@ from emberline.operators.components import connected_components
 
 _BOUNDS = (64, 128, 256, 512, 1024, 2048, 4096)  # sizes at which the share of sampled shingles falls
 _LEADERS, _BAND, _SIGMAS = 3, math.log(1.01), 6
+_OVER = 4  # sets that may have partners show four times the sample that would do, so that their rarest tokens are few of many
 _SIXTEENTHS = np.arange(16, dtype=np.uint64) << np.uint64(60)  # 16 minima make 8 keys
 
 
@@ -25,17 +26,17 @@ def _share(n: int, missed: float) -> float:
     return high
 
 
-def _sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _sketched(docs: DataFrame, k: int, percent: int, over: int = 1) -> DataFrame:
     """Per row: set size n, 128-bit digest, keys by which copies meet, and its smallest shingle hashes.
 
     Sets of fewer than 64 shingles keep all (class 0), larger ones those below a limit by size class. A pair is compared in the class
     of its smaller set, so a set also holds the sample of the class c0 its smallest partner has (s0 hashes, s1 in its own class c1).
     `tokens` has these, and at least one more than the set may miss. The first `m` tokens count towards those that no other set
-    holds, the first `e` are shown to the others.
+    holds, the first `e` are shown to the others. `over` multiplies the limits.
     """
     t = percent / 100
     whole = (1 << 64) - 1
-    limits = [whole] + [min(whole, int(_share(b, 1 - t) * (1 << 64))) for b in _BOUNDS]
+    limits = [whole] + [min(whole, int(over * _share(b, 1 - t) * (1 << 64))) for b in _BOUNDS]
     base = np.uint64(min(whole, int(min(1.0, 1.5 * (1 - t)) * (1 << 64))))
 
     def run(batches):
@@ -144,7 +145,8 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     kept = stored(kept.filter(F.coalesce("own", F.lit(0)) <= most_missed).select("v", "key"), "keys")
     # One pass over the documents; where the keys are few by the size of their files, Spark sends them to the texts.
     texts = stored(docs.select(row_key("doc_id", "text").alias("key"), "text").join(kept, "key").dropDuplicates(["v"]).select("v", "text"), "texts")
-    kept = stored(rows.join(kept, ["v", "key"]).select("v", "key", "n", "keys", "tokens", "c0", "c1", "s0", "s1").dropDuplicates(["v"]), "kept")
+    kept = stored(_sketched(texts.withColumnRenamed("v", "doc_id"), k, percent, _OVER).select(
+        F.col("doc_id").alias("v"), "n", "keys", "tokens", "c0", "c1", "s0", "s1"), "kept")
     # Groups: each text with the leader it meets in most buckets of equal minima, when the two link.
     met = kept.select("v", F.explode("keys").alias("bucket"))
     leaders = met.groupBy("bucket").agg(F.min("v").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
