@@ -39,3 +39,16 @@ def test_exploded_file_is_not_broadcast_by_its_size(spark, as_configured, tmp_pa
 def test_queries_gather_no_exploded_table(spark, as_configured, name):
     import __spark_entry__
     assert "BroadcastExchange" not in plan_of(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("name", [
+    "a11_reliability_bins", "a12_aggregate_metrics", "a13_bootstrap_ci", "a21_best_model_per_metric", "a22_all_intervals_overlap",
+    "a23_comparison_table", "a23_per_event_table", "a24_case_direction", "a28_case_listing", "a8_iou_dice", "a9_brier", "f13_failing_cases",
+    "j16_resolve_event_pk", "n6_isotonic_calibration", "n7_calibration_report", "s11_load_results", "s9_append_runs", "w7_rank_models"])
+def test_queries_over_scores_join_them_by_shuffle(spark, as_configured, monkeypatch, name):
+    import __spark_entry__
+    from emberline.operators import evaluation
+    plans, join = [], evaluation.score_join
+    monkeypatch.setattr(evaluation, "score_join", lambda pred, truth: plans.append(join(pred, truth)) or plans[-1])
+    __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert plans and all("BroadcastExchange" not in plan_of(p) for p in plans)
