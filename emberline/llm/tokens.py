@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from emberline.llm.common import parts, stored
@@ -146,9 +148,14 @@ def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFr
     one byte are a link, and close a group. A text is aligned as a whole, so memory grows with the longest single text only.
     Null and empty texts, and texts that either side does not give back byte by byte, have zeros, '' and no links.
     """
+    row = F.struct(*[F.col(_quoted(c)) for c in docs.columns if c != "tokens"]).alias("row")
+    return _encoded(docs.select(row, F.col("text").alias("text")), a_file, b_file).select("row.*", "tokens")
+
+
+def _encoded(read: DataFrame, a_file: str, b_file: str, hashed: bool = False) -> DataFrame:
+    """(row, tokens) of (row, text); with `hashed`, groups is its SHA-256 ('' without tokens), so that no text goes back to Spark."""
     kind = T.StructType([T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_overlaps")]
                         + [T.StructField("groups", T.StringType()), T.StructField("links", T.ArrayType(T.LongType()))])
-    read = docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns if c != "tokens"]).alias("row"), F.col("text").alias("text"))
     fields = pa.struct([(n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_overlaps")] + [("groups", pa.string()), ("links", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -157,22 +164,38 @@ def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFr
                 found = _aligned(piece.column("text").to_pylist(), a_file, b_file)
                 none = (0, 0, 0, 0, "", np.zeros(0, np.int64))
                 cols = list(zip(*[f or none for f in found]))
+                if hashed:
+                    cols[4] = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in cols[4]]
                 links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in cols[5]])]), pa.int32()), pa.array(np.concatenate(cols[5])))
                 tokens = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols[:5], fields)] + [links], fields=list(fields))
                 yield pa.RecordBatch.from_arrays([piece.column("row"), tokens], names=["row", "tokens"])
 
-    return read.mapInArrow(run, T.StructType([read.schema["row"], T.StructField("tokens", kind)])).select("row.*", "tokens")
+    return read.mapInArrow(run, T.StructType([read.schema["row"], T.StructField("tokens", kind)]))
 
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _by_links(batch: pa.RecordBatch, most: int = SLICE):
+    """Slices of a batch of about `most` links; a text of more is a slice of its own. A batch of 10 000 texts can hold millions."""
+    upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("links")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = int(upto[start - 1]) if start else 0
+        end = max(int(np.searchsorted(upto, before + most, side="right")), start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def pair_counts(aligned: DataFrame, links: str = "links") -> DataFrame:
     """(code, n) over all texts; each batch is counted before the shuffle."""
     def count(batches):
         for batch in batches:
-            codes, n = np.unique(batch.column("links").flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            found = [np.unique(part.column("links").flatten().to_numpy(zero_copy_only=False), return_counts=True) for part in _by_links(batch)]
+            codes, at = np.unique(np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), return_inverse=True)
+            n = np.zeros(len(codes), np.int64)
+            np.add.at(n, at, np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
     return aligned.select(F.col(links).alias("links")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -185,11 +208,11 @@ def alignment_strength(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FI
     one token of a link is the end of the other, the two files alone bound the number of pairs (`most_pairs`), however large the corpus.
     Rows with a null or repeated doc_id stay rows of their own.
     """
-    aligned = align(docs.select("doc_id", "text"), a_file, b_file)
+    aligned = _encoded(docs.select(F.col("doc_id").alias("row"), "text"), a_file, b_file, hashed=True)
     t = F.col("tokens")
     once = stored(aligned.select(
-        "doc_id", *[t[c].alias(c) for c in ("n_a", "n_b", "n_groups", "n_overlaps")], t["links"].alias("links"),
-        F.when(t["n_a"] > 0, F.sha2(t["groups"], 256)).otherwise("").alias("groups_sha256")), "aligned")
+        F.col("row").alias("doc_id"), *[t[c].alias(c) for c in ("n_a", "n_b", "n_groups", "n_overlaps")], t["links"].alias("links"),
+        t["groups"].alias("groups_sha256")), "aligned")
     (_, a), (_, b) = byte_tokenizer(a_file), piece_tokenizer(b_file)
     width = len(b.said)
     of_b = Window.partitionBy(F.col("code") % width)
@@ -202,12 +225,13 @@ def alignment_strength(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FI
     def weigh(batches):
         codes, n, best = known.value
         for batch in batches:
-            links = batch.column("links")
-            at = np.searchsorted(codes, links.flatten().to_numpy(zero_copy_only=False))
-            size = np.diff(links.offsets.to_numpy())
-            upto = lambda v: np.concatenate([[0], np.cumsum(v)])[np.concatenate([[0], np.cumsum(size)])]
-            new = [pa.array(size.astype(np.int64)), pa.array(np.diff(upto(best[at].astype(np.int64)))), pa.array(np.diff(upto(n[at])))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, names=[*kept, "n_links", "n_best", "count_sum"])
+            for part in _by_links(batch):
+                links = part.column("links")
+                at = np.searchsorted(codes, links.flatten().to_numpy(zero_copy_only=False))
+                size = np.diff(links.offsets.to_numpy())
+                upto = lambda v: np.concatenate([[0], np.cumsum(v)])[np.concatenate([[0], np.cumsum(size)])]
+                new = [pa.array(size.astype(np.int64)), pa.array(np.diff(upto(best[at].astype(np.int64)))), pa.array(np.diff(upto(n[at])))]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + new, names=[*kept, "n_links", "n_best", "count_sum"])
 
     kept = ["doc_id", "n_a", "n_b", "n_groups", "n_overlaps", "groups_sha256"]
     return once.mapInArrow(weigh, f"doc_id {dict(once.dtypes)['doc_id']}, n_a long, n_b long, n_groups long, n_overlaps long, groups_sha256 string, n_links long, n_best long, count_sum long")

@@ -78,3 +78,21 @@ def test_pairs_are_bounded_by_the_vocabularies():
     a, b = tokens.Vocabulary([b"a", b"ba", b"c", b""]), tokens.Vocabulary([b"a", b"cba", b"a"])
     # a: a, a; ba: a, a; cba ends with a and ba
     assert tokens.most_pairs(a, b) == 4 + 2
+
+
+def test_links_are_weighed_in_slices_of_bounded_size():
+    import pyarrow as pa
+    rows = [[1] * n for n in (3, 0, 4, 20, 1, 1, 8, 0)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], names=["links"])
+    got = [part.column("links").to_pylist() for part in tokens._by_links(batch, 8)]
+    assert [r for part in got for r in part] == rows
+    assert all(sum(len(r or []) for r in part) <= 8 or len(part) == 1 for part in got)
+
+
+def test_strength_takes_no_text_back_from_the_workers(spark):
+    docs = spark.createDataFrame([(1, "ein Satz, zwei Worte"), (2, ""), (3, None)], "doc_id long, text string")
+    encoded = tokens._encoded(docs.selectExpr("doc_id as row", "text"), tokens.A_FILE, tokens.B_FILE, hashed=True)
+    assert encoded.columns == ["row", "tokens"]
+    said = {r["doc_id"]: r["tokens"]["groups"] for r in tokens.align(docs).collect()}
+    short = {r["row"]: r["tokens"]["groups"] for r in encoded.collect()}
+    assert short == {k: hashlib.sha256(g.encode()).hexdigest() if g else "" for k, g in said.items()}
