@@ -38,8 +38,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of a passage of 20 words and more; documents of which nothing is left go, n_chars follows the text."""
-    done = dedup_passages(docs)
+    """Texts without later repeats of a passage of 20 words and more: winnowed line hashes, positions joined, matches extended line by line, their
+    words deleted; then, outside of these, an exact search of every window of 20 words. Documents of which nothing is left go, n_chars follows the text."""
+    done = dedup_passages(docs, lines=True)
     gone = (F.col("words_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     chars = F.when(F.col("words_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.filter(~gone).withColumn("n_chars", chars).select(*docs.columns)

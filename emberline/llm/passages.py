@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from emberline.llm.common import drop_tables, free_name, mix, parts, row_key, stored, tables_written, CHUNK, LOWER
-from emberline.llm.linededup import WORDS, line_starts
+from emberline.llm.linededup import WORDS, fingerprints, line_starts
 
 GRAM = 8  # words of an anchor
 _U = np.uint64
@@ -112,17 +112,80 @@ def _rows(part, doc, *cols):
                                       names=["key", "d", "hash", "ctx", "lo", "hi"])
 
 
+LINES = [c + side for c in ("h_", "n_") for side in ("left", "right")]  # hash and words of the line on either side
+
+
+def line_places(docs: DataFrame) -> DataFrame:
+    """(key, d, hash, pos, at, n, LINES): the winnowed lines of every text (`linededup.fingerprints`), each with its number, its first word,
+    how many words it has, and the whole hashes of the lines around it; 0 where there is none."""
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch):
+                cols: list[list] = [[] for _ in range(6 + len(LINES))]
+                for key, d, text in zip(*(part.column(c).to_pylist() for c in ("key", "d")), part.column("text").cast(pa.binary()).to_pylist()):
+                    h, _, picked = fingerprints(text)
+                    if not len(picked):
+                        continue
+                    start, _ = word_bounds(np.frombuffer(text.translate(LOWER), dtype=np.uint8))
+                    at = np.append(np.searchsorted(start, line_starts(text)), len(start))
+                    pad = lambda v: np.concatenate([np.zeros(1, np.int64), v, np.zeros(1, np.int64)])
+                    hashes, n = pad(h.view(np.int64)), pad(np.diff(at))
+                    around = [v[picked + 1 + step] for v in (hashes, n) for step in (-1, 1)]
+                    for c, v in zip(cols, (np.full(len(picked), key), np.full(len(picked), d), h[picked].view(np.int64), picked, at[picked], n[picked + 1], *around)):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols],
+                                                 names=["key", "d", "hash", "pos", "at", "n", *LINES])
+
+    return docs.select("key", "d", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ("key", "d", "hash", "pos", "at", "n", *LINES)))
+
+
+def line_matches(docs: DataFrame, size: int = WORDS) -> DataFrame:
+    """(key, known): the words (from, to) of each text that lines match at one earlier place, `size` words and more in a row.
+
+    Of the places of a selected line the earliest stands for all (by d, key, line); every other place is joined with it and extended by the
+    line on either side, where equal. Selected lines stand at most three lines apart, so the matches of a longer run join up. A match is one
+    stretch there as here, and inside one text the two do not overlap.
+    """
+    picked = stored(line_places(docs), "lines")
+    again = stored(picked.groupBy("hash").count().filter("count > 1").select("hash"), "line_again")
+    picked = stored(picked.join(again, "hash"), "line_places")
+    first = picked.groupBy("hash").agg(F.min(F.struct("d", "key", "pos", "at", *LINES)).alias("o"))
+    same = lambda side: (F.col("h_" + side) != 0) & (F.col("h_" + side) == F.col("o.h_" + side))
+    words = lambda side: F.when(same(side), F.col("n_" + side)).otherwise(0)
+    later = (F.col("key") != F.col("o.key")) | (F.col("at") - F.col("o.at") >= F.lit(size) + words("left") + F.col("n") + words("right"))
+    matches = picked.join(first, "hash").filter(later).select(
+        "key", (F.col("at") - words("left")).alias("a"), (F.col("at") + F.col("n") + words("right")).alias("b")).filter(F.col("b") - F.col("a") >= size)
+    return matches.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("known"))  # of one text at most its lines
+
+
+def _inside(part: pa.RecordBatch, base: np.ndarray, lo: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the words from lo to end of a slice lie in one known match; matches of a text before end where it begins."""
+    lists = part.column("known")
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    if not n.sum():
+        return np.zeros(len(lo), bool)
+    flat, begin = lists.flatten(), np.repeat(base, n)
+    a, b = (flat.field(c).to_numpy(zero_copy_only=False) + begin for c in ("a", "b"))
+    order = np.argsort(a, kind="stable")
+    reach, i = np.maximum.accumulate(b[order]), np.searchsorted(a[order], lo, side="right") - 1
+    return (i >= 0) & (reach[np.maximum(i, 0)] >= end)
+
+
 def anchor_places(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """PLACE rows of all texts: an anchor, its windows' hash, and the numbers of their first words."""
+    """PLACE rows of all texts: an anchor, its windows' hash, and the numbers of their first words; none of rows inside a match of `known`, if given."""
+    names = ["key", "d", "text", *(["known"] if "known" in docs.columns else [])]
+
     def run(batches):
         for batch in batches:
             for part in parts(batch):
                 h, doc, base = _words(part)
                 gram, ctx, lo, hi = anchors(h, doc, size)
+                if len(names) > 3:
+                    gram, ctx, lo, hi = (v[~found] for found in [_inside(part, base, lo, hi + size)] for v in (gram, ctx, lo, hi))
                 of = doc[lo]
                 yield _rows(part, of, gram, ctx, lo - base[of], hi - base[of])
 
-    return docs.select("key", "d", "text").mapInArrow(run, PLACE)
+    return docs.select(*names).mapInArrow(run, PLACE)
 
 
 def window_places(docs: DataFrame, size: int = WORDS) -> DataFrame:
@@ -158,14 +221,23 @@ def _later(met: DataFrame, size: int) -> DataFrame:
         "key", F.when(own, F.greatest("lo", F.col("o.lo") + size)).otherwise(F.col("lo")).alias("a"), (F.col("hi") + size).alias("b"))
 
 
-def repeated_words(docs: DataFrame, size: int = WORDS) -> DataFrame:
+def repeated_words(docs: DataFrame, size: int = WORDS, lines: bool = False) -> DataFrame:
     """(key, spans): the words (from, to) of each text that lie in a window of `size` words standing at an earlier place too.
 
     Earliest is by doc_id (null last), then row key, then position. Places with one anchor and the same windows are a class: all but its
     earliest go as they are. Only the earliest of each class of an anchor that has several are compared window by window: a window's
     earliest place is that of some class. Texts are read again for the anchors of the second step, which are fewer than all by those that stand once.
+
+    With `lines`, matches of whole lines come first (`line_matches`), and windows are sought only outside of them. A window's earliest place is
+    in no match, as every match stands at an earlier place too, so what is found is the same.
     """
     docs = docs.select(row_key("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("long").alias("d"), "text")
+    if lines:
+        with tables_written() as used:
+            known = stored(line_matches(docs, size), "line_spans")
+            used.pop()
+        drop_tables(docs.sparkSession, used)
+        docs = stored(docs.join(known, "key", "left"), "texts")
     with tables_written() as passing:
         counted = stored(anchor_places(docs, size).groupBy("hash").count().filter("count > 1").select("hash"), "anchor_again")
         places = stored(anchor_places(docs, size).join(counted, "hash"), "anchor_places")
@@ -178,6 +250,8 @@ def repeated_words(docs: DataFrame, size: int = WORDS) -> DataFrame:
         F.collect_set(F.struct("o.lo", "o.hi")).alias("ranges")), "anchor_mixed")  # of one text at most its words
     windows = stored(window_places(docs.join(mixed, "key"), size), "windows")
     single = _later(windows.join(_again(windows, ["hash"], "window_first"), "hash"), size)
+    if lines:
+        single = single.unionByName(known.select("key", F.inline("known")))
     return copies.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text at most its words
 
 
@@ -205,18 +279,18 @@ def cut(text: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
     return b"".join([*out, text[at:]]), lines, words
 
 
-def dedup_passages(docs: DataFrame, size: int = WORDS) -> DataFrame:
+def dedup_passages(docs: DataFrame, size: int = WORDS, lines: bool = False) -> DataFrame:
     """`docs` with `text` less every word of a passage of `size` words or more that stands at an earlier place, and n_lines, n_removed (lines
     gone as a whole), words_removed.
 
     A passage may begin and end anywhere. What remains is unchanged, byte by byte. Null and empty texts stay; rows equal in doc_id and text
-    are one document and treated alike; no row is removed. Columns of the new names are replaced.
+    are one document and treated alike; no row is removed. Columns of the new names are replaced. `lines` finds line matches first.
     """
     docs = docs.drop("n_lines", "n_removed", "words_removed")
     kept = docs.columns
     key, cuts = free_name(docs, "key"), free_name(docs, "spans")
     keyed = docs.withColumn(key, row_key("doc_id", "text"))
-    met = keyed.join(stored(repeated_words(docs.select("doc_id", "text"), size), "spans").select(F.col("key").alias(key), F.col("spans").alias(cuts)), key, "left")
+    met = keyed.join(stored(repeated_words(docs.select("doc_id", "text"), size, lines), "spans").select(F.col("key").alias(key), F.col("spans").alias(cuts)), key, "left")
 
     def run(batches):
         for batch in batches:

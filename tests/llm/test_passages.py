@@ -83,3 +83,26 @@ def test_run_whose_hot_line_first_stands_elsewhere(frame):
     rows += [(10, f"Begin now.{''.join(run)} End."), (11, f"Start here.{''.join(run)} Close.")]
     assert {x.doc_id: x.text for x in linededup.dedup_lines(frame(rows)).collect()}[11] == rows[-1][1]  # what one place per line leaves
     assert {x.doc_id: x.text for x in passages.dedup_passages(frame(rows)).collect()} == {**dict(rows), 11: "Start here. Close."}
+
+
+def test_line_matches_come_first_and_nothing_else_changes(frame):
+    lined = lambda seed: "\n".join(prose(seed + j, 9, 0.0) for j in range(12))
+    bank = [lined(50 * i) for i in range(4)]
+    rows = []
+    for i in range(40):
+        r = random.Random(300 + i)
+        pieces = [prose(5000 + 10 * i + j, r.randrange(1, 40)) for j in range(2)] + r.sample(bank, 2) + [" ".join(bank[i % 4].split()[7:40])]
+        r.shuffle(pieces)
+        rows.append((i, "\n".join(pieces)))
+    rows += [(100, rows[3][1]), (101, "ha ha ha\n" * 60), (102, bank[0] + "\n" + bank[0]), (103, None), (104, ""), (None, rows[5][1]),
+             (105, "\n".join([bank[1].split("\n")[0]] * 9)), (106, prose(9, 25, 0.0) + "\n" + prose(9, 25, 0.0)), (100, rows[3][1])]
+    text = lambda lines: sorted((x.doc_id is None, x.doc_id, x.text or "", x.words_removed) for x in passages.dedup_passages(frame(rows), lines=lines).collect())
+    assert text(True) == text(False)
+    known = passages.line_matches(frame(rows).selectExpr("coalesce(doc_id, 999) as key", "coalesce(doc_id, 999) as d", "text")).collect()
+    assert len(known) > 20 and all(b - a >= SIZE for r in known for a, b in r.known)
+    whole = {d: [w[2] for w in units(t or "")] for d, t in rows}
+    whole[999] = whole.pop(None)
+    for r in known:  # every match stands at an earlier place, word by word
+        for a, b in r.known:
+            places = [(d, s) for d, w in whole.items() if d <= r.key for s in range(len(w) - (b - a) + 1) if w[s:s + b - a] == whole[r.key][a:b]]
+            assert min(places) < (r.key, a)
