@@ -172,7 +172,7 @@ def _inside(part: pa.RecordBatch, base: np.ndarray, lo: np.ndarray, end: np.ndar
 
 
 def anchor_places(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """PLACE rows of all texts: an anchor, its windows' hash, and the numbers of their first words; none of rows inside a match of `known`, if given."""
+    """PLACE rows (`_combined`) of all texts: an anchor, its windows' hash, and the numbers of their first words; none of rows inside a match of `known`, if given."""
     names = ["key", "d", "text", *(["known"] if "known" in docs.columns else [])]
 
     def run(batches):
@@ -183,13 +183,13 @@ def anchor_places(docs: DataFrame, size: int = WORDS) -> DataFrame:
                 if len(names) > 3:
                     gram, ctx, lo, hi = (v[~found] for found in [_inside(part, base, lo, hi + size)] for v in (gram, ctx, lo, hi))
                 of = doc[lo]
-                yield _rows(part, of, gram, ctx, lo - base[of], hi - base[of])
+                yield _combined(_rows(part, of, gram, ctx, lo - base[of], hi - base[of]), size)
 
     return docs.select(*names).mapInArrow(run, PLACE)
 
 
 def window_places(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """PLACE rows of single windows, those named by `ranges` (lo, hi) of each text."""
+    """PLACE rows (`_combined`) of single windows, those named by `ranges` (a, b) of each text."""
     def run(batches):
         for batch in batches:
             for part in parts(batch):
@@ -198,27 +198,129 @@ def window_places(docs: DataFrame, size: int = WORDS) -> DataFrame:
                 ranges = part.column("ranges")
                 n = pc.list_value_length(ranges).to_numpy(zero_copy_only=False)
                 flat = ranges.flatten()
-                lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+                lo, end = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
                 of = np.repeat(np.arange(len(n)), n)
-                many = hi - lo + 1
+                many = end - lo
                 s = np.repeat(lo, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
                 of = np.repeat(of, many)
-                yield _rows(part, of, window[s + base[of]], np.zeros(len(s), np.int64), s, s)
+                yield _combined(_rows(part, of, window[s + base[of]], np.zeros(len(s), np.int64), s, s), size)
 
     return docs.select("key", "d", "text", "ranges").mapInArrow(run, PLACE)
 
 
-def _again(places: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Per value of `by` that stands at several places, `o`, the earliest."""
-    first = places.groupBy(*by).agg(F.min(F.struct("d", "key", "lo")).alias("o"), F.count("*").alias("n"))
-    return stored(first.filter("n > 1").drop("n"), name)
+SETTLED = "key long, a long, b long, several boolean"
 
 
-def _later(met: DataFrame, size: int) -> DataFrame:
-    """(key, a, b): the words of all places but the earliest; in one text the words of the earliest place itself stay."""
-    own = F.col("key") == F.col("o.key")
-    return met.filter(~(own & (F.col("lo") == F.col("o.lo")))).select(
-        "key", F.when(own, F.greatest("lo", F.col("o.lo") + size)).otherwise(F.col("lo")).alias("a"), (F.col("hi") + size).alias("b"))
+def _combined(part: pa.RecordBatch, size: int) -> pa.RecordBatch:
+    """PLACE rows of a slice, of each class (hash, ctx) only the earliest; the words of the others come as rows with a negative `hi`, ready to go.
+
+    They have an earlier equal place in the slice, so they go wherever the earliest of all stands. If that is in the same text, it is in the slice.
+    """
+    key, d, gram, ctx, lo, hi = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "d", "hash", "ctx", "lo", "hi"))
+    if not len(key):
+        return part
+    text = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))  # few: the earlier of two places by (d, key) goes by the rank of their texts
+    rank = np.empty(len(text), np.int64)
+    rank[np.lexsort((key[text], d[text]))] = np.arange(len(text))
+    order = np.lexsort((lo, np.repeat(rank, np.diff(np.append(text, len(key)))), ctx, gram))
+    key, d, gram, ctx, lo, hi = (c[order] for c in (key, d, gram, ctx, lo, hi))
+    new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (ctx[1:] != ctx[:-1])))
+    gone, a, b = _gone(new, key, lo, hi, size)
+    columns = [np.concatenate((x[new], y)) for x, y in zip((key, d, gram, ctx, lo, hi), (key[gone], d[gone], key[gone], ctx[gone], a, -b))]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=part.schema.names)
+
+
+def _gone(new: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: int):
+    """(rows, a, b): of sorted places, of which `new` begins a class, those that are not the earliest, and their words from a to b.
+
+    In one text the words of the earliest place itself stay.
+    """
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    own = key == key[first]
+    gone = np.flatnonzero(~new & ~(own & (lo == lo[first])))
+    return gone, np.where(own, np.maximum(lo, lo[first] + size), lo)[gone], hi[gone] + size
+
+
+def settled(places: DataFrame, size: int, crowded: list[int] = ()) -> DataFrame:
+    """SETTLED rows of PLACE rows: the words (a, b) of every place but the earliest of its class (hash, ctx), and, `several`, the windows (a, b) of
+    the earliest of each class of a hash that has several classes.
+
+    One shuffle; a task reads its rows in order and holds one place besides the batch. The classes of a hash in `crowded` count as several and
+    are dealt one by one, so that no task has all places of such a hash.
+    """
+    many = np.sort(np.asarray(crowded, np.int64))
+
+    def run(batches):
+        last, shown = None, False  # the earliest place of the class the batch before ended in
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "ctx", "key", "lo", "hi")]
+            known = rows[4] < 0
+            yield _out(rows[2][known], rows[3][known], -rows[4][known], False)
+            rows = [c[~known] for c in rows]
+            if last is not None:
+                rows = [np.concatenate(([x], c)) for x, c in zip(last, rows)]
+            gram, ctx, key, lo, hi = rows
+            if not len(gram):
+                continue
+            new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (ctx[1:] != ctx[:-1])))
+            gone, a, b = _gone(new, key, lo, hi, size)
+            yield _out(key[gone], a, b, False)
+            at = np.flatnonzero(new)
+            same = gram[at[1:]] == gram[at[:-1]]
+            mixed = np.concatenate(([False], same)) | np.concatenate((same, [False])) | np.isin(gram[at], many)
+            mixed[0] &= not (last is not None and shown)
+            shown = bool(mixed[-1]) or (len(at) == 1 and last is not None and shown)
+            last = [c[at[-1]] for c in rows]
+            at = at[mixed]
+            yield _out(key[at], lo[at], hi[at] + 1, True)
+
+    apart = F.xxhash64("hash", "ctx")
+    by = F.when(F.col("hash").isin(list(map(int, crowded))), apart).otherwise(F.col("hash")) if len(crowded) else F.col("hash")
+    return places.repartition(by).sortWithinPartitions("hash", "ctx", "d", "key", "lo").mapInArrow(run, SETTLED)
+
+
+def _out(key, a, b, several: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (key, a, b)), pa.array(np.full(len(key), several))], names=["key", "a", "b", "several"])
+
+
+def joined_up(rows: DataFrame, name: str) -> DataFrame:
+    """(key, `name`): per text the stretches (a, b) of `rows` (key, a, b), those that meet joined, as an array of structs."""
+    pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+
+    def lists(key, a, b):
+        text = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+        values = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], fields=list(pair))
+        at = pa.array(np.append(text, len(key)), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(key[text], pa.int64()), pa.ListArray.from_arrays(at, values)], names=["key", name])
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3  # the stretches of the text the batch before ended in
+        for batch in batches:
+            key, a, b = (np.concatenate((h, batch.column(c).to_numpy(zero_copy_only=False))) for h, c in zip(held, ("key", "a", "b")))
+            if not len(key):
+                continue
+            text = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
+            wide = int(b.max()) + 1
+            reach = np.maximum.accumulate(b + text * wide) - text * wide
+            new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (a[1:] > reach[:-1]))))
+            key, a, b = key[new], a[new], reach[np.append(new[1:], len(key)) - 1]
+            end = int(np.searchsorted(key, key[-1]))
+            held = [c[end:] for c in (key, a, b)]
+            yield lists(key[:end], a[:end], b[:end])
+        if len(held[0]):
+            yield lists(*held)
+
+    return rows.repartition("key").sortWithinPartitions("key", "a").mapInArrow(run, f"key long, {name} array<struct<a:long,b:long>>")
+
+
+SAMPLED, CROWDED = 64, 1000  # of one text in SAMPLED, a hash found CROWDED times and more is dealt class by class
+
+
+def crowded_anchors(docs: DataFrame, size: int) -> list[int]:
+    """Hashes with very many places, at most 10 000. Which they are is found on a share of the texts; it decides how rows are dealt, never a result."""
+    some = docs.filter(F.pmod("key", F.lit(SAMPLED)) == 0)
+    often = anchor_places(some, size).groupBy("hash").count().filter(F.col("count") >= CROWDED)
+    return [r.hash for r in often.orderBy(F.desc("count"), "hash").limit(10_000).collect()]
 
 
 def repeated_words(docs: DataFrame, size: int = WORDS, lines: bool = False) -> DataFrame:
@@ -226,7 +328,7 @@ def repeated_words(docs: DataFrame, size: int = WORDS, lines: bool = False) -> D
 
     Earliest is by doc_id (null last), then row key, then position. Places with one anchor and the same windows are a class: all but its
     earliest go as they are. Only the earliest of each class of an anchor that has several are compared window by window: a window's
-    earliest place is that of some class. Texts are read again for the anchors of the second step, which are fewer than all by those that stand once.
+    earliest place is that of some class.
 
     With `lines`, matches of whole lines come first (`line_matches`), and windows are sought only outside of them. A window's earliest place is
     in no match, as every match stands at an earlier place too, so what is found is the same.
@@ -238,21 +340,13 @@ def repeated_words(docs: DataFrame, size: int = WORDS, lines: bool = False) -> D
             used.pop()
         drop_tables(docs.sparkSession, used)
         docs = stored(docs.join(known, "key", "left"), "texts")
-    with tables_written() as passing:
-        counted = stored(anchor_places(docs, size).groupBy("hash").count().filter("count > 1").select("hash"), "anchor_again")
-        places = stored(anchor_places(docs, size).join(counted, "hash"), "anchor_places")
-        counted_at = passing[:1]
-    drop_tables(docs.sparkSession, counted_at)
-    copies = _later(places.join(_again(places, ["hash", "ctx"], "anchor_first"), ["hash", "ctx"]), size)
-    classes = places.groupBy("hash", "ctx").agg(F.min(F.struct("d", "key", "lo", "hi")).alias("o"))
-    several = stored(classes.groupBy("hash").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a <> b").select("hash"), "anchor_several")
-    mixed = stored(classes.join(several, "hash").groupBy(F.col("o.key").alias("key")).agg(
-        F.collect_set(F.struct("o.lo", "o.hi")).alias("ranges")), "anchor_mixed")  # of one text at most its words
-    windows = stored(window_places(docs.join(mixed, "key"), size), "windows")
-    single = _later(windows.join(_again(windows, ["hash"], "window_first"), "hash"), size)
+    found = stored(settled(anchor_places(docs, size), size, crowded_anchors(docs, size)), "anchors")
+    mixed = stored(joined_up(found.filter("several"), "ranges"), "mixed")  # of one text at most its words
+    again = stored(settled(window_places(docs.join(mixed, "key"), size), size), "windows")
+    spans = found.filter("not several").select("key", "a", "b").unionByName(again.select("key", "a", "b"))
     if lines:
-        single = single.unionByName(known.select("key", F.inline("known")))
-    return copies.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text at most its words
+        spans = spans.unionByName(known.select("key", F.inline("known")))
+    return joined_up(spans, "spans")  # of one text at most its words
 
 
 def cut(text: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:

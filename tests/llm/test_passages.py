@@ -1,6 +1,7 @@
 """Repeated passages against a finder that compares every window of words with all others and knows nothing of anchors or lines."""
 
 import random
+import time
 
 from emberline.llm import linededup, passages
 
@@ -106,3 +107,45 @@ def test_line_matches_come_first_and_nothing_else_changes(frame):
         for a, b in r.known:
             places = [(d, s) for d, w in whole.items() if d <= r.key for s in range(len(w) - (b - a) + 1) if w[s:s + b - a] == whole[r.key][a:b]]
             assert min(places) < (r.key, a)
+
+
+def test_places_settle_in_one_pass_over_small_batches(scratch):
+    r = random.Random(4)
+    texts = {k: (k % 5, k * 7 - 40) for k in range(12)}  # (d, key); several texts of one d
+    places = [(texts[k][1], texts[k][0], r.randrange(6), r.randrange(3), lo, lo + 2) for k in texts for lo in r.sample(range(90), 12)]
+    rows = scratch.createDataFrame(places + places[:5] + [(3, 0, 3, 8, 8, -30)], passages.PLACE)
+    first = {}
+    for p in sorted(places, key=lambda p: (p[1], p[0], p[4])):
+        first.setdefault(p[2:4], p)
+    gone, several = {(3, w) for w in range(8, 30)}, set()
+    for key, d, gram, ctx, lo, hi in places:
+        e = first[gram, ctx]
+        if (e[0], e[4]) != (key, lo):
+            gone |= {(key, w) for w in range(max(lo, e[4] + SIZE) if e[0] == key else lo, hi + SIZE)}
+        else:
+            several.add((key, lo, hi + 1))  # every hash has more than one class here
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = scratch.conf.get(size)
+    try:
+        for batch, crowded in (("3", []), ("10000", [2, 4]), ("1", [0])):
+            scratch.conf.set(size, batch)
+            found = passages.settled(rows, SIZE, crowded).collect()
+            assert {(x.key, w) for x in found if not x.several for w in range(x.a, x.b)} == gone
+            assert sorted((x.key, x.a, x.b) for x in found if x.several) == sorted(several)
+            listed = passages.joined_up(passages.settled(rows, SIZE, crowded).filter("not several"), "spans").collect()
+            assert len({x.key for x in listed}) == len(listed) and {(x.key, w) for x in listed for a, b in x.spans for w in range(a, b)} == gone
+            assert all(b < c for x in listed for (_, b), (c, _) in zip(x.spans, x.spans[1:]))
+    finally:
+        scratch.conf.set(size, before)
+
+
+def test_tables_leave_no_shuffle_files(scratch):
+    from emberline.llm.common import stored
+    files = lambda: scratch.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    shuffles = lambda: {f.getName() for f in scratch.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files()) if f.getName().startswith("shuffle")}
+    before, table = shuffles(), stored(scratch.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "counts")
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and table.count() == 7
