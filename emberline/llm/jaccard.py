@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from emberline.llm.common import free_name, hashed_texts, mix, parts, row_key, shingles, stored
+from emberline.llm.common import drop_tables, free_name, hashed_texts, mix, parts, row_key, shingles, stored, tables_written
 from emberline.operators.components import connected_components
 
 _BOUNDS = (64, 128, 256, 512, 1024, 2048, 4096)  # sizes at which the share of sampled shingles falls
@@ -127,7 +127,19 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
     t = percent / 100
-    sketch = stored(_sketched(docs, k, percent), "sketch")
+    spark, paths = docs.sparkSession, {}
+
+    def keep(df, name):
+        with tables_written() as written:
+            out = stored(df, name)
+        paths.setdefault(name, []).extend(written)
+        return out
+
+    def done(*names):  # nothing reads these tables any more
+        for name in names:
+            drop_tables(spark, paths.pop(name))
+
+    sketch = keep(_sketched(docs, k, percent), "sketch")
     seed = 0
     while True:  # one vertex per set; the seed moves on should two digests meet in 64 bits
         reps = stored(sketch.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"))
@@ -142,9 +154,12 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         "token", "v", F.when(F.col("i") < F.col("m"), F.col("v")).alias("counts"))
     own = spread.groupBy("token").agg(F.min("v").alias("v"), F.max("v").alias("last"), F.max("counts").alias("counts")).filter("v = last and counts is not null")
     kept = reps.select("v", "key", "n").join(own.groupBy("v").agg(F.count("*").alias("own")), "v", "left")
-    kept = stored(kept.filter(F.coalesce("own", F.lit(0)) <= most_missed).select("v", "key"), "keys")
+    kept = keep(kept.filter(F.coalesce("own", F.lit(0)) <= most_missed).select("v", "key"), "keys")
+    every = stored(sketch.select("key", "doc_id", "n", "d1", "d2"), "rows")
+    done("sketch")
     # One pass over the documents; where the keys are few by the size of their files, Spark sends them to the texts.
     texts = stored(docs.select(row_key("doc_id", "text").alias("key"), "text").join(kept, "key").dropDuplicates(["v"]).select("v", "text"), "texts")
+    done("keys")
     kept = stored(_sketched(texts.withColumnRenamed("v", "doc_id"), k, percent, _OVER).select(
         F.col("doc_id").alias("v"), "n", "keys", "tokens", "c0", "c1", "s0", "s1"), "kept")
     # Groups: each text with the leader it meets in most buckets of equal minima, when the two link.
@@ -158,25 +173,26 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # Tokens by class (in the low bits): a pair is decided by the sample of its smaller set's class.
     classes = kept.select("v", "n", F.col("c1").alias("c"), F.col("s1").alias("s"), "tokens").unionByName(
         kept.filter("c0 <> c1").select("v", "n", F.col("c0").alias("c"), F.col("s0").alias("s"), "tokens"))
-    entries = stored(classes.select("v", "c", F.explode(F.slice("tokens", F.lit(1), F.col("s").cast("int"))).alias("token")).select(
+    entries = keep(classes.select("v", "c", F.explode(F.slice("tokens", F.lit(1), F.col("s").cast("int"))).alias("token")).select(
         F.col("token").bitwiseAND(F.lit(-8)).bitwiseOR(F.col("c")).alias("token"), "v", "c"), "entries")
-    grouped = stored(classes.drop("tokens").join(sized(roots), "v").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / _BAND)), "groups")
+    grouped = keep(classes.drop("tokens").join(sized(roots), "v").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / _BAND)), "groups")
     # Against all other groups: tokens that only the own group holds.
     held = entries.select("token", "v").join(roots, "v")
-    tokens = stored(held.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1")).select(
+    tokens = keep(held.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1")).select(
         "token", "df", "r0", (F.col("r0") == F.col("r1")).alias("inside")), "tokens")
     single = tokens.filter("inside").groupBy(F.col("r0").alias("v"), F.col("token").bitwiseAND(F.lit(7)).alias("c")).agg(F.count("*").alias("private"))
     several = entries.join(grouped.filter("members > 1").select("v", "c"), ["v", "c"]).join(tokens.filter("inside").select("token"), "token")
     private = single.join(grouped.filter("members = 1").select("v", "c"), ["v", "c"], "left_semi").unionByName(
         several.groupBy("v", "c").agg(F.count("*").alias("private")))
-    open_ = stored(grouped.join(private, ["v", "c"], "left").withColumn("private", F.coalesce("private", F.lit(0)))
+    open_ = keep(grouped.join(private, ["v", "c"], "left").withColumn("private", F.coalesce("private", F.lit(0)))
                    .filter(F.col("private") <= most_missed), "open")
     # The matrix of what may decide: of each open text the rarest tokens, one more than it may miss; private ones come first.
     # Two linked sets share one of them, within as many as the sizes of the two let them miss.
     rare = entries.join(open_.select("v", "c"), ["v", "c"], "left_semi").join(tokens.filter("not inside").select("token", "df"), "token")
     nth = F.row_number().over(Window.partitionBy("v", "c").orderBy("df", "token")) - 1
     ranked = rare.withColumn("i", nth).join(open_, ["v", "c"]).withColumn("i", F.col("i") + F.col("private")).filter(F.col("i") <= most_missed)
-    ranked = stored(ranked.select("token", "i", "v", "c", "s", "n", "root", "band", "members"), "prefixes")
+    ranked = keep(ranked.select("token", "i", "v", "c", "s", "n", "root", "band", "members"), "prefixes")
+    done("tokens", "open")
     # Where a rare token is held by many, a few leaders first: whoever links to one needs no other pair of that component.
     best = [F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("h"), F.col("v").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))).alias(f"l{i}") for i in range(_LEADERS)]
     led = ranked.join(ranked.groupBy("token").agg(*best), "token").select("v", "n", "root", F.explode(F.array(*[f"l{i}" for i in range(_LEADERS)])).alias("l"))
@@ -185,20 +201,22 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     led = _may_link(stored(led, "led"), kept, percent)
     roots = stored(_joined(roots, stored(_linked(led, texts, k, percent), "links")), "roots")
     label = sized(roots)
-    grouped = stored(grouped.drop("root", "members").join(label, "v"), "groups")
-    ranked = stored(ranked.drop("root", "members").join(label, "v"), "prefixes")
-    matrix = stored(ranked.groupBy("token", "root", "band", "members").agg(F.min("i").alias("g_i"), F.min("n").alias("lo"), F.max("n").alias("hi")).select(
+    grouped = keep(grouped.drop("root", "members").join(label, "v"), "groups_again")
+    ranked = keep(ranked.drop("root", "members").join(label, "v"), "prefixes_again")
+    done("groups", "prefixes")
+    matrix = keep(ranked.groupBy("token", "root", "band", "members").agg(F.min("i").alias("g_i"), F.min("n").alias("lo"), F.max("n").alias("hi")).select(
         F.col("token").alias("t"), F.col("root").alias("g"), F.col("band").alias("g_band"), F.col("members").alias("g_members"), "g_i", "lo", "hi"), "matrix")
     larger = (F.col("g_members") > F.col("members")) | ((F.col("g_members") == F.col("members")) & (F.col("g") > F.col("root")))
     need = _least_common(F.col("n"), F.col("lo"), t)
     fits = (F.col("n") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("n") * percent)
     asked = ranked.join(matrix, (F.col("token") == F.col("t")) & larger & fits & (F.col("i") <= F.col("n") - need) & (F.col("g_i") <= F.col("hi") - need))
-    asked = stored(asked.select("v", "c", "s", "n", "g", "g_band").distinct(), "asked")
+    asked = keep(asked.select("v", "c", "s", "n", "g", "g_band").distinct(), "asked")
+    done("prefixes_again", "matrix")
     # The overlap of a text's sample with the whole union of a group of several; a group of one is opened at once.
     inside = grouped.select("v", "n", "root", "band").distinct()
     many = inside.groupBy(F.col("root").alias("g"), F.col("band").alias("g_band")).agg(
         F.count("*").alias("inside"), F.min("n").alias("lo")).filter("inside > 1")
-    doubtful = stored(asked.join(many, ["g", "g_band"]), "doubtful")
+    doubtful = keep(asked.join(many, ["g", "g_band"]), "doubtful")
     union = (entries.join(grouped.select("v", "c", F.col("root").alias("g"), F.col("band").alias("g_band")), ["v", "c"])
              .join(doubtful.select("g", "g_band").distinct(), ["g", "g_band"], "left_semi").select("g", "g_band", "token").distinct())
     met = doubtful.join(entries, ["v", "c"]).join(union, ["g", "g_band", "token"]).groupBy("v", "c", "s", "n", "g", "g_band", "lo").agg(F.count("*").alias("both"))
@@ -211,12 +229,14 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     short = (F.least("s0", "s1") <= most_missed) & (F.col("c0") + F.col("c1") > 0)
     prefix = lambda rows: rows.select("v", F.explode(F.slice("tokens", F.lit(1), (most_missed + 1).cast("int"))).alias("token"))
     missed = prefix(kept.filter(short)).select(F.col("v").alias("a"), "token").join(prefix(kept).withColumnRenamed("v", "b"), "token").filter("a <> b").select("a", "b")
-    pairs = _may_link(stored(asked.unionByName(missed).distinct(), "opened"), kept, percent)
+    pairs = stored(asked.unionByName(missed).distinct(), "opened")
+    done("entries", "groups_again", "asked", "doubtful")
+    pairs = _may_link(pairs, kept, percent)
     final = stored(_joined(roots, stored(_linked(pairs, texts, k, percent), "links")), "tops").withColumnRenamed("root", "top")
     named = reps.select("v", "d1", "d2", "n", "low").join(final, "v", "left").withColumn("top", F.coalesce("top", "v"))
     lowest = stored(named.groupBy("top").agg(F.min("low").alias("component_id")), "lowest")
     classes = stored(named.join(lowest, "top").select("d1", "d2", "n", "component_id", "top"), "classes")
-    out = sketch.select("key", "doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
+    out = every.join(classes, ["d1", "d2", "n"], "left")
     return out.select("key", "doc_id", F.col("n").alias("n_shingles"),
                       F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "top")
 

@@ -134,3 +134,16 @@ def test_tables_are_dropped(scratch):
     assert os.path.exists(place)
     drop_tables(scratch, inner)
     assert not os.path.exists(place) and kept.count() == 3 and inner == []
+
+
+def test_jaccard_drops_tables_that_nothing_reads_any_more(frame, scratch):
+    from emberline.llm import jaccard
+    from emberline.llm.common import tables_written
+    text = " ".join(f"w{i}" for i in range(80))
+    with tables_written() as paths:
+        rows = jaccard.jaccard_components(frame([(1, text), (2, text + " end"), (3, "a b c d"), (4, None)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    path = scratch.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = lambda p: path(p).getFileSystem(scratch.sparkContext._jsc.hadoopConfiguration()).exists(path(p))
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in paths if there(p)}
+    assert len(paths) > 20 and not left & {"sketch", "keys", "entries", "tokens", "open", "prefixes", "prefixes_again", "groups", "groups_again", "matrix", "asked", "doubtful"}
