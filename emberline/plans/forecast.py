@@ -22,8 +22,7 @@ def forecast_requests(requests: DataFrame, src: Sources, res: float = 250.0, par
     require_none(weather.missing_weather_days(wanted, have), "no weather")
     cells = durable(from_parts(boxes, days, g.to_local(ignition, boxes), src))
     assembly.check_channel_coverage(cells)
-    start = cells.filter(F.col("day_idx") == 0).select(
-        "event_id", "row", "col", (F.col("fire_mask") >= 0.5).alias("lit"))
-    state = cells.join(start, ["event_id", "row", "col"])
+    start = cells.filter((F.col("day_idx") == 0) & (F.col("fire_mask") >= 0.5)).select("event_id", "row", "col", F.lit(True).alias("lit"))
+    state = cells.join(start, ["event_id", "row", "col"], "left").withColumn("lit", F.coalesce("lit", F.lit(False)))
     risk = spread.ignition_probability(state, res, params, burning=F.col("lit"))
     return forecast.forecast_features(risk, boxes)
