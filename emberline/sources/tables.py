@@ -86,8 +86,9 @@ def compact_event_cells(spark: SparkSession, path: str) -> int:
 
 
 def load_split_cells(cells: DataFrame, split: DataFrame, name: str) -> DataFrame:
-    """Cells of the events of one split, trimmed to their first fire day."""
-    return trim_to_first_fire_day(cells, split.filter(F.col("split") == name))
+    """Cells of the events of one split, trimmed to their first fire day; events without a split are an error."""
+    own = F.coalesce("split", F.raise_error(F.lit("events without a split")).cast("string"))
+    return trim_to_first_fire_day(cells, split.filter(own == name))
 
 
 def event_rows(events: DataFrame, source: str = "firms_cluster") -> DataFrame:
