@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberline.functions.meteo import rh_from_specific_humidity, wind_components
 from emberline.functions.surface import UNKNOWN_FUEL
@@ -49,10 +49,13 @@ def day_index(cells: DataFrame) -> DataFrame:
     return cells.join(days, ["event_id", "day"])
 
 
+def absent(c: str) -> Column:
+    return F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+
+
 def coverage(cells: DataFrame, channels=tuple(c for c in CHANNELS if c != "fire_mask")) -> DataFrame:
     """(event_id, channel, missing, total): cells without a finite value."""
     present = [c for c in channels if c in cells.columns]
-    absent = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     per = cells.groupBy("event_id").agg(F.count("*").alias("total"), *[F.count_if(absent(c)).alias(c) for c in present])
     return per.unpivot(["event_id", "total"], present, "channel", "missing")
 
